@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import bpe, decontaminate, minhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +17,17 @@ def _share(column: str, by: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=2)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
+    return bpe.decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"), learn_from="crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
@@ -25,6 +37,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_toxicity": op9_toxicity}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_matches(docs, _read(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.covered_words(F.col("matches")).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size("matches") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {"op3_minhash": op3_minhash, "op6_bpe": op6_bpe, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 ORACLE_SQL: dict[str, str] = {}
