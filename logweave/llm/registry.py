@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, toxicity
+from . import bpe, decontaminate, minhash, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return bpe.decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    of = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    base = F.filter("findings", lambda f: f["kind"] != "model")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"), of("model"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"), learn_from="crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
@@ -51,6 +60,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op6_bpe": op6_bpe, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op3_minhash": op3_minhash, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 ORACLE_SQL: dict[str, str] = {}
