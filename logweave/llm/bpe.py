@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-WORDS_KEPT = 200_000
+WORDS_KEPT = 500_000
 _NEVER = 1 << 60
 
 
@@ -57,7 +57,7 @@ class Automaton:
         self.gone: dict[tuple[int, int], int] = {}
         self.arc: dict[bytes, int] = {}
         self.table: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = _Words(self)
         for i in model["vocab"].values():
             if len(self.labels[i]) == 1:
                 self.born[i] = 0
@@ -66,6 +66,7 @@ class Automaton:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self._gadget(model["vocab"][a], model["vocab"][b], model["vocab"][a + b], time)
         self.length = [len(x) for x in self.labels]
+        self.near: dict[bytes, int] = {}  # the longest label at the start of six bytes, where they decide it
         self.steps: dict[int, int] = {}  # (node, byte) to node of the tree of all labels
         self.token_at = [-1]
         self.shorter = [-1] * len(self.labels)  # the longest other label that starts a label
@@ -107,20 +108,24 @@ class Automaton:
         whole = self.arc.get(word)
         if whole is not None:
             return [whole]
-        table, steps, token_at, shorter, length, n = self.table, self.steps, self.token_at, self.shorter, self.length, len(word)
-        longest = [-1] * n
-        for at in range(n):  # the longest arc that can start at each place
-            node = 0
-            for byte in word[at:]:
-                node = steps.get(node << 8 | byte, -1)
-                if node < 0:
-                    break
-                if token_at[node] >= 0:
-                    longest[at] = token_at[node]
+        near, table, steps, token_at, shorter, length, n = self.near, self.table, self.steps, self.token_at, self.shorter, self.length, len(word)
         out: list[int] = []
         dead = bytearray(n + 1)
-        at, last, t = 0, -1, longest[0]
+        at, last, t = 0, -1, -2
         while at < n:
+            if t == -2:  # the longest arc that can start here
+                ahead = word[at : at + 6]
+                t = near.get(ahead, -1)
+                if t < 0:
+                    node, k = 0, at
+                    for k in range(at, n):
+                        node = steps.get(node << 8 | word[k], -1)
+                        if node < 0:
+                            break
+                        if token_at[node] >= 0:
+                            t = token_at[node]
+                    if len(ahead) < 6 or node < 0 and k < at + 6:  # these bytes alone decide
+                        near[ahead] = t
             while t >= 0:
                 end = at + length[t]
                 if not dead[end]:
@@ -135,9 +140,7 @@ class Automaton:
                 t = shorter[t]
             if t >= 0:
                 out.append(t)
-                at, last = end, t
-                if at < n:
-                    t = longest[at]
+                at, last, t = end, t, -2
             elif not out:
                 raise ValueError("a byte has no arc")
             else:  # no arc leads on from here: take back the last one and go by a shorter
@@ -148,27 +151,38 @@ class Automaton:
                 t = shorter[t]
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        words = self.words
+    def encode(self, text: str) -> np.ndarray:
+        out: list[bytes] = []
+        word = self.words.__getitem__
         for part in self.cut.split(text) if self.cut and self.cut.search(text) else (text,):
             if part in self.special:
-                out.append(self.special[part])
-                continue
-            for word in self.split.findall(part):
-                arcs = words.get(word)
-                if arcs is None:
-                    if len(words) >= WORDS_KEPT:
-                        words.clear()
-                    arcs = words[word] = tuple(self.path(word.encode()))
-                out += arcs
-        if len(self.table) > 4_000_000:
+                out.append(np.int32(self.special[part]).tobytes())
+            else:
+                out += map(word, self.split.findall(part))
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        if len(self.table) > 2_000_000:
             self.table.clear()
-        return out
+        if len(self.near) > 300_000:
+            self.near.clear()
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         labels = self.labels
-        return b"".join([labels[i] for i in ids if 0 <= i < len(labels)]).decode("utf-8", "replace")
+        if len(ids) and (min(ids) < 0 or max(ids) >= len(labels)):
+            ids = [i for i in ids if 0 <= i < len(labels)]
+        return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class _Words(dict):
+    """Encoded words as int32 bytes; a word that is not there is encoded when asked for."""
+
+    def __init__(self, machine: Automaton):
+        self.machine = machine
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = arcs = np.array(self.machine.path(word.encode()), np.int32).tobytes()
+        return arcs
 
 
 _COMPILED: dict[str, Automaton] = {}
@@ -196,7 +210,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                rows = [np.array(machine.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in part.column(at).to_pylist()]
+                rows = [machine.encode(t) if t else np.zeros(0, np.int32) for t in part.column(at).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], part.schema.names)
