@@ -80,10 +80,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
+    """64-bit hashes of data[start:end], equal for equal bytes (or 64-bit symbols) wherever they stand."""
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_SYMBOL[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((_SYMBOL[data] if data.dtype == np.uint8 else data) * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

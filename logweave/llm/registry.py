@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, secrets, toxicity
+from . import bpe, chat, decontaminate, embeddings, langid, minhash, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,10 +17,40 @@ def _share(column: str, by: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train(docs, learn_from="crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (_share("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=2)
 
 
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    two = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text")
+    )
+    back = chat.read_back(chat.format_windows(turns.unionByName(two)))
+    lines = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("said").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("targets").cast("long").alias("loss_chars"),
+        F.sha2("targets", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +90,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op2_langid": op2_langid, "op3_minhash": op3_minhash, "op4_chat": op4_chat, "op5_embeddings": op5_embeddings, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 ORACLE_SQL: dict[str, str] = {}
