@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, langid, minhash, secrets, toxicity
+from . import bpe, chat, decontaminate, embeddings, html, langid, minhash, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return bpe.decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    model = html.train(pages)
+    return html.main_text(pages.select("page_id", "url", "html"), model).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(docs))
@@ -90,6 +96,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_langid": op2_langid, "op3_minhash": op3_minhash, "op4_chat": op4_chat, "op5_embeddings": op5_embeddings, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op2_langid": op2_langid, "op3_minhash": op3_minhash, "op4_chat": op4_chat, "op5_embeddings": op5_embeddings, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_secrets": op8_secrets, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 ORACLE_SQL: dict[str, str] = {}
