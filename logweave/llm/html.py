@@ -33,11 +33,12 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)
 AGAINST = (
     "head title nav aside footer form button menu menubar toolbar sidebar side ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies "
     "consent notice notification alert popup modal newsletter subscribe signup login share sharing social related recommended comment comments commentlist "
-    "disqus reply respond breadcrumb breadcrumbs pagination pager footer masthead navigation navbar complementary contentinfo search widget copyright"
+    "disqus pageheader reply respond breadcrumb breadcrumbs pagination pager footer masthead navigation navbar complementary contentinfo search widget copyright"
 ).split()
 FOR = "article main post entry content story body text".split()
 
 PRIOR = 8.0
+_AGAINST = frozenset([f".{x}" for x in AGAINST] + [f"<{x}>" for x in AGAINST])
 INSIDE = 0.15  # share of a tag's cost in front of a block whose words score for
 
 
@@ -120,13 +121,18 @@ def blocks_of(page: str) -> list[Block]:
                 pass
         if name in SIBLINGS and stack and stack[-1][0] in SIBLINGS[name]:
             stack.pop()
-        stack.append((name, _features(name, t[3])))
+        features = _features(name, t[3])
+        if ("<header>" in features or ".header" in features) and not any(n in ("article", "main") for n, _ in stack):
+            features += (".pageheader",)  # not an article's own heading
+        stack.append((name, features))
     flush()
     return out
 
 
 def _weight(model: HtmlModel, block: Block) -> float:
     """What each word of a block scores: the sign of its elements' log-odds, at most 1 either way."""
+    if any(f in _AGAINST and model.context.get(f, 0.0) < 0 for f in block.features):
+        return -1.0
     odds = sum(model.context.get(f, 0.0) for f in block.features)
     return max(-1.0, min(1.0, odds + 0.25))
 
@@ -165,8 +171,9 @@ def fit(pages: list[str]) -> HtmlModel:
         label = f"<{marks[0].lower()}>"
         seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
         for b in blocks_of(page):
-            good = label in b.features and not any(f[1:].rstrip(">") in AGAINST for f in b.features)
-            for f in b.features:
+            against = b.features & _AGAINST
+            good = label in b.features and not against
+            for f in against or b.features:  # a name against the article explains its words alone
                 seen[f][good] += b.words
             for t in b.tags:
                 tags[good][t] += 1
