@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, html, langid, minhash, secrets, toxicity
+from . import bpe, chat, decontaminate, embeddings, html, langid, minhash, secrets, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,11 @@ def _share(column: str, by: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(_read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs, learn_from="crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
@@ -96,6 +101,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_langid": op2_langid, "op3_minhash": op3_minhash, "op4_chat": op4_chat, "op5_embeddings": op5_embeddings, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_secrets": op8_secrets, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_minhash": op3_minhash, "op4_chat": op4_chat, "op5_embeddings": op5_embeddings, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_secrets": op8_secrets, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 ORACLE_SQL: dict[str, str] = {}
