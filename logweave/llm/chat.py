@@ -79,8 +79,8 @@ def format_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 1
     parts = base.where("not system").withColumn("in", F.explode(place)).select("*", "in.window", "in.is_new").drop("in", "later", "block", "total")
     # The system turn goes into each window of its conversation.
     heads = base.where("system").drop("later", "block", "total")
-    whole = parts.groupBy("conv_id").agg(F.max("window").alias("last"))
-    heads = heads.join(whole, heads["conv_id"].eqNullSafe(whole["conv_id"]), "left").drop(whole["conv_id"])
+    whole = parts.groupBy(F.col("conv_id").alias("cw")).agg(F.max("window").alias("last"))
+    heads = heads.join(whole, F.col("conv_id").eqNullSafe(F.col("cw")), "left").drop("cw")
     used = parts.select(F.col("conv_id").alias("cw"), "window").distinct()
     alone = heads.where("last is null").withColumn("window", F.lit(0).cast("long"))
     ahead = heads.where("last is not null").join(used, F.col("conv_id").eqNullSafe(F.col("cw"))).drop("cw")
