@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, html, langid, minhash, secrets, suffix_dedup, toxicity
+from . import bpe, chat, decontaminate, embeddings, html, langid, minhash, oracle, secrets, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -103,4 +103,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_minhash": op3_minhash, "op4_chat": op4_chat, "op5_embeddings": op5_embeddings, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_secrets": op8_secrets, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
