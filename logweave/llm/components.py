@@ -29,14 +29,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    out = keep(moved.where("u <> v").distinct(), "star")
+    out = keep(moved.where("u > v").distinct(), "star")
     forget(least)
     return out
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and order-free sum of an edge table: two equal rounds mean that nothing moves any more."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one, which has none itself: then that one is its component."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    both = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return both.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -45,15 +48,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops, repeated and reversed edges are allowed and change nothing; ids without an edge to another id
     are not returned; null ends are dropped. An empty table gives an empty table.
     """
-    now = keep(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
+    ends = edges.select(F.col("u").cast("long").alias("a"), F.col("v").cast("long").alias("b")).where("a <> b")
+    now = keep(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _settled(now):
         stars = _star(now, large=True)
         forget(now)
         now = _star(stars, large=False)
         forget(stars)
-        if mark == (mark := _mark(now)) or not mark[0]:
-            break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

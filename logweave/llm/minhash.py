@@ -1,10 +1,9 @@
 """MinHash near-duplicates: universal hash minima, banding, signature check, exact confirmation, components.
 
-Documents with equal shingle sets are one node. Nodes that share a band are candidates; a bucket first links
-its members to its least member, then members outside the bucket's main component are compared with those of
-other components, a bounded number of probes a bucket and round, until no bucket holds an untested pair that
-could still join two components. So no bucket is ever expanded into all its pairs, and components are those
-that all of its pairs would give.
+Documents with equal shingle sets are one node. Nodes that share a band are candidates: a bucket first links its
+members to the one with most copies; only buckets that still hold members of different components are compared
+further, block by block, with nothing but links leaving a block. So no bucket is expanded into rows of all its
+pairs, none is held whole by one task, and the components are those that all pairs of all buckets would give.
 """
 
 from __future__ import annotations
@@ -13,16 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bits import bit_table, maybe
 from ._bytes import LOWER, blocks, mix, row_of, span_hashes, word_spans
+from ._bytes import texts as texts_of
 from ._store import keep
 from .components import connected_components
 
 MINIMA = 128
 BANDS = 32
-PROBES = 16
+BLOCK = 512
+FEW_PAIRS = 100_000
 
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -86,26 +88,46 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary")
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
-    """key, id for each band of each node."""
-    width = MINIMA // BANDS
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """Key of each band of each signature."""
+    rows = sig.reshape(len(sig), BANDS, -1).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2])
+    for j in range(rows.shape[2]):
+        key = mix(key) + rows[:, :, j]
+    return mix(key).view(np.int64)
+
+
+def _least_agreement(threshold: float) -> float:
+    """Share of minima in which sets of that similarity agree but for a chance under 1e-5."""
+    return threshold - 4.5 * (threshold * (1 - threshold) / MINIMA) ** 0.5
+
+
+def _bands(nodes: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """key, id, copies for each band of each node; wanted: a bit table of keys, others are left out."""
+    shared = nodes.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS, width).astype(np.uint64)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
-            for j in range(width):
-                key = mix(key) + sig[:, :, j]
-            yield pa.RecordBatch.from_arrays([pa.array(mix(key).reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "id"])
+            key = _band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, MINIMA))
+            key, rest = key.reshape(-1), [np.repeat(batch.column(k).to_numpy(), BANDS) for k in (0, 2)]
+            hit = np.ones(len(key), bool) if shared.value is None else maybe(shared.value, key)
+            out = [pa.array(x[hit]) for x in (key, *rest)]
+            yield pa.RecordBatch.from_arrays(out, ["key", "id", "copies"])
+
+    return nodes.select("id", "sig", "copies").mapInArrow(run, "key long, id long, copies long")
+
 
-    return nodes.select("id", "sig").mapInArrow(run, "key long, id long")
+def _named(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of table (id, ...) that the pairs name. Few pairs go to the table, so that it isn't shuffled for them."""
+    ids = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
+    return table.join(F.broadcast(ids) if pairs.count() <= FEW_PAIRS else ids, "id", "left_semi")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose signatures agree as far as sets of that similarity do but for a chance under 1e-8."""
-    least = threshold - 6 * (threshold * (1 - threshold) / MINIMA) ** 0.5
+    """The pairs (u, v) whose signatures agree as far as sets of that similarity do but for a chance under 1e-5."""
+    least = _least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,19 +135,17 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, MINIMA) for k in (2, 3))
                 yield batch.select(["u", "v"]).filter(pa.array((a == b).mean(1) >= least))
 
-    sig = nodes.select("id", "sig")
+    sig = _named(nodes.select("id", "sig"), pairs)
     both = pairs.join(sig.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
     both = both.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u").select("u", "v", "su", "sv")
     return both.mapInArrow(run, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    text = keep(full.dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-    both = both.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
+    some = _named(texts, pairs)
+    both = pairs.join(some.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+    both = both.join(some.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
 
     def sets_of(column: pa.Array) -> list[np.ndarray]:
         out = []
@@ -153,48 +173,118 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(run, "u long, v long")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the documents named; the others' texts are left out before anything is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe(shared.value, batch.column(0).to_numpy())))
+
+    some = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    return some.mapInArrow(run, some.schema).join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def _labelled(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """id, c (component) of each node that the pairs name."""
+    ids = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
+    return ids.join(connected_components(links), "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+
+
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after further links: only components that these join move."""
+    c = labels.select("id", "c")
+    between = more.join(c.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(c.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v")
+    moved = connected_components(between.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    return labels.join(moved.select(F.col("id").alias("c"), F.col("component").alias("now")), "c", "left").select("id", F.coalesce("now", "c").alias("c"))
+
+
+def _within(here: DataFrame, mixed: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members of different components in the buckets `mixed`, found block by block.
+
+    A bucket's members are dealt into blocks of about BLOCK; each pair of blocks is one group, in which a pair of
+    members is compared if this is the first band that they share, first by signature, then on full sets. Only
+    links leave a group.
+    """
+    blocks_in = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = here.join(mixed, "key").withColumn("blocks", blocks_in).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "id", "c")
+    rows = own.join(nodes.select("id", "sig"), "id").join(texts, "id").select("key", "b1", "b2", "own", "id", "c", "sig", "text")
+    least = _least_agreement(percent / 100)
+
+    def compare(table: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(-1, MINIMA)
+        keys, key = _band_keys(sig), table["key"][0].as_py()
+        ids, c, block = (table[k].to_numpy() for k in ("id", "c", "own"))
+        column = table["text"].combine_chunks()
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                data, offsets = texts_of(column.slice(i, 1))
+                sets[i] = shingle_sets(data[offsets[0] : offsets[1]], offsets - offsets[0], words)[0]
+            return sets[i]
+
+        cross = table["b1"][0].as_py() != table["b2"][0].as_py()
+        u, v = [], []
+        for i in range(len(ids)):
+            rest = np.arange(i + 1, len(ids))
+            rest = rest[(c[rest] != c[i]) & ((block[rest] != block[i]) | (not cross))]
+            if not len(rest):
+                continue
+            shared = keys[rest] == keys[i]
+            first = shared.argmax(1)
+            rest = rest[shared[np.arange(len(rest)), first] & (keys[i][first] == key)]
+            rest = rest[(sig[rest] == sig[i]).mean(1) >= least]
+            if len(rest):
+                a, others = set_of(i), [set_of(int(j)) for j in rest]
+                size = np.array([len(x) for x in others])
+                every = np.concatenate(others)
+                hit = a[np.minimum(np.searchsorted(a, every), len(a) - 1)] == every
+                common = np.add.reduceat(hit, np.cumsum(size) - size)
+                good = rest[100 * common >= percent * (len(a) + size - common)]
+                u += [ids[i]] * len(good)
+                v += ids[good].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.groupBy("key", "b1", "b2").applyInArrow(compare, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are not looked at).
 
     Two documents are linked if their sets of shingles of `words` words have 100 * intersection >= percent *
     union; a text of fewer words is one shingle, a null text or one without words has the empty set and is
     linked with nothing. component_id is the least doc_id reachable, kept says that it is the row's own.
-    Rows that repeat a doc_id are one document, whose rows share a component (the row with the least set
-    fingerprint stands for it); a row without doc_id has no component and is kept. An empty table gives an
+    Rows that repeat a doc_id are one document, whose rows share a component (their texts should be equal: which
+    of different ones is compared is not defined); a row without doc_id has no component and is kept. An empty table gives an
     empty one.
     """
     summary = keep(_summaries(docs, words), "summaries")
     known = summary.where("doc_id is not null and n > 0")
-    sets = keep(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "sets")
-    nodes = keep(sets.select("id", "sig").dropDuplicates(["id"]), "nodes")
+    sets = keep(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "sets")
+    nodes = keep(sets.select("id", "sig", "copies").dropDuplicates(["id"]), "nodes")
     bands = _bands(nodes)
-    buckets = keep(bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "buckets")
-    members = keep(bands.join(buckets, "key").where("id <> lead").select("key", "lead", "id"), "members")
+    # The text with most copies leads: it is likeliest the one that the others were made from.
+    lead = F.max_by("id", F.struct("copies", -F.col("id")))
+    buckets = keep(bands.groupBy("key").agg(lead.alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "buckets")
+    members = _bands(nodes, bit_table(buckets, "key")).select("key", "id").join(buckets, "key").where("id <> lead")
+    members = keep(members, "members")
     pairs = keep(members.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
-    copies = known.join(sets.select("f1", "f2", "n", "id"), ["f1", "f2", "n"]).where("doc_id <> id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
-    links = keep(_confirmed(keep(_likely(pairs, nodes, percent / 100), "likely"), docs, words, percent), "links")
-    members = members.select("key", "id")
-    while True:
-        component = keep(connected_components(links), "components")
-        labelled = keep(members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "labelled")
-        parts = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("key").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = keep(mixed.select("key", "main"), "mixed")
-        if mixed.isEmpty():
-            break
-        labelled = labelled.join(mixed, "key")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        probes = keep(labelled.where("c <> main").withColumn("k", rank).where(f"k <= {PROBES}").select("key", F.col("id").alias("p"), F.col("c").alias("pc")), "probes")
-        tested = labelled.join(probes, "key").where("c <> pc").select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).distinct()
-        tested = keep(_likely(tested, nodes, percent / 100), "likely")
-        more = keep(_confirmed(tested, docs, words, percent), "more")
-        members = keep(labelled.join(probes.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "members")
-        links = links.unionAll(more)
-    id_of = component.withColumnRenamed("id", "doc_id")
-    if not copies.isEmpty():
-        # A copy takes the component of the document that stands for its set.
-        stands = copies.join(component, copies["u"] == component["id"], "left").select(F.col("v").alias("doc_id"), F.coalesce("component", "u").alias("component"))
-        id_of = component.withColumnRenamed("id", "doc_id").unionAll(stands).groupBy("doc_id").agg(F.min("component").alias("component"))
+    ids = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
+    texts = keep(_texts_of(docs, keep(ids, "ids")), "texts")
+    links = keep(_confirmed(keep(_likely(pairs, nodes, percent / 100), "likely"), texts, words, percent), "links")
+    labels = keep(_labelled(pairs, links), "labels")
+    here = members.select("key", "id").join(labels, "id").select("key", "id", "c")
+    mixed = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    more = keep(_within(here, keep(mixed, "mixed"), nodes, texts, words, percent), "more")
+    if not more.isEmpty():
+        labels = keep(_merged(labels, more), "labels")
+    # A copy takes the component of the document that stands for its set.
+    stands = known.join(sets.select("f1", "f2", "n", "id"), ["f1", "f2", "n"]).where("doc_id <> id").select(F.col("doc_id").alias("v"), "id")
+    stands = keep(stands, "stands").join(labels, "id", "left").select(F.col("v").alias("doc_id"), F.coalesce("c", "id").alias("component"))
+    id_of = labels.select(F.col("id").alias("doc_id"), F.col("c").alias("component")).unionAll(stands).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = summary.select("doc_id", "n").join(id_of, "doc_id", "left")
     return out.select(
         "doc_id",
