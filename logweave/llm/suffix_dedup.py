@@ -6,10 +6,11 @@ string, and updates the collection's BWT, common prefixes and suffix ids, which
 and writes in order.
 
 A whole corpus has strings of any length, so the collection is made of segments. Each window of `width` bytes
-belongs to one segment, that of its least-hashed 20-byte gram (its anchor), so equal windows lie in segments of
+belongs to one segment, that of its least-hashed gram of 32 bytes (its anchor), so equal windows lie in segments of
 equal anchors, at equal distance from it. A segment is shorter than two windows, so rounds are bounded. Segments
-whose anchor occurs once hold no repeat; equal segments are counted as one before the suffix arrays are built;
-anchors with very many different segments are cut anew by longer grams.
+whose anchor occurs once hold no repeat; equal segments, cut to what
+others of their anchor can share, are one string of the collection; segments that agree with no other are left out; anchors with very many different segments are
+cut anew by longer grams.
 """
 
 from __future__ import annotations
@@ -23,30 +24,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bits import bit_table, maybe
 from ._bytes import blocks, mix, span_hashes, texts
 from ._store import keep
 
-GRAMS = (20, 60)
+GRAMS = (32, 60)
 MOST_SEGMENTS = 1000  # different segments of an anchor that go into one collection
-COLLECTION_BYTES = 2 << 20
-FILTER_BITS = 26
+COLLECTION_BYTES = 1 << 20
 LONG_BYTES = 1 << 22
 
-OCCURRENCE = "anchor long, key binary, segment binary, doc_id long, start long"
+OCCURRENCE = "anchor long, key long, more long, around int, segment binary, doc_id long, start long"
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start of each segment of a block's texts, and its anchor's hash."""
+def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window start of each segment of a block's texts, its anchor's hash and its anchor's place."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < width:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none
     if n > LONG_BYTES and len(offsets) == 2:  # one very long text: piece by piece, each window in one of them
         parts = []
         for at in range(0, n - width + 1, LONG_BYTES - width):
             piece = data[at : at + LONG_BYTES - 1]
-            low, high, anchor = segments(piece, np.array([0, len(piece)]), width, gram)
-            parts.append((low + at, high + at, anchor))
+            low, high, anchor, place = segments(piece, np.array([0, len(piece)]), width, gram)
+            parts.append((low + at, high + at, anchor, place + at))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     at = np.arange(n - gram + 1)
     hashes = span_hashes(data, at, at + gram)
@@ -62,14 +63,14 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tu
     first = np.repeat(offsets[:-1], np.maximum(length - width + 1, 0))
     starts = first + np.arange(len(first)) - np.repeat(np.cumsum(np.maximum(length - width + 1, 0)) - np.maximum(length - width + 1, 0), np.maximum(length - width + 1, 0))
     if not len(starts):
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none
     anchor = least[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1])
     cut = np.flatnonzero(new)
     last = np.concatenate([cut[1:], [len(starts)]]) - 1
-    name = hashes[(anchor[cut] & np.uint64((1 << 24) - 1)).astype(np.int64)]
-    return starts[cut], starts[last], mix(name + np.uint64(gram))
+    place = (anchor[cut] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return starts[cut], starts[last], mix(hashes[place] + np.uint64(gram)), place
 
 
 class _Columns:
@@ -89,7 +90,7 @@ class _Columns:
 
 
 def build(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix ids (place in the strings joined with one byte in front of each) in order, and common prefixes with the suffix before, up to `depth`.
+    """Suffix ids (place in the strings, joined with one byte in front of each) in order, and common prefixes with the suffix before, up to `depth`.
 
     Strings hold no byte 255 (UTF-8 has none) and depth is under 255.
     """
@@ -98,33 +99,37 @@ def build(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     with tempfile.TemporaryDirectory() as folder:
         files = _Columns(folder)
         files.write(joined[ends - 1], np.zeros(len(ends)), ends)  # the empty suffix of each string
-        active = np.ones(len(ends), bool)  # suffixes that the last round put in
-        while active.any():
+        empty, last = len(strings), np.ones(len(strings), bool)  # last: what the last round put in
+        while True:
             bwt, lcp, ids = files.read()
-            order = np.argsort(bwt, kind="stable")
-            order = order[np.searchsorted(bwt[order], 1) :]  # a whole string has no symbol in front
-            fresh = np.concatenate([np.zeros(len(strings), bool), active[order]])
-            source = np.concatenate([np.zeros(len(strings), np.int64), order])
-            symbol = np.concatenate([np.zeros(len(strings), np.uint8), bwt[order]])
-            where = np.concatenate([ends, ids[order] - 1])
-            common = np.empty(len(where), np.uint8)
-            common[~fresh] = lcp
-            touched = fresh.copy()
-            touched[1:] |= fresh[:-1]
-            touched = np.flatnonzero(touched & (np.arange(len(fresh)) > len(strings)))
-            same = symbol[touched] == symbol[touched - 1]
-            common[touched[~same]] = 0
-            if len(strings) < len(fresh) and fresh[len(strings)]:
-                common[len(strings)] = 0
-            ask = touched[same]
-            low, high = source[ask - 1] + 1, source[ask] + 1
-            by = np.argsort(low, kind="stable")
+            order = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]  # a whole string has no symbol in front
+            at = np.flatnonzero(last[order])  # the new suffixes' places behind the empty ones
+            if not len(at):
+                break
+            source = order[at]
+            old = np.ones(len(bwt) + len(at), bool)
+            old[at + empty] = False
+            more = []
+            for column, new in ((bwt, joined[ids[source] - 2]), (lcp, 0), (ids, ids[source] - 1)):
+                wider = np.empty(len(old), column.dtype)
+                wider[old] = column
+                wider[at + empty] = new
+                more.append(wider)
+            # Common prefixes change at the new suffixes and right behind them: one more than the least between
+            # the suffixes that they extend, where both begin with the same symbol.
+            touched = np.union1d(at, at + 1)
+            touched = touched[(touched > 0) & (touched < len(order))]
+            before, here = order[touched - 1], order[touched]
+            common = np.zeros(len(touched), np.uint8)
+            same = np.flatnonzero(bwt[before] == bwt[here])
+            by = same[np.argsort(before[same], kind="stable")]
             if len(by):
-                pairs = np.stack([low[by], high[by]], 1).reshape(-1)
-                least = np.minimum.reduceat(np.append(lcp, np.uint8(0)), pairs)[::2]
-                common[ask[by]] = np.minimum(least.astype(np.int64) + 1, depth)
-            files.write(joined[where - 1], common, where)
-            active = fresh
+                ends_of = np.stack([before[by] + 1, here[by] + 1], 1).reshape(-1)
+                least = np.minimum.reduceat(np.append(lcp, np.uint8(0)), ends_of)[::2]
+                common[by] = np.minimum(least, depth - 1) + np.uint8(1)
+            more[1][touched + empty] = common
+            files.write(*more)
+            last = ~old
         _, lcp, ids = files.read()
     return ids, lcp
 
@@ -152,25 +157,18 @@ def repeats(strings: list[bytes], place: np.ndarray, width: int) -> Iterator[tup
         yield from zip(string[cut].tolist(), at[cut].tolist(), (at[last] + width).tolist(), strict=True)
 
 
-def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["anchor", "key", "segment", "doc_id", "start"])
-
-
 def _cut(data: np.ndarray, offsets: np.ndarray, document: np.ndarray, shift: np.ndarray, width: int, gram: int, bits: np.ndarray | None = None) -> pa.RecordBatch:
     """Segments of a block as occurrences; bits: only anchors whose bit is set."""
-    low, high, anchor = segments(data, offsets, width, gram)
+    low, high, anchor, place = segments(data, offsets, width, gram)
     if bits is not None and len(anchor):
-        slot = anchor >> np.uint64(64 - FILTER_BITS)
-        hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
-        low, high, anchor = low[hit], high[hit], anchor[hit]
+        hit = maybe(bits, anchor.view(np.int64))
+        low, high, anchor, place = low[hit], high[hit], anchor[hit], place[hit]
     text = np.searchsorted(offsets, low, "right") - 1
     raw = data.tobytes()
-    rows = []
-    for a, i, j, t in zip(anchor.view(np.int64).tolist(), low.tolist(), high.tolist(), text.tolist(), strict=True):
-        segment = raw[i : j + width]
-        rows.append((a, hashlib.blake2b(segment, digest_size=16).digest(), segment, int(document[t]), i - int(offsets[t]) + int(shift[t])))
-    return _emit(rows)
+    found = [raw[i : j + width] for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+    keys = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in found), np.int64).reshape(-1, 2)
+    columns = [anchor.view(np.int64), keys[:, 0], keys[:, 1], (place - low).astype(np.int32), pa.array(found, pa.binary()), document[text], low - offsets[text] + shift[text]]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], [x.split()[0] for x in OCCURRENCE.split(", ")])
 
 
 def _repeated_anchors(docs: DataFrame, width: int) -> np.ndarray:
@@ -183,27 +181,63 @@ def _repeated_anchors(docs: DataFrame, width: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
     counts = docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    slot = F.shiftrightunsigned("anchor", 64 - FILTER_BITS)
-    words = counts.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
-    got = words.toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return bits
+    return bit_table(counts, "anchor")
+
+
+def _with_segments(found: DataFrame, firsts: DataFrame, same: list[str]) -> DataFrame:
+    """firsts with the bytes of their segments; others are left out before anything is shuffled."""
+    shared = found.sparkSession.sparkContext.broadcast(bit_table(firsts, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe(shared.value, batch.column(1).to_numpy())))
+
+    some = found.select(*same, "around", "segment", "doc_id", "start")
+    return some.mapInArrow(run, some.schema).join(firsts, [*same, "doc_id", "start"])
+
+
+def _promising(anchor: np.ndarray, around: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments that agree with others of their anchor over `width` bytes around it, and the part of each that can lie in a common window.
+
+    Equal windows lie at equal distance from equal anchors, so their bytes before and behind the anchor's start agree;
+    what is sorted here are only these contexts, to leave out what no other segment can share.
+    """
+    name = [a.tobytes() for a in anchor.astype(">i8")]
+    reach = []
+    for side in (1, -1):
+        context = np.zeros((len(strings), 8 + width), np.uint8)
+        size = np.zeros(len(strings), np.int64)
+        for i, (x, k) in enumerate(zip(strings, around.tolist(), strict=True)):
+            part = (x[k:] if side > 0 else x[:k][::-1])[:width]
+            row = name[i] + part
+            context[i, : len(row)] = np.frombuffer(row, np.uint8)
+            size[i] = len(part)
+        order = np.argsort(context.view(f"S{8 + width}").reshape(-1), kind="stable")
+        agree = (context[order[1:]] != context[order[:-1]]).argmax(1)
+        agree[(context[order[1:]] == context[order[:-1]]).all(1)] = 8 + width
+        both = np.zeros(len(strings) + 1, np.int64)
+        both[1:-1] = np.maximum(agree - 8, 0)
+        best = np.empty(len(strings), np.int64)
+        best[order] = np.maximum(both[:-1], both[1:])
+        reach.append(np.minimum(best, size))
+    ahead, behind = reach
+    good = np.flatnonzero(ahead + behind >= width)
+    return good, (around - behind)[good], (around + ahead)[good]
 
 
 def _resolve(found: DataFrame, width: int, level: int) -> DataFrame:
     """doc_id, first, end of runs of `found` (occurrences of segments) whose windows also start earlier in it."""
-    one = F.min(F.struct("doc_id", "start")).alias("least")
-    distinct = keep(found.groupBy("anchor", "key").agg(one, F.first("segment").alias("segment")), "segments")
-    firsts = distinct.select("anchor", "key", "least")
-    copies = found.select("anchor", "key", "doc_id", "start", F.octet_length("segment").alias("n")).join(firsts, ["anchor", "key"])
-    copies = copies.where((F.col("doc_id") != F.col("least.doc_id")) | (F.col("start") != F.col("least.start")))
-    runs = copies.select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("n")).alias("end"))
+    same = ["anchor", "key", "more"]
+    distinct = keep(found.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("least")), "segments")
+    at = lambda df: df.select(*same, "least.doc_id", "least.start")
+    copies = found.select(*same, F.col("doc_id").alias("d"), F.col("start").alias("s"), F.octet_length("segment").alias("n")).join(at(distinct), same)
+    copies = copies.where((F.col("d") != F.col("doc_id")) | (F.col("s") != F.col("start")))
+    runs = copies.select(F.col("d").alias("doc_id"), F.col("s").alias("first"), (F.col("s") + F.col("n")).alias("end"))
     if level > len(GRAMS):  # a segment is one window here: equal anchors are equal segments
         return runs
     groups = keep(distinct.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1"), "anchors")
-    open_ = distinct.join(groups, "anchor").select("anchor", "segment", F.col("least.doc_id").alias("doc_id"), F.col("least.start").alias("start"), "different")
-    open_ = keep(open_, "open")
+    firsts = keep(distinct.join(groups, "anchor").select(*same, "least.doc_id", "least.start", "different"), "firsts")
+    open_ = keep(_with_segments(found, firsts, same), "open")
     few = open_.where(F.col("different") <= MOST_SEGMENTS)
     size = few.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     spark = found.sparkSession
@@ -214,15 +248,34 @@ def _resolve(found: DataFrame, width: int, level: int) -> DataFrame:
         if not got:
             return
         table = pa.Table.from_batches(got)
-        anchor = table["anchor"].to_numpy()
-        n = max(1, -(-sum(map(len, table["segment"].to_pylist())) // COLLECTION_BYTES))
-        pile = (mix(anchor.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-        for k in range(n):
-            part = table.filter(pa.array(pile == k))
-            if part.num_rows:
-                place = np.stack([part["doc_id"].to_numpy(), part["start"].to_numpy()], 1)
-                rows = [(int(place[s, 0]), int(place[s, 1]) + i, int(place[s, 1]) + j) for s, i, j in repeats(part["segment"].to_pylist(), place, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [()] * 3], ["doc_id", "first", "end"])
+        whole, anchor = table["segment"].to_pylist(), table["anchor"].to_numpy()
+        good, low, high = _promising(anchor, table["around"].to_numpy(), whole, width)
+        document, start = table["doc_id"].to_numpy()[good], table["start"].to_numpy()[good] + low
+        groups: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for a, i, x, y, d, s in zip(anchor[good].tolist(), good.tolist(), low.tolist(), high.tolist(), document.tolist(), start.tolist(), strict=True):
+            groups.setdefault(a, {}).setdefault(whole[i][x:y], []).append((d, s))
+        runs: list[tuple[int, int, int]] = []
+        strings: list[bytes] = []
+        place: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            at = np.array(place, np.int64)
+            runs.extend((place[k][0], place[k][1] + i, place[k][1] + j) for k, i, j in repeats(strings, at, width))
+            strings.clear()
+            place.clear()
+
+        for parts in groups.values():
+            for part, places in parts.items():  # equal parts are one string of the collection, the earliest; the others repeat it
+                first = min(places)
+                runs += [(d, s, s + len(part)) for d, s in places if (d, s) != first]
+                if len(parts) > 1:
+                    strings.append(part)
+                    place.append(first)
+            if len(strings) * width >= COLLECTION_BYTES:
+                flush()
+        if strings:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*runs, strict=True)) or [()] * 3], ["doc_id", "first", "end"])
 
     runs = runs.unionAll(few.repartition(parts, "anchor").mapInArrow(collections, "doc_id long, first long, end long"))
     many = open_.where(F.col("different") > MOST_SEGMENTS).select("segment", "doc_id", "start")
