@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, blocks, row_of, texts
+from ._bytes import LOWER, blocks, row_of
+from ._store import keep
 
 BITS = 20
 ORDERS = (4, 5, 6)
+SAMPLE_BLOCK = 1 << 18
 
 
 @dataclass
@@ -59,39 +61,12 @@ def _present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def fit(sample: pa.Table, features: int = 4000, rounds: int = 120, l2: float = 5e-3) -> ToxicityModel:
-    """The classifier for (text, toxic) rows. Without both labels it gives every text the rate of label 1."""
-    y = np.asarray(sample["toxic"].to_numpy(), np.float64)
-    if not len(y) or y.min() == y.max():
-        rate = float(y.mean()) if len(y) else 0.0
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
-    counts = np.zeros((2, 1 << BITS))
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    column = sample["text"].combine_chunks()
-    for low, _, data, offsets in blocks(column):
-        text, bucket = _present(data, offsets)
-        label = y[low + text] > 0
-        counts[1] += np.bincount(bucket[label], minlength=1 << BITS)
-        counts[0] += np.bincount(bucket[~label], minlength=1 << BITS)
-        kept.append(((low + text).astype(np.int32), bucket.astype(np.int32)))
-    n1, n0 = (y > 0).sum(), (y <= 0).sum()
-    p, q = (counts[1] + 1) / (n1 + 2), (counts[0] + 1) / (n0 + 2)
-    ratio = np.log(p / q)
-    strength = np.abs(ratio) * np.abs(p - q)
-    strength[counts.sum(0) < 4] = 0
-    least = np.partition(strength, -features)[-features]
-    chosen = strength > max(least, 0)
-    place = np.full(1 << BITS, -1, np.int64)
-    place[chosen] = np.arange(chosen.sum())
-    rows, cols = [], []
-    for text, bucket in kept:
-        hit = chosen[bucket]
-        rows.append(text[hit])
-        cols.append(place[bucket[hit]])
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    value = ratio[chosen][col]
-    width, length = int(chosen.sum()), len(y)
-    weight = np.where(y > 0, length / (2 * n1), length / (2 * n0)) ** 0.5
+def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, buckets: np.ndarray, ratio: np.ndarray, rounds: int = 120, l2: float = 5e-3) -> ToxicityModel:
+    """The classifier for texts with labels y, text row[i] having feature col[i]; feature k is bucket buckets[k] scaled by ratio[k]."""
+    length, width = len(y), len(buckets)
+    value = ratio[col]
+    n1 = (y > 0).sum()
+    weight = np.where(y > 0, length / (2 * n1), length / (2 * (length - n1))) ** 0.5
     w, b, m, v, mb, vb = np.zeros(width), 0.0, np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on the whole sample
         z = np.bincount(row, value * w[col], length) + b
@@ -104,10 +79,14 @@ def fit(sample: pa.Table, features: int = 4000, rounds: int = 120, l2: float = 5
         w -= step * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= step * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[chosen] = w * ratio[chosen]
+    weights[buckets] = w * ratio
     return ToxicityModel(weights, float(b))
 
 
+def _constant(rate: float) -> ToxicityModel:
+    return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
+
+
 def score_texts(model: ToxicityModel, column: pa.Array) -> np.ndarray:
     """Score of each text, 0 to 1."""
     wanted = model.weights != 0
@@ -118,12 +97,14 @@ def score_texts(model: ToxicityModel, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from: str = "true") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from: str = "true", features: int = 4000) -> ToxicityModel:
     """Fits on at most `max_docs` labelled documents, half of each label where there are so many.
 
     docs: doc_id, text. labels: doc_id, toxic (rows with null toxic are not used). learn_from: a SQL
     condition over doc_id for rows to learn from. The sample is the first rows by a hash of doc_id, so it
-    does not depend on partitioning. Null texts count as empty.
+    does not depend on partitioning. Null texts count as empty. N-grams are counted on the executors; the driver gets
+    the `features` strongest ones and which of them each document of the sample has. Without both labels every
+    text gets the rate of label 1.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(learn_from)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -131,8 +112,46 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
     for label in (1, 0):
         some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)
         ids = some if ids is None else ids.unionAll(some)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    return fit(sample.sort_by("doc_id"))
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    sample = keep(sample.select("doc_id", "text", "toxic"), "labelled")
+    sizes = {r["toxic"] > 0: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
+    if not n1 or not n0:
+        return _constant(n1 / max(1, n1 + n0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(2).to_numpy() > 0
+            for low, _, data, offsets in blocks(batch.column(1), SAMPLE_BLOCK):
+                text, bucket = _present(data, offsets)
+                of = np.unique(bucket)
+                place = np.searchsorted(of, bucket)
+                hit = toxic[low + text]
+                yield pa.RecordBatch.from_arrays([pa.array(of), *(pa.array(np.bincount(place[x], minlength=len(of))) for x in (hit, ~hit))], ["bucket", "n1", "n0"])
+
+    seen = sample.mapInArrow(count, "bucket long, n1 long, n0 long").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    p, q = (F.col("n1") + 1) / (n1 + 2), (F.col("n0") + 1) / (n0 + 2)
+    ranked = seen.where("n1 + n0 >= 4").select("bucket", F.log(p / q).alias("ratio"), (F.abs(F.log(p / q)) * F.abs(p - q)).alias("strength"))
+    best = ranked.orderBy(F.desc("strength"), "bucket").limit(features).toArrow()
+    if not best.num_rows:
+        return _constant(n1 / (n1 + n0))
+    order = np.argsort(best["bucket"].to_numpy())
+    buckets, ratio = best["bucket"].to_numpy()[order], best["ratio"].to_numpy()[order]
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[buckets] = True
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in blocks(batch.column(1), SAMPLE_BLOCK):
+                text, bucket = _present(data, offsets, wanted)
+                cuts = np.searchsorted(text, np.arange(high - low + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], ["doc_id", "toxic", "features"])
+
+    rows = sample.mapInArrow(used, "doc_id long, toxic int, features array<int>").toArrow().sort_by("doc_id")
+    lists = rows["features"].combine_chunks()
+    return fit(row_of(lists.offsets.to_numpy()), lists.flatten().to_numpy(), (rows["toxic"].to_numpy() > 0).astype(float), buckets, ratio)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -158,4 +177,4 @@ def flag(docs: DataFrame, model: ToxicityModel, column: str) -> DataFrame:
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).cast("double").alias(column)).schema)
 
 
-__all__ = ["ToxicityModel", "fit", "flag", "score", "score_texts", "texts", "train"]
+__all__ = ["ToxicityModel", "fit", "flag", "score", "score_texts", "train"]
