@@ -303,18 +303,17 @@ def test_secrets(spark):
 
 def test_secret_network_learns():
     random.seed(6)
-    rows, y = [], []
-    for k in range(400):
-        token = "".join(random.choices("0123456789abcdef", k=32)) if k % 2 else "".join(random.choices("0123456789", k=16))
-        text = f"some words before {'key ' if k % 2 else 'card '}{token} and after"
-        at = text.index(token)
-        rows.append(secrets.windows(text, at, at + len(token))[0])
-        y.append(k % 2)
-    model = secrets.fit(np.array(rows), np.array(y, np.float32))
+
+    def examples(n):
+        for k in range(n):
+            token = "".join(random.choices("0123456789abcdef", k=32)) if k % 2 else "".join(random.choices("0123456789", k=16))
+            yield f"some words before {'key ' if k % 2 else 'card '}{token} and after", token, k % 2
+
+    rows = [(secrets.windows(t, t.index(x), t.index(x) + len(x))[0], y) for t, x, y in examples(400)]
+    model = secrets.fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32))
     assert model.recall >= 0.95
-    new = "my words key 0a9f8e7d6c5b4a39281706f5e4d3c2b1 end", "my words card 4929123412341234 end"
-    p = [secrets.probability(model, t, secrets.candidates(t))[0] for t in new]
-    assert p[0] >= model.threshold > p[1]
+    new = [(secrets.probability(model, t, secrets.candidates(t))[0] >= model.threshold, y) for t, _, y in examples(200)]
+    assert sum(hit for hit, y in new if y) >= 90 and sum(hit for hit, y in new if not y) <= 5
 
 
 # 9
