@@ -26,7 +26,8 @@ NAME = re.compile(r"[a-z]+")
 
 # Elements by kind, as HTML defines them, and names that pages give to what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math select object".split())
+RAW = frozenset("script style template textarea iframe svg".split())
+SHUT = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -68,12 +69,17 @@ def _features(name: str, attributes: str) -> tuple[str, ...]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, with the features of the elements around each; raw elements hold none."""
+    """The text blocks of a page in order, with the features of the elements around each; raw elements hold none.
+
+    A raw element ends at its own closing tag, whatever its body looks like; an unclosed script, style, textarea or
+    iframe takes the rest of the page, as in browsers, an unclosed template or svg only its tag.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     tags: list[str] = []
-    raw = ""
+    unclosed: set[str] = set()
+    at = 0
 
     def flush() -> None:
         nonlocal tags
@@ -83,12 +89,9 @@ def blocks_of(page: str) -> list[Block]:
             out.append(Block(frozenset(f for _, fs in stack for f in fs), text, text.count(" ") + 1, tags))
             tags = []
 
-    for m in TOKEN.finditer(page):
-        token = m[0]
-        if raw:
-            if token[:2] == "</" and (t := TAG.match(token)) and t[2].lower() == raw:
-                raw = ""
-            continue
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
             parts.append(token)
             continue
@@ -111,8 +114,13 @@ def blocks_of(page: str) -> list[Block]:
                     pass
             continue
         if name in RAW:
-            if not t[3].rstrip().endswith("/"):
-                raw = name
+            if name not in unclosed and not t[3].rstrip().endswith("/"):
+                if shut := SHUT[name].search(page, at):
+                    at = shut.start()
+                elif name in ("template", "svg"):
+                    unclosed.add(name)
+                else:
+                    break
             continue
         if name in VOID:
             continue

@@ -274,6 +274,15 @@ def test_html(spark):
     assert [r.text for r in html.main_text(df, html.HtmlModel()).collect()] == ["", "hi"]
 
 
+def test_html_raw_elements():
+    script = "<script>for(i=0;i<n;i++){f('</scripts>');}</SCRIPT ><style>a<b{}</style>"
+    page = f"{script}<article><p>one two<math><mi>x</mi></math><object>shown instead</object><noscript><p>still here</noscript><select><option>this</select>{script}<p>end</article>"
+    texts = [b.text for b in html.blocks_of(page)]
+    assert texts == ["one two", "x", "shown instead", "still here", "this", "end"]
+    assert html.extract(html.fit([]), page) == "\n".join(texts)
+    assert [b.text for b in html.blocks_of("<p>a<svg><p>b<svg>c<script>if(i<n)</scriptx>d")] == ["a", "b", "c"]
+
+
 # 8
 
 
