@@ -2,7 +2,7 @@
 
 A page is a sequence of tags and text blocks. Each word scores by where it stands (names, classes and ids of the
 open elements), each tag scores against by its name; these weights are learnt from labelled pages, whose label is
-their one article or main element. One linear scan finds the best contiguous region; inside it, blocks whose words
+their one article or main element, over counts that a list of names seeds. One linear scan finds the best contiguous region; inside it, blocks whose words
 score against are left out.
 """
 
@@ -39,7 +39,10 @@ AGAINST = (
 FOR = "article main post entry content story body text".split()
 
 PRIOR = 8.0
+OUTER = 0.25  # weight of an element's names against those of the next named element inside it
 _AGAINST = frozenset([f".{x}" for x in AGAINST] + [f"<{x}>" for x in AGAINST])
+_NAMED = frozenset(f"<{x}>" for x in (*AGAINST, *FOR))
+_EVERYWHERE = ("<html>", "<body>")
 INSIDE = 0.15  # share of a tag's cost in front of a block whose words score for
 
 
@@ -54,11 +57,15 @@ class HtmlModel:
 
 @dataclass
 class Block:
-    features: frozenset[str]
+    elements: list[tuple[str, ...]]  # the features of each element around it, from the outermost in
     text: str
     words: int
     tags: list[str]  # since the block before
 
+    @property
+    def features(self) -> frozenset[str]:
+        return frozenset(f for e in self.elements for f in e)
+
 
 def _features(name: str, attributes: str) -> tuple[str, ...]:
     out = [f"<{name}>"]
@@ -86,7 +93,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(Block(frozenset(f for _, fs in stack for f in fs), text, text.count(" ") + 1, tags))
+            out.append(Block([fs for _, fs in stack if fs[0] not in _EVERYWHERE], text, text.count(" ") + 1, tags))
             tags = []
 
     while at < len(page):
@@ -138,11 +145,23 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _weight(model: HtmlModel, block: Block) -> float:
-    """What each word of a block scores: the sign of its elements' log-odds, at most 1 either way."""
-    if any(f in _AGAINST and model.context.get(f, 0.0) < 0 for f in block.features):
-        return -1.0
-    odds = sum(model.context.get(f, 0.0) for f in block.features)
-    return max(-1.0, min(1.0, odds + 0.25))
+    """What each word of a block scores: the sum of its elements' log-odds, at most 1 either way.
+
+    The nearest element that has a name with a weight counts in full, each one around it OUTER times the one before,
+    and plain tags such as p after all names.
+    """
+    odds, share, plain = 0.25, 1.0, 0.0
+    for features in reversed(block.elements):
+        named = 0.0
+        for f in features:
+            if f[0] == "." or f in _NAMED:
+                named += model.context.get(f, 0.0)
+            else:
+                plain += model.context.get(f, 0.0)
+        if named:
+            odds += share * named
+            share *= OUTER
+    return max(-1.0, min(1.0, odds + share * plain))
 
 
 def extract(model: HtmlModel, page: str | None) -> str:
@@ -179,9 +198,9 @@ def fit(pages: list[str]) -> HtmlModel:
         label = f"<{marks[0].lower()}>"
         seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
         for b in blocks_of(page):
-            against = b.features & _AGAINST
-            good = label in b.features and not against
-            for f in against or b.features:  # a name against the article explains its words alone
+            features = b.features
+            good = label in features
+            for f in features if good else features & _AGAINST or features:  # a name against the article explains words outside it alone
                 seen[f][good] += b.words
             for t in b.tags:
                 tags[good][t] += 1
@@ -190,8 +209,7 @@ def fit(pages: list[str]) -> HtmlModel:
             inside[f] += good / (bad + good)
             outside[f] += bad / (bad + good)
     model = HtmlModel()
-    everywhere = {"<html>", "<body>"}
-    for f in {*inside, *outside} - everywhere:
+    for f in {*inside, *outside}.difference(_EVERYWHERE):
         model.context[f] = float(np.log((inside[f] + 0.5) / (outside[f] + 0.5)))
     for t in {*tags[0], *tags[1]}:
         model.cost[t] = 0.1 + 0.9 * tags[0][t] / (tags[0][t] + tags[1][t])
@@ -199,8 +217,8 @@ def fit(pages: list[str]) -> HtmlModel:
 
 
 def train(pages: DataFrame, max_pages: int = 400) -> HtmlModel:
-    """Fits on at most `max_pages` pages, the first by a hash of page_id; pages without label only lack influence."""
-    rows = pages.select("page_id", "html").where("html is not null")
+    """Fits on at most `max_pages` of the pages that label themselves, the first by a hash of page_id."""
+    rows = pages.select("page_id", "html").where(F.regexp_count("html", F.lit(r"(?i)<(article|main)[\s>]")) == 1)
     ids = rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
     sample = rows.join(F.broadcast(ids.distinct()), "page_id").orderBy("page_id", "html").toArrow()
     return fit(sample["html"].to_pylist())

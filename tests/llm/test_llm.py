@@ -283,6 +283,21 @@ def test_html_raw_elements():
     assert [b.text for b in html.blocks_of("<p>a<svg><p>b<svg>c<script>if(i<n)</scriptx>d")] == ["a", "b", "c"]
 
 
+def test_html_names_are_a_prior(spark):
+    filler = "<nav>menu of links</nav>{}<p>words of the text here</p>{}<footer>small print</footer>"
+    model = html.fit([filler.format("<article>", "</article>")] * 30)
+    for wrapper in ("layout has-sidebar", "single comments-open", "with-banner", "search-result", "side-by-side"):
+        page = f'<body class="{wrapper}"><div class="{wrapper}">{filler.format("<article>", "<div class=ad>buy this now</div></article>")}</div>'
+        assert html.extract(model, page) == "words of the text here"
+        assert html.extract(model, f'<body class="{wrapper}"><p>words of the text here') == "words of the text here"
+    page = filler.format('<div class="side-by-side">', "</div>")
+    assert html.extract(model, page) == ""
+    learnt = html.fit([filler.format('<article><div class="side-by-side">', "</div></article>")] * 30)
+    assert learnt.context[".side"] > 0 > learnt.context["<nav>"] and html.extract(learnt, page) == "words of the text here"
+    rows = [(k, "<p>no label") for k in range(50)] + [(50, '<article><p class="special">a b')]
+    assert html.train(spark.createDataFrame(rows, "page_id long, html string"), max_pages=1).context[".special"] > 0
+
+
 # 8
 
 
