@@ -340,6 +340,24 @@ def test_secret_network_learns():
     assert sum(hit for hit, y in new if y) >= 90 and sum(hit for hit, y in new if not y) <= 5
 
 
+def test_secret_threshold_keeps_recall():
+    random.seed(4)
+    x = np.array([secrets.windows(t := f"card {random.randrange(10**15, 10**16)} of", 5, 21)[0] for _ in range(600)])
+    model = secrets.fit(x, np.array([random.random() < 0.3 for _ in x], np.float32))
+    assert model.recall >= 0.98 and model.threshold < 0.5
+
+
+def test_secret_candidates(spark):
+    text = "x" * 20 + " pin1 ab-c12 (aB3456) d3" + "y" * 50 + " shortword é9éabc12é"
+    assert [text[s:e] for s, e in secrets.candidates(text)] == ["x" * 20, "ab-c12", "aB3456", "d3" + "y" * 50]
+    token = "sk_live_" + "0123456789abcdef01234567" + "QZ7TAIL"
+    texts = [f"a {token} b", "in code1x here", "token=abcdef123456"]
+    some = secrets.fit(np.array([secrets.windows("a b", 0, 3)[0]] * 40), np.array([0, 1] * 20, np.float32))
+    some.threshold = 0.0
+    assert [r.text for r in secrets.redact(docs_of(spark, texts), some).orderBy("doc_id").collect()] == ["a <SECRET> b", "in <SECRET> here", "<SECRET>"]
+    assert secrets.findings(some, texts[2]) == [(0, 0, 18, 1.0)]
+
+
 # 9
 
 
