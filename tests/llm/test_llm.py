@@ -223,32 +223,61 @@ def test_embeddings(spark):
 
 
 @pytest.fixture(scope="module")
-def machine():
+def tokenizer():
     import public_tokenizers
 
-    return bpe.automaton(public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def test_bpe_as_the_library(spark, machine):
-    import public_tokenizers
+def test_bpe_as_the_library(spark, tokenizer):
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    theirs = Tokenizer.from_file(path)
+    theirs = Tokenizer.from_file(tokenizer)
     random.seed(1)
-    letters = " \t\n\r\x0b\x0c\x1c\x85\xa0aaabcdeéñüß́½²ª0123'sl.,!?-=_#$漢字😀​ ЖٱͅǅⅧ\x00\x7f"
+    letters = " \t\n\r\x0b\x0c\x1c\x85\xa0aaabcdeéñüß́½²ª0123'''stremvld.,!?-=_#$漢字😀​ ЖٱͅǅⅧ\x00\x7f"
     texts = ["".join(random.choices(letters, k=random.randrange(60))) for _ in range(4000)]
-    texts += ["a" * 3000, " " * 300, "the" * 200, "<|endoftext|>x <|endoftext|>", None, ""]
+    texts += ["a" * 9000, " " * 300, "the" * 200, "<|endoftext|>x <|endoftext|>", "<|endoftext|>", None, "", "b c", "b c"]
     texts += [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     df = docs_of(spark, texts, ids="x", decoded="y")
-    for r in bpe.decode(bpe.encode(df, path), path).collect():
+    for r in bpe.decode(bpe.encode(df, tokenizer), tokenizer).collect():
         wanted = theirs.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert list(r.ids) == wanted and r.decoded == theirs.decode(wanted, skip_special_tokens=False)
-    assert bpe.encode(df.where("false"), path).count() == 0
+    none = bpe.decode(bpe.encode(df.where("false"), tokenizer), tokenizer)
+    assert none.count() == 0 and none.columns == ["doc_id", "text", "ids", "decoded"]
+
 
+def test_bpe_table_is_the_language(tokenizer):
+    """Two labels follow each other in the compiled table exactly where merging their bytes gives these two back."""
+    from tokenizers import Tokenizer
 
-def test_bpe_decodes_anything(machine):
-    assert machine.decode([]) == "" and machine.decode([10**6, -1]) == "" and "�" in machine.decode([int(machine.arc[b"\xff"])])
+    theirs = Tokenizer.from_file(tokenizer)
+    machine, labels = bpe.compiled(tokenizer)
+    random.seed(8)
+    spelt = lambda t: labels.data[labels.start[t] : labels.start[t] + labels.size[t]].tobytes()
+    words = [t for t in range(50256) if spelt(t).isalpha() and spelt(t).isascii()]
+    for a, b in [random.choices(words, k=2) for _ in range(5000)] + [(t, t) for t in words[:300]]:
+        c = machine.column[b]
+        arc = machine.row[a] >= 0 and c >= 0 and bool(machine.arcs[machine.row[a], c >> 3] >> (c & 7) & 1)
+        assert arc == (theirs.encode((spelt(a) + spelt(b)).decode(), add_special_tokens=False).ids == [a, b])
+
+
+def test_bpe_decodes_anything(spark, tokenizer):
+    broken = int(np.flatnonzero(bpe.automaton(tokenizer)[1].size == 1)[-1])
+    rows = [(0, []), (1, [10**6, -1]), (2, None), (3, [64, None, 65]), (4, [broken])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    got = {r.doc_id: r.decoded for r in bpe.decode(df, tokenizer).collect()}
+    assert got[0] == got[1] == got[2] == "" and len(got[3]) == 2 and len(got[4]) == 1
+    with pytest.raises(ValueError):
+        bpe.encode(docs_of(spark, ["a"]), tokenizer, ids="text")
+
+
+def test_bpe_refuses_other_settings(tokenizer, tmp_path):
+    spec = json.load(open(tokenizer, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        at = tmp_path / "t.json"
+        at.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.compiled(str(at))
 
 
 # 7
