@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+POWER_BITS = 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -58,14 +59,18 @@ def word_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        for name, base in (("up", _PRIME), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
+def _powers(base: np.uint64, at: np.ndarray | int) -> np.ndarray:
+    """base to the power of each number in `at`, or of 0 .. at - 1; tables of a fixed size serve texts of any length."""
+    name = f"{base}"
+    if name not in _POWERS:
+        for key, step in ((name, base), (f"{name} far", np.uint64(pow(int(base), 1 << POWER_BITS, 1 << 64)))):
+            steps = np.full(1 << POWER_BITS, step, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+            _POWERS[key] = np.multiply.accumulate(steps)
+    near, far = _POWERS[name], _POWERS[f"{name} far"]
+    if isinstance(at, int):
+        return near[:at] if at <= len(near) else (far[: (at - 1 >> POWER_BITS) + 1, None] * near).reshape(-1)[:at]
+    return near[at & (len(near) - 1)] * far[at >> POWER_BITS]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,10 +86,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes (or 64-bit symbols) wherever they stand."""
-    up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_SYMBOL[data] if data.dtype == np.uint8 else data) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum((_SYMBOL[data] if data.dtype == np.uint8 else data) * _powers(_PRIME, len(data)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, starts) + (ends - starts).astype(np.uint64))
 
 
 def string_hash(text: str | bytes) -> int:

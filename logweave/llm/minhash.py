@@ -199,25 +199,51 @@ def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     return labels.join(moved.select(F.col("id").alias("c"), F.col("component").alias("now")), "c", "left").select("id", F.coalesce("now", "c").alias("c"))
 
 
+def _agreeing(table: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of a group of _within that agree by signature, lie in different components and share this band first."""
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(-1, MINIMA)
+    keys, key = _band_keys(sig), table["key"][0].as_py()
+    c, block = table["c"].to_numpy(), table["own"].to_numpy()
+    cross = table["b1"][0].as_py() != table["b2"][0].as_py()
+    for i in range(len(sig)):
+        rest = np.arange(i + 1, len(sig))
+        rest = rest[(c[rest] != c[i]) & ((block[rest] != block[i]) | (not cross))]
+        if len(rest):
+            shared = keys[rest] == keys[i]
+            first = shared.argmax(1)
+            rest = rest[shared[np.arange(len(rest)), first] & (keys[i][first] == key)]
+            rest = rest[(sig[rest] == sig[i]).mean(1) >= least]
+        if len(rest):
+            yield i, rest
+
+
 def _within(here: DataFrame, mixed: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between members of different components in the buckets `mixed`, found block by block.
 
     A bucket's members are dealt into blocks of about BLOCK; each pair of blocks is one group, in which a pair of
-    members is compared if this is the first band that they share, first by signature, then on full sets. Only
-    links leave a group.
+    members is compared if this is the first band that they share: by signature, and where any agree, the members
+    concerned once more on full sets. So texts go only to groups in which their signature agrees with another's,
+    and only members and links leave a group.
     """
     blocks_in = F.ceil(F.col("n") / BLOCK).cast("int")
     own = here.join(mixed, "key").withColumn("blocks", blocks_in).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "id", "c")
-    rows = own.join(nodes.select("id", "sig"), "id").join(texts, "id").select("key", "b1", "b2", "own", "id", "c", "sig", "text")
     least = _least_agreement(percent / 100)
+    columns = ["key", "b1", "b2", "own", "id", "c"]
+
+    def concerned(table: pa.Table) -> pa.Table:
+        hit = np.zeros(table.num_rows, bool)
+        for i, rest in _agreeing(table, least):
+            hit[i] = hit[rest] = True
+        return table.select(columns).filter(pa.array(hit))
+
+    sigs = nodes.select("id", "sig")
+    asked = own.join(sigs, "id").select(*columns, "sig").groupBy("key", "b1", "b2").applyInArrow(concerned, "key long, b1 int, b2 int, own int, id long, c long")
+    rows = keep(asked, "concerned").join(sigs, "id").join(texts, "id").select(*columns, "sig", "text")
 
     def compare(table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(-1, MINIMA)
-        keys, key = _band_keys(sig), table["key"][0].as_py()
-        ids, c, block = (table[k].to_numpy() for k in ("id", "c", "own"))
-        column = table["text"].combine_chunks()
+        ids, root, column = table["id"].to_numpy(), table["c"].to_numpy().copy(), table["text"].combine_chunks()
         sets: dict[int, np.ndarray] = {}
 
         def set_of(i: int) -> np.ndarray:
@@ -226,26 +252,21 @@ def _within(here: DataFrame, mixed: DataFrame, nodes: DataFrame, texts: DataFram
                 sets[i] = shingle_sets(data[offsets[0] : offsets[1]], offsets - offsets[0], words)[0]
             return sets[i]
 
-        cross = table["b1"][0].as_py() != table["b2"][0].as_py()
         u, v = [], []
-        for i in range(len(ids)):
-            rest = np.arange(i + 1, len(ids))
-            rest = rest[(c[rest] != c[i]) & ((block[rest] != block[i]) | (not cross))]
+        for i, rest in _agreeing(table, least):
+            rest = rest[root[rest] != root[i]]  # what this group has joined already needs no more links
             if not len(rest):
                 continue
-            shared = keys[rest] == keys[i]
-            first = shared.argmax(1)
-            rest = rest[shared[np.arange(len(rest)), first] & (keys[i][first] == key)]
-            rest = rest[(sig[rest] == sig[i]).mean(1) >= least]
-            if len(rest):
-                a, others = set_of(i), [set_of(int(j)) for j in rest]
-                size = np.array([len(x) for x in others])
-                every = np.concatenate(others)
-                hit = a[np.minimum(np.searchsorted(a, every), len(a) - 1)] == every
-                common = np.add.reduceat(hit, np.cumsum(size) - size)
-                good = rest[100 * common >= percent * (len(a) + size - common)]
-                u += [ids[i]] * len(good)
-                v += ids[good].tolist()
+            a, others = set_of(i), [set_of(int(j)) for j in rest]
+            size = np.array([len(x) for x in others])
+            every = np.concatenate(others)
+            hit = a[np.minimum(np.searchsorted(a, every), len(a) - 1)] == every
+            common = np.add.reduceat(hit, np.cumsum(size) - size)
+            for j in rest[100 * common >= percent * (len(a) + size - common)].tolist():
+                if root[j] != root[i]:
+                    u.append(ids[i])
+                    v.append(ids[j])
+                    root[root == root[j]] = root[i]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return rows.groupBy("key", "b1", "b2").applyInArrow(compare, "u long, v long").distinct()
