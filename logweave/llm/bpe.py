@@ -32,7 +32,7 @@ from ._bytes import blocks, span_hashes
 SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 CHUNK = 4096  # places of a word that are looked at together
 OTHER, WHITE, LETTER, NUMBER = range(4)
 
