@@ -11,16 +11,22 @@ LOCALHOST = 2130706433
 IPV4 = r"(?<![0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9.])"
 TOKEN_CHARS = "0-9a-z_.@-"
 
-# IP protocol numbers of the IANA registry.
-PROTOCOLS = dict(
-    HOPOPT=0, ICMP=1, IGMP=2, GGP=3, IPV4=4, ST=5, TCP=6, CBT=7, EGP=8, IGP=9, PUP=12, ARGUS=13, EMCON=14, XNET=15, CHAOS=16, UDP=17, MUX=18,
-    HMP=20, PRM=21, RDP=27, IRTP=28, NETBLT=30, DCCP=33, IDPR=35, XTP=36, DDP=37, IL=40, IPV6=41, SDRP=42, IDRP=45, RSVP=46, GRE=47, DSR=48, BNA=49,
-    ESP=50, AH=51, SWIPE=53, NARP=54, MOBILE=55, TLSP=56, SKIP=57, CFTP=62, KRYPTOLAN=65, RVD=66, IPPC=67, VISA=70, IPCV=71, CPNX=72, CPHB=73, WSN=74,
-    PVP=75, VMTP=81, VINES=83, IPTM=84, DGP=86, TCF=87, EIGRP=88, OSPFIGP=89, LARP=91, MTP=92, IPIP=94, MICP=95, ETHERIP=97, ENCAP=98, GMTP=100,
-    IFMP=101, PNNI=102, PIM=103, ARIS=104, SCPS=105, QNX=106, IPCOMP=108, SNP=109, VRRP=112, PGM=113, L2TP=115, DDX=116, IATP=117, STP=118, SRP=119,
-    UTI=120, SMP=121, SM=122, PTP=123, FIRE=125, CRTP=126, CRUDP=127, SSCOPMCE=128, IPLT=129, SPS=130, PIPE=131, SCTP=132, FC=133, UDPLITE=136, MANET=138,
-    SHIM6=139, WESP=140, ROHC=141,
-)
+# Names of IP protocols and their numbers.
+PROTOCOLS = {
+    "HOPOPT": 0, "ICMP": 1, "IGMP": 2, "GGP": 3, "IPV4": 4, "ST": 5, "TCP": 6, "CBT": 7, "EGP": 8, "IGP": 9, "BBN-RCC-MON": 10, "NVP-II": 11, "PUP": 12,
+    "ARGUS": 13, "EMCON": 14, "XNET": 15, "CHAOS": 16, "UDP": 17, "MUX": 18, "DCN-MEAS": 19, "HMP": 20, "PRM": 21, "XNS-IDP": 22, "TRUNK-1": 23,
+    "TRUNK-2": 24, "LEAF-1": 25, "LEAF-2": 26, "RDP": 27, "IRTP": 28, "ISO-TP4": 29, "NETBLT": 30, "MFE-NSP": 31, "MERIT-INP": 32, "DCCP": 33, "3PC": 34,
+    "IDPR": 35, "XTP": 36, "DDP": 37, "IDPR-CMTP": 38, "TP++": 39, "IL": 40, "IPV6": 41, "SDRP": 42, "IPV6-ROUTE": 43, "IPV6-FRAG": 44, "IDRP": 45,
+    "RSVP": 46, "GRE": 47, "DSR": 48, "BNA": 49, "ESP": 50, "AH": 51, "I-NLSP": 52, "SWIPE": 53, "NARP": 54, "MOBILE": 55, "TLSP": 56, "SKIP": 57,
+    "IPV6-ICMP": 58, "IPV6-NONXT": 59, "IPV6-OPTS": 60, "CFTP": 62, "SAT-EXPAK": 64, "KRYPTOLAN": 65, "RVD": 66, "IPPC": 67, "SAT-MON": 69, "VISA": 70,
+    "IPCV": 71, "CPNX": 72, "CPHB": 73, "WSN": 74, "PVP": 75, "BR-SAT-MON": 76, "SUN-ND": 77, "WB-MON": 78, "WB-EXPAK": 79, "ISO-IP": 80, "VMTP": 81,
+    "SECURE-VMTP": 82, "VINES": 83, "IPTM": 84, "TTP": 84, "NSFNET-IGP": 85, "DGP": 86, "TCF": 87, "EIGRP": 88, "OSPFIGP": 89, "SPRITE-RPC": 90,
+    "LARP": 91, "MTP": 92, "AX.25": 93, "IPIP": 94, "MICP": 95, "SCC-SP": 96, "ETHERIP": 97, "ENCAP": 98, "GMTP": 100, "IFMP": 101, "PNNI": 102,
+    "PIM": 103, "ARIS": 104, "SCPS": 105, "QNX": 106, "A/N": 107, "IPCOMP": 108, "SNP": 109, "COMPAQ-PEER": 110, "IPX-IN-IP": 111, "VRRP": 112,
+    "PGM": 113, "L2TP": 115, "DDX": 116, "IATP": 117, "STP": 118, "SRP": 119, "UTI": 120, "SMP": 121, "SM": 122, "PTP": 123, "ISIS OVER IPV4": 124,
+    "FIRE": 125, "CRTP": 126, "CRUDP": 127, "SSCOPMCE": 128, "IPLT": 129, "SPS": 130, "PIPE": 131, "SCTP": 132, "FC": 133, "RSVP-E2E-IGNORE": 134,
+    "MOBILITY HEADER": 135, "UDPLITE": 136, "MPLS-IN-IP": 137, "MANET": 138, "HIP": 139, "SHIM6": 140, "WESP": 141, "ROHC": 142, "RESERVED": 255,
+}
 
 
 def ip_to_long(ip: Column) -> Column:
@@ -61,7 +67,8 @@ def proto_to_number(name: Column) -> Column:
 
 
 def number_to_proto(number: Column) -> Column:
-    return F.coalesce(_lookup({str(v): k for k, v in PROTOCOLS.items()})[number.cast("string")], number.cast("string"))
+    """Protocol name of a number, the first by name where two share it; a number that is not known stays as it is."""
+    return F.coalesce(_lookup({str(v): k for k, v in sorted(PROTOCOLS.items(), reverse=True)})[number.cast("string")], number.cast("string"))
 
 
 def country_to_code(country: Column) -> Column:
@@ -169,7 +176,9 @@ def domain_levels(host: Column, levels: int = 9) -> Column:
 
 
 def url_decode(text: Column) -> Column:
-    return F.try_url_decode(text)
+    """text with each %XX decoded (together as UTF-8); a plus sign and a percent sign that starts no code stay as they are."""
+    bare = F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(bare)
 
 
 def field(df, name: str) -> Column:

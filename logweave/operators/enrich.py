@@ -14,25 +14,33 @@ SMALL_RANGES = 10_000
 MD5 = r"(?:^|\s)([0-9a-fA-F]{32})(?:\s|$)"
 
 
-def range_join(left: DataFrame, ranges: DataFrame, point: Column, low: str, high: str, how: str = "left", bits: int = 16, small: int = SMALL_RANGES) -> DataFrame:
-    """left joined with the ranges that hold its point (a number).
+LEVELS = (8, 16, 24, 32, 48, 63)  # bits of the cells; a range lies in at most two cells of the first that is wider
 
-    Ranges are spread over cells of 2^bits numbers, so that the join is an equi join of cells with a filter. Wider
-    ranges go by the coarser cells of 2^(2 * bits), so no range has more than about 2^bits cells. With at most `small`
-    ranges they are broadcast, else both sides are shuffled by cell.
+
+def range_hits(points: DataFrame, ranges: DataFrame, low: str, high: str, small: int = SMALL_RANGES) -> DataFrame:
+    """points (column _point, each number once) joined with the ranges that hold them.
+
+    A range goes by the cells of the first level that is as wide as itself, so it has two cells at most, and a point
+    asks for its cell of each level: an equi join with a filter. At most `small` rows of cells are broadcast, more are shuffled.
     """
-    wide = (F.col(high) - F.col(low)) >= (1 << (2 * bits - 4))
-    level = F.when(wide, 2 * bits).otherwise(bits)
-    cell = lambda x, b: F.floor(x / F.pow(F.lit(2.0), b)).cast("long")
-    spread = ranges.withColumn("_bits", level.cast("int"))
-    spread = spread.withColumn("_cell", F.explode(F.sequence(cell(F.col(low), F.col("_bits")), cell(F.col(high), F.col("_bits")))))
-    if ranges.limit(small + 1).count() <= small:
+    width = F.col(high) - F.col(low)
+    bits = F.coalesce(*[F.when(width < (1 << b), b) for b in LEVELS[:-1]], F.lit(LEVELS[-1]))
+    cell = lambda x: F.array(*[F.struct(F.lit(b).alias("_bits"), F.shiftright(x, b).alias("_cell")) for b in LEVELS])
+    own = lambda x: F.filter(cell(F.col(x)), lambda c: c["_bits"] == bits)
+    spread = ranges.withColumns({low: F.col(low).cast("long"), high: F.col(high).cast("long")}).where(F.col(low) <= F.col(high))
+    spread = spread.withColumn("_c", F.explode(F.array_distinct(F.concat(own(low), own(high))))).select("*", "_c._bits", "_c._cell").drop("_c")
+    if spread.limit(small + 1).count() <= small:
         spread = F.broadcast(spread)
-    points = left.withColumns({"_row": F.monotonically_increasing_id(), "_point": point.cast("long")})
-    asked = points.select("_row", "_point", F.explode(F.array(*[F.struct(F.lit(b).alias("_bits"), cell(F.col("_point"), F.lit(b)).alias("_cell")) for b in (bits, 2 * bits)])).alias("_a"))
-    asked = asked.select("_row", "_point", "_a._bits", "_a._cell")
-    hits = asked.join(spread, ["_bits", "_cell"]).where((F.col("_point") >= F.col(low)) & (F.col("_point") <= F.col(high))).drop("_bits", "_cell", "_point")
-    return points.drop("_point").join(hits, "_row", how).drop("_row")
+    asked = points.withColumn("_c", F.explode(cell(F.col("_point")))).select("*", "_c._bits", "_c._cell").drop("_c")
+    inside = (F.col("_point") >= F.col(low)) & (F.col("_point") <= F.col(high))
+    return asked.join(spread, ["_bits", "_cell"]).where(inside).drop("_bits", "_cell")
+
+
+def range_join(left: DataFrame, ranges: DataFrame, point: Column, low: str, high: str, how: str = "left", small: int = SMALL_RANGES) -> DataFrame:
+    """left joined with the ranges that hold its point (a whole number): each distinct number is looked up once and joined back by its value."""
+    rows = left.withColumn("_point", point.cast("long"))
+    hits = range_hits(rows.select("_point").where("_point is not null").distinct(), ranges, low, high, small)
+    return rows.join(hits, "_point", how).drop("_point")
 
 
 def lookup_ranges(df: DataFrame, ranges: DataFrame, ip: str, into: str, columns: Sequence[str]) -> DataFrame:
@@ -40,21 +48,24 @@ def lookup_ranges(df: DataFrame, ranges: DataFrame, ip: str, into: str, columns:
 
     Each distinct address is looked up once. Of several ranges the narrowest, then the first, counts.
     """
-    addresses = df.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct()
-    hits = range_join(addresses, ranges, ip_to_long(F.col("_ip")), "start_ip", "end_ip", "inner")
+    addresses = df.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_point", ip_to_long(F.col("_ip")))
+    hits = range_hits(addresses.where("_point is not null"), ranges, "start_ip", "end_ip")
     best = F.min_by(F.struct(*columns), F.struct(F.col("end_ip") - F.col("start_ip"), "start_ip"))
     found = hits.groupBy("_ip").agg(best.alias(into))
     return df.join(found, df[ip] == found["_ip"], "left").drop("_ip")
 
 
-NETWORK = ("name", "descr", "org", "cc")
+REGISTRY = ("name", "descr", "org", "cc")
+NETWORK = (*REGISTRY, "country", "state", "city")
 
 
 def enrich_networks(df: DataFrame, subnets: DataFrame, orgs: DataFrame, fields: Sequence[str] = ("srcip", "dstip")) -> DataFrame:
-    """`<field>_net` (name, descr, org, cc, is_local, customer) for each address field. subnets: start_ip, end_ip, org, customer, is_local; orgs: org, name, descr, cc.
+    """`<field>_net` (name, descr, org, cc, country, state, city, is_local, customer) for each address field.
 
-    If a side is local, only its customer and address are kept, on the first local side.
+    subnets: start_ip, end_ip, org, customer, is_local; orgs: org, name, descr, cc, country, state, city (what it
+    lacks is null). If a side is local, only its customer and address are kept, on the first local side.
     """
+    orgs = orgs.withColumns({c: F.lit(None).cast("string") for c in NETWORK if c not in orgs.columns})
     known = subnets.join(orgs, "org", "left").select("start_ip", "end_ip", *NETWORK, "customer", "is_local")
     for f in fields:
         df = lookup_ranges(df, known, f, f"{f}_net", [*NETWORK, "customer", "is_local"])
@@ -78,7 +89,7 @@ def enrich_registry(df: DataFrame, registry: DataFrame, fields: Sequence[str] =
     """`<field>_reg` (name, descr, org, cc) of a registry table (start_ip, end_ip, name, descr, org, cc); a missing country is `default_cc`."""
     known = registry.withColumn("cc", F.coalesce("cc", F.lit(default_cc)))
     for f in fields:
-        df = lookup_ranges(df, known, f, f"{f}_reg", list(NETWORK))
+        df = lookup_ranges(df, known, f, f"{f}_reg", list(REGISTRY))
     return df
 
 
@@ -101,8 +112,8 @@ def enrich_threats(df: DataFrame, indicators: DataFrame, subnets: Sequence[tuple
     texts = ("description", "severity", "since")
     joined = [F.array_join(F.array_sort(F.collect_set(c)), " ").alias(c) for c in texts]
     pack = lambda name: F.struct(*texts).alias(name)
-    addresses = df.select(F.col(ip).alias("_k")).where(F.col("_k").isNotNull() & ~is_local(F.col("_k"), subnets)).distinct()
-    hits = range_join(addresses, indicators.where("kind = 'ip'").select("start_ip", "end_ip", *texts), ip_to_long(F.col("_k")), "start_ip", "end_ip", "inner")
+    addresses = df.select(F.col(ip).alias("_k")).where(F.col("_k").isNotNull() & ~is_local(F.col("_k"), subnets)).distinct().withColumn("_point", ip_to_long(F.col("_k")))
+    hits = range_hits(addresses.where("_point is not null"), indicators.where("kind = 'ip'").select("start_ip", "end_ip", *texts), "start_ip", "end_ip")
     found = hits.groupBy("_k").agg(*joined).select("_k", pack(f"{ip}_threat"))
     df = df.join(found, df[ip] == found["_k"], "left").drop("_k")
     for f in names:

@@ -42,6 +42,13 @@ def none_of(*conditions: Column) -> Column:
     return ~any_of(*conditions)
 
 
+def kept(df: DataFrame, conditions: Sequence[Column]) -> DataFrame:
+    """Rows that pass every condition; each is a filter of its own, so that Spark can push to the scan what the scan knows."""
+    for c in conditions:
+        df = df.where(c)
+    return df
+
+
 def keyword(term: str, columns: Sequence[str] = TEXT_FIELDS) -> Column:
     """Whole token, quoted phrase or quoted prefix (`"abc*"`) in any of the columns."""
     plain = term.strip('"')
@@ -81,7 +88,7 @@ def search(df: DataFrame, all: Sequence[Term] = (), any: Sequence[Term] = (), no
         tests.append(any_of(*[_condition(t, columns) for t in any]))
     if none:
         tests.append(none_of(*[_condition(t, columns) for t in none]))
-    return df.where(all_of(*tests))
+    return kept(df, tests)
 
 
 def field_match(df: DataFrame, catalogue: Catalogue, name: str, value: str, exact: bool = False) -> DataFrame:
@@ -114,13 +121,19 @@ def not_in_ranges(column: Column, ranges: Sequence[tuple]) -> Column:
 
 
 def time_range(df: DataFrame, start: str | int | None = None, end: str | int | None = None, tz: str = "UTC") -> DataFrame:
-    """Rows from start to end, both included, given as epoch seconds or as a date text in the zone tz."""
+    """Rows from start to end, both included, given as epoch seconds or as a date text in the zone tz.
+
+    On a table written by day (a date column `day`, as the sinks write it) the days are a predicate too, which prunes
+    its partitions.
+    """
 
     def bound(x: str | int) -> Column:
         return F.timestamp_seconds(fn.parse_time(F.lit(str(x)), tz))
 
     tests = ([F.col("ts") >= bound(start)] if start is not None else []) + ([F.col("ts") <= bound(end)] if end is not None else [])
-    return df.where(all_of(*tests))
+    if dict(df.dtypes).get("day") == "date":
+        tests += ([F.col("day") >= F.to_date(bound(start))] if start is not None else []) + ([F.col("day") <= F.to_date(bound(end))] if end is not None else [])
+    return kept(df, tests)
 
 
 def restrict_classes(df: DataFrame, catalogue: Catalogue, fields: Sequence[str] = (), group: str | None = None, cls: str | None = None) -> DataFrame:
@@ -147,7 +160,7 @@ def in_imports(df: DataFrame, imports: DataFrame, all: Sequence[Column] = (), an
     More than `limit` sets are an error; so their ranges are a predicate of bounded size on the scan.
     """
     tests = [*all, *([any_of(*any)] if any else []), *([none_of(*none)] if none else [])]
-    chosen = imports.where(all_of(*tests)).select("first_id", "last_id").limit(limit + 1).collect()
+    chosen = kept(imports, tests).select("first_id", "last_id").limit(limit + 1).collect()
     if len(chosen) > limit:
         raise ValueError(f"more than {limit} import sets")
     return df.where(in_ranges(F.col("id"), [(r[0], r[1]) for r in chosen]))
@@ -192,6 +205,15 @@ class Macros(dict):
         return self[name.lstrip("$")]()
 
 
+def builtin_macros(local: Sequence[tuple[str, str]], orgs: dict[str, Sequence[tuple[str, str]]]) -> Macros:
+    """$src_local and $dst_local, and for each organisation $org, $src_org and $dst_org under its lower-cased name: either, source or destination address in its subnets."""
+    out = Macros(src_local=lambda: subnet_macro(local), dst_local=lambda: subnet_macro(local, "dst"))
+    for org, subnets in orgs.items():
+        for prefix, side in (("", "any"), ("src_", "src"), ("dst_", "dst")):
+            out[f"{prefix}{org.lower()}"] = lambda subnets=subnets, side=side: subnet_macro(subnets, side)
+    return out
+
+
 def exclude_classes(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.where(~F.col("class").isin(list(names)))
 

@@ -148,8 +148,9 @@ def extract_recent(alerts: DataFrame, dimensions: dict[str, DataFrame], since: C
 
 
 def retain_days(df: DataFrame, days: int, now: Column, ts: str = "ts") -> DataFrame:
-    """Rows of the last days; on a table partitioned by day this prunes partitions."""
-    return df.where(F.to_date(ts) >= F.date_sub(F.to_date(now), days))
+    """Rows of the last days; on a table written by day (a date column `day`) the days prune its partitions."""
+    first = F.date_sub(F.to_date(now), days)
+    return df.where((F.to_date(ts) >= first) & (F.col("day") >= first) if dict(df.dtypes).get("day") == "date" else F.to_date(ts) >= first)
 
 
 SIZES = {"": 1, "K": 1 << 10, "M": 1 << 20, "G": 1 << 30, "T": 1 << 40}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -15,9 +16,25 @@ from .search import OPERATORS
 
 # The shipped extraction patterns.
 PATTERNS = {
-    "tld": [{"field": "site", "pattern": r"\.([a-zA-Z]{2,})$", "extractions": ["tld"]}],
-    "url": [{"field": "uri", "pattern": fn.URL, "extractions": list(fn.URL_PARTS)}],
-    "mimetype": [{"field": "mime_type", "pattern": r"^([^/]+)/(.+)$", "extractions": ["type", "subtype"]}],
+    "tld": [
+        {"field": "domain", "pattern": r"\.([a-zA-Z]+)$", "extractions": ["tld"]},
+        {"field": "site", "pattern": r"\.([a-zA-Z]+)$", "extractions": ["tld"]},
+        {"field": "uri", "pattern": r"\.([a-zA-Z]+)(:|/|$)", "extractions": ["tld"]},
+    ],
+    "url": [
+        {
+            "field": "uri",
+            "pattern": r"(?:([a-zA-Z]+)://)?(?:([^/]+):([^/]+)@)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|[^/]+\.([a-zA-Z]+))(?::(\d+))?(/[^?]*)?(?:\?(.*))?$",
+            "extractions": ["proto", "username", "password", "domain", "tld", "port", "resource", "query_string"],
+        }
+    ],
+    "mimetype": [
+        {
+            "field": "msg",
+            "pattern": r"[\"'(\[\s|;:]((application|audio|chemical|image|message|model|multipart|text|video)/([\w_-]+))[\"')\]\s|;:]",
+            "extractions": ["mime", "type", "subtype"],
+        }
+    ],
 }
 
 
@@ -60,9 +77,11 @@ def remote_ips(df: DataFrame, subnets: Sequence[tuple[str, str]], columns: Seque
 
 
 def parse_fields(df: DataFrame, patterns: str | Sequence[dict]) -> DataFrame:
-    """Captures of each pattern as columns `field.name`, null where the pattern doesn't match."""
+    """Captures of each pattern as columns `field.name`, null where the pattern doesn't match; patterns of fields that df lacks are left out."""
     out = {}
     for p in PATTERNS[patterns] if isinstance(patterns, str) else patterns:
+        if p["field"] not in df.columns:
+            continue
         source = F.col(p["field"])
         for i, name in enumerate(p["extractions"]):
             got = F.regexp_extract(source, p["pattern"], i + 1)
@@ -81,26 +100,34 @@ def format_records(df: DataFrame, catalogue) -> DataFrame:
     return df.withColumn("_fields", F.filter(named, lambda x: (x["class"] == F.col("class")) & x["value"].isNotNull()))
 
 
-def reference_urls(df: DataFrame, templates: dict[str, list[tuple[str, str, str]]]) -> DataFrame:
-    """`urls`: for each class its (column, pattern, template) rows, %s being the pattern's first capture; unmatched ones left out."""
+def reference_urls(df: DataFrame, templates: dict[str, list[tuple]]) -> DataFrame:
+    """`urls`: for each class its (column, pattern, template) rows, %s being the pattern's first capture; unmatched ones left out.
+
+    A fourth entry is a condition (Column) under which the template is used, such as an address range.
+    """
     out = []
     for cls, rows in sorted(templates.items()):
-        for column, pattern, template in rows:
+        for column, pattern, template, *only in rows:
             got = F.regexp_extract(F.col(column).cast("string"), pattern, 1)
-            out.append(F.when((F.col("class") == cls) & (got != ""), F.format_string(template, got)))
+            test = F.coalesce(only[0], F.lit(False)) if only else F.lit(True)
+            out.append(F.when((F.col("class") == cls) & (got != "") & test, F.format_string(template, got)))
     return df.withColumn("urls", F.filter(F.array(*out), lambda u: u.isNotNull()))
 
 
 def anonymise(df: DataFrame, subnets: Sequence[tuple[str, str]], text: str = "msg", columns: Sequence[str] = ("srcip", "dstip")) -> DataFrame:
     """Local addresses as ?.?.?.N in the text and the columns, N by first appearance (time, then address).
 
-    Numbers are given over the distinct local addresses only, of which there are no more than the subnets hold; each
-    record's own addresses are then looked up by a join and put in as whole addresses.
+    Numbers are given over the distinct local addresses only, minute by minute of their first appearance: inside a
+    minute by a window of its own, on top of the number of addresses of the minutes before, so that the only window over
+    all of them has one row a minute. Each record's own addresses are then looked up by a join and put in as whole addresses.
     """
     every = df.select("id", "ts", F.explode(F.array_distinct(F.concat(fn.all_ips(F.col(text)), F.array(*[F.col(c) for c in columns])))).alias("ip"))
     local = every.where(fn.is_local(F.col("ip"), subnets))
     first = local.groupBy("ip").agg(F.min("ts").alias("at"))
-    numbers = first.select("ip", (F.row_number().over(Window.orderBy("at", "ip")) - 1).alias("n"))
+    first = first.withColumn("minute", fn.bucket(F.col("at"), "minute"))
+    before = first.groupBy("minute").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.orderBy("minute")) - F.col("k")).select("minute", "before")
+    own = F.row_number().over(Window.partitionBy("minute").orderBy("at", "ip")) - 1
+    numbers = first.withColumn("own", own).join(before, "minute").select("ip", (F.col("own") + F.col("before")).cast("long").alias("n"))
     pairs = local.join(numbers, "ip").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("ip", F.concat(F.lit("?.?.?."), F.col("n").cast("string")))))
                                                         .alias("names"))
     out = df.join(pairs, "id", "left")
@@ -153,19 +180,57 @@ def cluster(df: DataFrame, field: str, k: int = 10, seed: int = 1) -> DataFrame:
     return found.unionByName(rows.where("_x is null").drop("_x").withColumn("cluster", F.lit(None).cast("int")))
 
 
-def natural_breaks(counts: DataFrame, column: str = "_count", k: int = 6, seed: int = 1) -> DataFrame:
-    """`shade` from 1 for each row: its count's group among at most k, ordered by count, least squares within groups."""
-    distinct = counts.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_x")).agg(F.count("*").cast("double").alias("_w"))
-    n = distinct.limit(k + 1).count()
-    if n <= k:
-        ranked = distinct.select("_x", F.row_number().over(Window.orderBy("_x")).alias("shade"))
-    else:
-        rows = VectorAssembler(inputCols=["_x"], outputCol="_features").transform(distinct)
-        model = KMeans(k=k, seed=seed, tol=1e-6, maxIter=100, weightCol="_w", featuresCol="_features", predictionCol="_p").fit(rows)
-        order = sorted(range(len(model.clusterCenters())), key=lambda i: model.clusterCenters()[i][0])
-        shade = F.create_map(*[F.lit(x) for pair in ((c, i + 1) for i, c in enumerate(order)) for x in pair])
-        ranked = model.transform(rows).select("_x", shade[F.col("_p")].alias("shade"))
-    return counts.join(ranked, F.col(column).cast("double") == F.col("_x"), "left").drop("_x")
+def _best_groups(x: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """Group (from 1) of each of the sorted numbers x of weights w in the k groups of least squares, by dynamic programming.
+
+    The best last group of the first j numbers starts no earlier for a greater j, so each round halves its ranges.
+    """
+    x = x - np.average(x, weights=w)
+    n, sums = len(x), [np.concatenate([[0.0], np.cumsum(w * x**p)]) for p in (0, 1, 2)]
+
+    def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b, c = (s[j] - s[i] for s in sums)
+        return np.maximum(c - b * b / a, 0)
+
+    best = np.concatenate([[0.0], cost(np.zeros(n, np.int64), np.arange(1, n + 1))])
+    starts = []
+    for g in range(2, k + 1):
+        now, start = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        ranges = np.array([[g, n, g - 1, n - 1]])
+        while len(ranges):
+            low, high, first, last = ranges.T
+            mid = (low + high) // 2
+            size = np.minimum(mid - 1, last) - first + 1
+            of = np.repeat(np.arange(len(mid)), size)
+            i = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + first[of]
+            value = best[i] + cost(i, mid[of])
+            least = np.minimum.reduceat(value, np.cumsum(size) - size)
+            hit = np.flatnonzero(value == least[of])
+            _, once = np.unique(of[hit], return_index=True)
+            at = i[hit[once]]
+            now[mid], start[mid] = least, at
+            ranges = np.concatenate([np.stack([low, mid - 1, first, at], 1), np.stack([mid + 1, high, at, last], 1)])
+            ranges = ranges[ranges[:, 0] <= ranges[:, 1]]
+        best = now
+        starts.append(start)
+    out, j = np.ones(n, np.int64), n
+    for g, start in zip(range(k, 1, -1), starts[::-1], strict=True):
+        out[start[j] : j] = g
+        j = start[j]
+    return out
+
+
+def natural_breaks(counts: DataFrame, column: str = "_count", k: int = 6) -> DataFrame:
+    """`shade` from 1 for each row: its count's group among at most k, ordered by count, of least squares within groups.
+
+    The grouping is the best one, over the distinct counts and how often each occurs. These are collected: counts that
+    add up to N records have at most sqrt(2 N) distinct values. A null count has no shade.
+    """
+    x = F.col(column).cast("double")
+    distinct = counts.where(F.col(column).isNotNull()).groupBy(x.alias("x")).agg(F.count("*").cast("double").alias("w")).toPandas().sort_values("x")
+    shades = _best_groups(distinct["x"].to_numpy(), distinct["w"].to_numpy(), min(k, len(distinct))) if len(distinct) else []
+    ranked = counts.sparkSession.createDataFrame(list(zip(distinct["x"].tolist(), map(int, shades), strict=True)), "_x double, shade int")
+    return counts.join(F.broadcast(ranked) if len(distinct) <= 10_000 else ranked, x == F.col("_x"), "left").drop("_x")
 
 
 def map_groups(df: DataFrame, key: str, fn_: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -121,6 +121,11 @@ def _(s, d):
     return search.restrict_classes(log(s, d), small(), ["srcip", "dstport"]).select("id", "class")
 
 
+@q("f10_agreeing", "SELECT id FROM log WHERE k = 7 AND program = 'error'")
+def _(s, d):
+    return search.search(log(s, d), all=[("k", "=", 7), ("k", "=", 7), ("program", "=", "error")]).select("id")
+
+
 @q("f11_nodes", "SELECT id FROM log WHERE node IN ('node0', 'node1') AND node <> 'node1'")
 def _(s, d):
     return search.nodes(log(s, d), ["node0", "node1"], ["node1"]).select("id")
@@ -172,6 +177,12 @@ def _(s, d):
     return log(s, d).where(macros.use("$src_local") & ~macros.use("$clicks")).select("id")
 
 
+@q("f18_builtin", "SELECT id, host LIKE '10.1.%' AS local, k % 4 <> 0 AND k < 64 AS of_org, false AS from_org FROM log")
+def _(s, d):
+    macros = search.builtin_macros(ONE, {"EXT1": [("203.0.113.0", "203.0.113.63")]})
+    return log(s, d).select("id", macros.use("$src_local").alias("local"), macros.use("$ext1").alias("of_org"), macros.use("$src_ext1").alias("from_org"))
+
+
 @q("f19_excluded", "SELECT id FROM log WHERE class NOT IN ('NONE', 'URL')")
 def _(s, d):
     return search.exclude_classes(log(s, d), ["NONE", "URL"]).select("id")
@@ -182,10 +193,32 @@ URL_SQL = "regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*)://)?(?:([^:@/]*)(?
 
 @q("f20_parse", f"SELECT page_id, nullif({URL_SQL.format(1)}, '') AS proto, nullif({URL_SQL.format(4)}, '') AS domain, nullif({URL_SQL.format(6)}, '') AS resource, nullif({URL_SQL.format(7)}, '') AS query_string FROM pages", "pages")
 def _(s, d):
-    out = transforms.parse_fields(table(s, d, "pages").withColumn("uri", C("url")), "url")
+    own = [{"field": "uri", "pattern": fn.URL, "extractions": list(fn.URL_PARTS)}]
+    out = transforms.parse_fields(table(s, d, "pages").withColumn("uri", C("url")), own)
     return out.select("page_id", *[C(f"`uri.{n}`").alias(n) for n in ("proto", "domain", "resource", "query_string")])
 
 
+SHIPPED_URL = r"regexp_extract(url, '(?:([a-zA-Z]+)://)?(?:([^/]+):([^/]+)@)?(\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}|[^/]+\.([a-zA-Z]+))(?::(\d+))?(/[^?]*)?(?:\?(.*))?$', {})"
+
+
+@q("f20_parse_url", f"SELECT page_id, nullif({SHIPPED_URL.format(1)}, '') AS proto, nullif({SHIPPED_URL.format(4)}, '') AS domain, nullif({SHIPPED_URL.format(5)}, '') AS tld, nullif({SHIPPED_URL.format(6)}, '') AS port, nullif({SHIPPED_URL.format(7)}, '') AS resource, nullif({SHIPPED_URL.format(8)}, '') AS query_string FROM pages", "pages")
+def _(s, d):
+    out = transforms.parse_fields(table(s, d, "pages").withColumn("uri", C("url")), "url")
+    return out.select("page_id", *[C(f"`uri.{n}`").alias(n) for n in ("proto", "domain", "tld", "port", "resource", "query_string")])
+
+
+@q("f20_parse_tld", r"SELECT page_id, nullif(regexp_extract(regexp_extract(url, '://([^/:?#]+)', 1), '\.([a-zA-Z]+)$', 1), '') AS site_tld, nullif(regexp_extract(url, '\.([a-zA-Z]+)(:|/|$)', 1), '') AS uri_tld FROM pages", "pages")
+def _(s, d):
+    df = table(s, d, "pages").select("page_id", C("url").alias("uri"), F.regexp_extract("url", "://([^/:?#]+)", 1).alias("site"))
+    return transforms.parse_fields(df, "tld").select("page_id", C("`site.tld`").alias("site_tld"), C("`uri.tld`").alias("uri_tld"))
+
+
+@q("f20_parse_mimetype", "SELECT id, CASE WHEN k % 2 = 0 THEN 'text/x-' || program END AS mime, CASE WHEN k % 2 = 0 THEN 'text' END AS type, CASE WHEN k % 2 = 0 THEN 'x-' || program END AS subtype FROM log")
+def _(s, d):
+    df = log(s, d).withColumn("msg", F.concat(F.lit("got ("), F.when(C("k") % 2 == 0, "text").otherwise("font"), F.lit("/x-"), "program", F.lit(") from "), "host"))
+    return transforms.parse_fields(df, "mimetype").select("id", *[C(f"`msg.{n}`").alias(n) for n in ("mime", "type", "subtype")])
+
+
 @q("f21_highlight", "SELECT id, regexp_replace(replace(msg, 'error ', '<b>error</b> '), ' from ', ' <b>from</b> ') AS msg FROM log WHERE program = 'error'")
 def _(s, d):
     return transforms.highlight(log(s, d).where("program = 'error'"), ["error", "from"]).select("id", "msg")
@@ -205,6 +238,13 @@ def _(s, d):
     return transforms.reference_urls(log(s, d), rows).select("id", F.array_join("urls", " ").alias("urls"))
 
 
+@q("f23_links_by_range", "SELECT id, CASE WHEN class <> 'URL' THEN '' WHEN k % 4 = 0 THEN concat('https://inside.example/', dstip) ELSE concat('https://whois.example/', dstip) END AS urls FROM log")
+def _(s, d):
+    inside = fn.is_local(C("dstip"), LOCAL)
+    rows = {"URL": [("dstip", "(.*)", "https://inside.example/%s", inside), ("dstip", "(.*)", "https://whois.example/%s", ~inside)]}
+    return transforms.reference_urls(log(s, d), rows).select("id", F.array_join("urls", " ").alias("urls"))
+
+
 @q("f24_anonymise", f"""WITH mine AS (SELECT srcip AS ip, secs FROM log WHERE srcip LIKE '10.1.%'),
  numbers AS (SELECT ip, row_number() OVER (ORDER BY t, ip) - 1 AS n FROM (SELECT ip, min(ts) AS t FROM (SELECT srcip AS ip, ts FROM log WHERE srcip LIKE '10.1.%') GROUP BY ip))
  SELECT id, coalesce('?.?.?.' || n, srcip) AS srcip, CASE WHEN n IS NULL THEN msg ELSE replace(msg, concat('from ', srcip, ' to'), concat('from ?.?.?.', n, ' to')) END AS msg FROM log LEFT JOIN numbers ON log.srcip = numbers.ip""")
@@ -225,6 +265,11 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", fn.url_decode(F.replace("url", F.lit("."), F.lit("%2E"))).alias("url"))
 
 
+@q("f26_url_decode_odd", "SELECT id, concat('a+b 100%', program, '%zz ', host) AS url FROM log")
+def _(s, d):
+    return log(s, d).select("id", fn.url_decode(F.concat(F.lit("a+b%20100%25"), "program", F.lit("%zz "), "host")).alias("url"))
+
+
 # Functions
 
 
@@ -243,6 +288,13 @@ def _(s, d):
     return table(s, d, "nation").select("n_nationkey", code.alias("code"), fn.code_to_country(code).alias("back"), proto.alias("proto"), number.alias("number"))
 
 
+@q("fn_protocols", "SELECT n_nationkey, CASE n_nationkey WHEN 10 THEN 'BBN-RCC-MON' WHEN 19 THEN 'DCN-MEAS' WHEN 22 THEN 'XNS-IDP' ELSE 'x' END AS proto, CASE n_nationkey % 4 WHEN 0 THEN '58' WHEN 1 THEN '84' WHEN 2 THEN '137' ELSE 'nothing' END AS number FROM nation", "nation")
+def _(s, d):
+    n = C("n_nationkey")
+    name = F.when(n % 4 == 0, "ipv6-icmp").when(n % 4 == 1, "TTP").when(n % 4 == 2, "MPLS-in-IP").otherwise("nothing")
+    return table(s, d, "nation").select("n_nationkey", F.when(n.isin(10, 19, 22), fn.number_to_proto(n)).otherwise("x").alias("proto"), fn.proto_to_number(name).alias("number"))
+
+
 @q("fn_time", "SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, CAST(floor(secs / 3600) AS BIGINT) AS hour, CAST(floor(secs / 604800) AS BIGINT) AS week, secs AS parsed, secs + 7200 AS shifted FROM log")
 def _(s, d):
     at = fn.seconds(C("ts"))
@@ -296,14 +348,14 @@ def flagship(s, d):
 
 for _unit in ("minute", "day", "week", "month", "year"):
 
-    @q(f"a3_{_unit}", FILL_SQL.format(n=fn.UNITS[_unit], where="WHERE k = 7"))
+    @q(f"a3_{_unit}", FILL_SQL.format(n=fn.UNITS[_unit], where=""))
     def _(s, d, _unit=_unit):
-        return group.time_histogram(log(s, d).where("k = 7"), _unit)
+        return group.time_histogram(log(s, d), _unit)
 
 
-@q("a4_fill_limit", FILL_SQL.format(n=3600, where="WHERE k = 7") + " LIMIT 24")
+@q("a4_fill_limit", FILL_SQL.format(n=3600, where="") + " LIMIT 24")
 def _(s, d):
-    return group.time_histogram(log(s, d).where("k = 7"), "hour", limit=24)
+    return group.time_histogram(log(s, d), "hour", limit=24)
 
 
 @q("a5_sum", "SELECT host AS _groupby, CAST(sum(conn_bytes) AS BIGINT) AS _count FROM log GROUP BY 1 ORDER BY _count DESC, _groupby LIMIT 100")
@@ -453,7 +505,18 @@ def _(s, d):
     return transforms.cluster(log(s, d), "conn_bytes", k=5).select("id", "cluster")
 
 
-@q("w5_breaks")
+BREAKS_SQL = f"""WITH RECURSIVE {LOG_SQL}, c AS (SELECT CAST(k AS VARCHAR) AS _groupby, count(*) AS _count FROM log GROUP BY k),
+ x AS (SELECT row_number() OVER (ORDER BY v) AS j, v, w FROM (SELECT CAST(_count AS DOUBLE) - (SELECT avg(_count) FROM c) AS v, count(*) AS w FROM c GROUP BY _count)),
+ p AS (SELECT 0 AS j, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c UNION ALL SELECT j, sum(w) OVER (ORDER BY j), sum(w * v) OVER (ORDER BY j), sum(w * v * v) OVER (ORDER BY j) FROM x),
+ e AS (SELECT f.j AS i, t.j AS j, (t.c - f.c) - (t.b - f.b) * (t.b - f.b) / (t.a - f.a) AS cost FROM p f JOIN p t ON f.j < t.j),
+ n AS (SELECT count(*) AS n FROM x),
+ d(g, j, cost, cuts) AS (SELECT 1, j, cost, CAST([] AS BIGINT[]) FROM e WHERE i = 0
+  UNION ALL SELECT g + 1, j, min(cost), arg_min(cuts, cost) FROM (SELECT d.g, e.j, d.cost + e.cost AS cost, list_append(d.cuts, d.j) AS cuts FROM d JOIN e ON e.i = d.j, n WHERE d.g < least(6, n.n)) GROUP BY g, j)
+ SELECT _groupby, _count, CAST(1 + len(list_filter((SELECT cuts FROM d, n WHERE g = least(6, n.n) AND d.j = n.n), lambda q: q < x.j)) AS INTEGER) AS shade
+ FROM c JOIN x ON abs(x.v - (CAST(_count AS DOUBLE) - (SELECT avg(_count) FROM c))) < 1e-9"""
+
+
+@q("w5_breaks", BREAKS_SQL, "breaks")
 def _(s, d):
     return transforms.natural_breaks(group.group_count(log(s, d), "k", limit=0))
 
@@ -463,10 +526,10 @@ def _(s, d):
     return transforms.local_ips(log(s, d), LOCAL).select("id", C("msg_local").alias("first"))
 
 
-@q("u1_merge", "SELECT id, ts IS NOT NULL AS timed FROM log WHERE node <> 'node2' ORDER BY ts, id LIMIT 100")
+@q("u1_merge", "SELECT id, ts IS NOT NULL AS timed FROM log ORDER BY ts, id LIMIT 100")
 def _(s, d):
     df = log(s, d)
-    return group.merge_results([df.where("node = 'node0'"), df.where("node = 'node1'").drop("k")]).select("id", C("ts").isNotNull().alias("timed"))
+    return group.merge_results([df.where("node = 'node0'"), df.where("node = 'node1'").drop("k"), df.where("node = 'node2'")]).select("id", C("ts").isNotNull().alias("timed"))
 
 
 @q("u2_union", "SELECT id FROM log WHERE id BETWEEN 0 AND 99 OR id BETWEEN 200 AND 400 ORDER BY ts, id LIMIT 250")
@@ -490,10 +553,11 @@ def _(s, d):
     return joins.subsearch(df, group.group_count(df.where("program = 'purchase' AND k = 3"), "host", limit=0)).select("id")
 
 
-@q("j2_each_key", "SELECT o_custkey AS uid, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey WHERE false", "orders")
+@q("j2_each_key", "SELECT c_custkey AS uid, c_acctbal AS balance, c_mktsegment AS seg FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_acctbal > 9000 GROUP BY 1)", "customer")
 def _(s, d):
-    keys = table(s, d, "customer").where("false").select(C("c_mktsegment").alias("_groupby"), F.lit(1).alias("_count"))
-    return joins.for_each_key(keys, table(s, d, "customer"), "c_mktsegment").select(C("c_custkey").alias("uid"), C("parent_key").alias("seg"))
+    customers = table(s, d, "customer")
+    keys = group.group_count(customers.where("c_acctbal > 9000"), "c_mktsegment", limit=0)
+    return joins.for_each_key(keys, customers, "c_mktsegment").select(C("c_custkey").alias("uid"), C("c_acctbal").alias("balance"), C("parent_key").alias("seg"))
 
 
 @q("j2_each_key_counts", "SELECT host AS parent_key, program AS _groupby, count(*) AS _count FROM log WHERE host IN (SELECT host FROM log GROUP BY 1 ORDER BY count(*) DESC, host LIMIT 20) GROUP BY 1, 2")
@@ -521,16 +585,17 @@ def _n(ip: str) -> int:
 
 
 NETS = [(_n("10.1.0.0"), _n("10.1.255.255"), "HQ", "cust1", True), (_n("203.0.113.0"), _n("203.0.113.63"), "EXT1", None, False), (_n("203.0.113.64"), _n("203.0.113.95"), "EXT2", None, False)]
-ORGS = [("HQ", "Head", "head office", "DE"), ("EXT1", "First", "first net", "FR"), ("EXT2", "Second", "second net", "US")]
+ORGS = [("HQ", "Head", "head office", "DE", "Germany", None, "Bonn"), ("EXT1", "First", "first net", "FR", "France", "IDF", "Paris"), ("EXT2", "Second", "second net", "US", "United States", "WI", "Madison")]
 
 
 def _nets(s):
-    return s.createDataFrame(NETS, "start_ip long, end_ip long, org string, customer string, is_local boolean"), s.createDataFrame(ORGS, "org string, name string, descr string, cc string")
+    return s.createDataFrame(NETS, "start_ip long, end_ip long, org string, customer string, is_local boolean"), s.createDataFrame(ORGS, "org string, name string, descr string, cc string, country string, state string, city string")
 
 
-@q("j5_networks", """SELECT id, CASE WHEN host LIKE '10.1.%' THEN 'cust1' END AS src_customer, CASE WHEN host LIKE '10.1.%' OR k % 4 = 0 OR k > 95 THEN NULL WHEN k < 64 THEN 'First' ELSE 'Second' END AS dst_name FROM log""")
+@q("j5_networks", """SELECT id, CASE WHEN host LIKE '10.1.%' THEN 'cust1' END AS src_customer, CASE WHEN host LIKE '10.1.%' OR k % 4 = 0 OR k > 95 THEN NULL WHEN k < 64 THEN 'First' ELSE 'Second' END AS dst_name,
+ CASE WHEN host LIKE '10.1.%' OR k % 4 = 0 OR k > 95 THEN NULL WHEN k < 64 THEN 'France IDF Paris' ELSE 'United States WI Madison' END AS dst_place FROM log""")
 def _(s, d):
-    return enrich.enrich_networks(log(s, d), *_nets(s)).select("id", C("srcip_net.customer").alias("src_customer"), C("dstip_net.name").alias("dst_name"))
+    return enrich.enrich_networks(log(s, d), *_nets(s)).select("id", C("srcip_net.customer").alias("src_customer"), C("dstip_net.name").alias("dst_name"), F.when(C("dstip_net.country").isNotNull(), F.concat_ws(" ", "dstip_net.country", "dstip_net.state", "dstip_net.city")).alias("dst_place"))
 
 
 @q("j6_registry", "SELECT id, CASE WHEN k % 4 = 0 THEN NULL WHEN k < 64 THEN 'FR' ELSE 'US' END AS cc FROM log")
@@ -580,6 +645,13 @@ def _(s, d):
     return out.select("n_nationkey", "n_name", F.array_join("s_name", " ").alias("suppliers"))
 
 
+@q("j11_lookup_during", "SELECT id, CASE WHEN k < 50 THEN coalesce((SELECT string_agg(n, ' ' ORDER BY n) FROM (VALUES ('early', 0, 12), ('late', 10, 31)) v(n, a, b) WHERE day(ts) BETWEEN a AND b), '') ELSE '' END AS names FROM log")
+def _(s, d):
+    df = log(s, d).withColumns({"half": (C("k") < 50).cast("int"), "day": F.dayofmonth("ts")})
+    lookup = s.createDataFrame([(1, "early", 0, 12), (1, "late", 10, 31)], "half int, name string, a int, b int")
+    return enrich.enrich_lookup(df, lookup, {"half": "half"}, ["name"], during=("day", "a", "b")).select("id", F.array_join("name", " ").alias("names"))
+
+
 @q("j12_asn", "SELECT id, CAST(k % 5 AS INT) + 100 AS asn, CASE WHEN k % 5 = 2 THEN 'two' END AS descr FROM log WHERE k % 5 > 0")
 def _(s, d):
     df = log(s, d).where("k % 5 > 0").select("id", F.lit(100).alias("src_asn"), (C("k") % 5 + 100).cast("int").alias("dst_asn"))
@@ -624,13 +696,13 @@ def _(s, d):
 # Sources, sinks, maintenance
 
 
-@q("s1_tsv", "SELECT secs AS ts, program, class, msg, CAST(" + ip_sql("srcip") + " AS VARCHAR) AS i0, " + ip_sql("host") + " AS host_id FROM log WHERE k < 98 AND class = 'URL'")
+@q("s1_tsv", "SELECT secs AS ts, program, class, msg, CASE WHEN class IN ('URL', 'BRO_HTTP', 'FIREWALL_CONNECTION_END') THEN CAST(" + ip_sql("srcip") + " AS VARCHAR) ELSE srcip END AS i0, CASE WHEN class IN ('URL', 'BRO_HTTP', 'FIREWALL_CONNECTION_END') THEN CAST(" + ip_sql("dstip") + " AS VARCHAR) ELSE dstip END AS i1, " + ip_sql("host") + " AS host_id FROM log WHERE k < 98")
 def _(s, d):
     df = log(s, d)
     number = F.create_map(*[F.lit(x) for c, n in small().numbers.items() for x in (c, str(n))])[C("class")]
     line = F.concat_ws("\t", fn.seconds(C("ts")).cast("string"), "host", F.upper("program"), F.when(C("k") < 98, number).otherwise("77"), "msg", "srcip", "dstip")
     good, _ = readers.parse_log_tsv(df.select(line.alias("value")), small())
-    return good.where("class = 'URL'").select("ts", "program", "class", "msg", "i0", "host_id")
+    return good.select("ts", "program", "class", "msg", "i0", "i1", "host_id")
 
 
 @q("s2_structs", "SELECT id, CASE WHEN class IN ('NONE', 'SSH_LOGIN') THEN 0 ELSE dstport END AS dstport, " + ip_sql("srcip") + " AS srcip FROM log")
@@ -648,15 +720,12 @@ def _(s, d):
     return readers.parse_class_rows(df, small(), "URL").select("ts", "class", "msg", "srcip")
 
 
-@q("s4_syslog", "SELECT secs - secs % 1 AS ts, host, program, msg FROM log")
+@q("s4_syslog", "SELECT secs AS ts, host, program, msg FROM log")
 def _(s, d):
     line = F.concat(F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" "), "host", F.lit(" "), "program", F.lit("[77]: "), "msg")
-    years = log(s, d).withColumn("y", F.year("ts"))
-    year = years.agg(F.min("y")).first()[0]
-    return readers.parse_syslog(years.where(C("y") == year).select(line.alias("value")), year)
-
-
-ORACLE_SQL["s4_syslog"] = f"WITH {LOG_SQL} SELECT secs AS ts, host, program, msg FROM log WHERE year(ts) = (SELECT min(year(ts)) FROM log)"
+    rows = log(s, d).select(F.year("ts").alias("y"), line.alias("value"))
+    years = [r[0] for r in rows.select("y").distinct().collect()]
+    return stats.union_sources([readers.parse_syslog(rows.where(C("y") == y), y) for y in sorted(years)])
 
 
 @q("s5_lines", "SELECT CAST(1700000000 AS BIGINT) AS ts, 'h' AS host, 'p' AS program, text AS msg FROM benchmark", "benchmark")
@@ -818,7 +887,10 @@ def _(s, d):
 def _shared(s: SparkSession) -> str:
     import tempfile
 
-    return s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="logweave-")
+    named = s.conf.get("spark.checkpoint.dir", None)
+    if not named and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or "file://" + tempfile.mkdtemp(prefix="logweave-")
 
 
 def _place(s: SparkSession) -> str:
@@ -863,25 +935,29 @@ def _(s, d):
     return s.read.parquet(f"{at}/out").select("id", "hour")
 
 
-@q("x3_schedule", """WITH b AS (SELECT CAST(floor(min(secs) / 86400) * 86400 AS BIGINT) AS t0 FROM log), w AS (SELECT t0 + 86400 * unnest(range(0, 7)) AS a FROM b)
+@q("x3_schedule", """WITH b AS (SELECT CAST(floor(min(secs) / 86400) * 86400 AS BIGINT) AS t0, CAST(floor(max(secs) / 86400) AS BIGINT) + 1 AS days FROM log), w AS (SELECT t0 + 86400 * unnest(range(0, days - t0 // 86400)) AS a FROM b)
  SELECT CAST(1 AS BIGINT) AS schedule, a AS start, a + 86400 AS "end", count(*) AS count FROM log, w WHERE program = 'error' AND secs >= a AND secs < a + 86400 GROUP BY a""")
 def _(s, d):
     df = log(s, d)
-    first = df.agg(F.min(fn.seconds(C("ts")))).first()[0] // 86400 * 86400
+    low, high = df.agg(F.min(fn.seconds(C("ts"))), F.max(fn.seconds(C("ts")))).first()
     schedule = s.createDataFrame([(1, 86400, True, 0, 1 << 40), (2, 3600, False, 0, 1 << 40)], "id long, frequency long, enabled boolean, start long, end long")
-    return streams.run_schedule(df, schedule, {1: C("program") == "error"}, first, first + 7 * 86400)
+    return streams.run_schedule(df, schedule, {1: C("program") == "error"}, low // 86400 * 86400, (high // 86400 + 1) * 86400)
+
+
+THROTTLE_SQL = f"""WITH RECURSIVE {LOG_SQL}, a AS (SELECT k % 5 AS schedule, secs AS t FROM log WHERE program = 'error'),
+ r(schedule, t) AS (SELECT schedule, min(t) FROM a GROUP BY 1 UNION ALL SELECT r.schedule, min(a.t) FROM r JOIN a ON a.schedule = r.schedule AND a.t >= r.t + 86400 GROUP BY 1) SELECT schedule, t AS "at" FROM r"""
 
 
-@q("x4_throttle")
+@q("x4_throttle", THROTTLE_SQL, "throttle")
 def _(s, d):
     alerts = log(s, d).where("program = 'error'").select((C("k") % 5).alias("schedule"), fn.seconds(C("ts")).alias("at"))
     return streams.throttle_alerts(alerts, 86400)
 
 
-@q("x4_throttle_stream")
+@q("x4_throttle_stream", THROTTLE_SQL, "throttle")
 def _(s, d):
     at = _place(s)
-    alerts = _stream(s, d, at, lambda df: df.where("program = 'error'").select((C("k") % 5).alias("schedule"), fn.seconds(C("ts")).alias("at")), 1)
+    alerts = _stream(s, d, at, lambda df: df.where("program = 'error'").select((C("k") % 5).alias("schedule"), fn.seconds(C("ts")).alias("at")))
     return _run(streams.throttle_stream(alerts, 86400), at)
 
 
@@ -893,12 +969,62 @@ def _(s, d):
     return streams.pair_http(rows, "user_id", "kind", 3600).select("request_id", "response_id")
 
 
+FOREVER = dt.datetime(2100, 1, 1, tzinfo=dt.timezone.utc)  # a row of this time moves the watermark past all others
+
+
+@q("x5_pairs_stream", """WITH n AS (SELECT *, lead(program) OVER w AS p2, lead(secs) OVER w AS t2, lead(id) OVER w AS i2 FROM (SELECT * FROM log WHERE program IN ('click', 'view')) WINDOW w AS (PARTITION BY user_id ORDER BY ts, program, id))
+ SELECT id AS request_id, CASE WHEN p2 = 'view' AND t2 - secs <= 3600 THEN i2 END AS response_id FROM n WHERE program = 'click'""")
+def _(s, d):
+    at = _place(s)
+    e = table(s, d, "events").where(C("event_type").isin("click", "view"))
+    rows = e.select(C("event_id").alias("id"), F.date_trunc("second", C("ts").cast("timestamp")).alias("ts"), "user_id", "event_type")
+    rows.repartition(4).write.parquet(f"{at}/in")
+    rows.limit(1).withColumns({"ts": F.lit(FOREVER), "user_id": F.lit(-1).cast("long"), "event_type": F.lit("view")}).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    read = lambda kind: s.readStream.schema(rows.schema).parquet(f"{at}/in").where(C("event_type") == kind)
+    return _run(streams.pair_http_stream(read("click"), read("view"), "user_id", 3600).select("request_id", "response_id"), at)
+
+
 @q("x6_histogram", "SELECT CAST(floor(secs / 3600) * 3600 AS BIGINT) AS intval, count(*) AS _count FROM log GROUP BY 1")
 def _(s, d):
     at = _place(s)
-    df = log(s, d).withColumn("ts", C("ts"))
-    end = df.limit(1).withColumn("ts", F.lit(dt.datetime(2100, 1, 1, tzinfo=dt.timezone.utc)))  # closes every window
-    df.orderBy("ts").coalesce(1).write.parquet(f"{at}/in")
-    end.coalesce(1).write.mode("append").parquet(f"{at}/in")
-    sdf = s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    df = log(s, d)
+    df.write.parquet(f"{at}/in")
+    df.limit(1).withColumn("ts", F.lit(FOREVER)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    sdf = s.readStream.schema(df.schema).parquet(f"{at}/in")
     return _run(streams.stream_histogram(sdf, "hour"), at).where(C("intval") < 4102444800)
+
+
+# Tables and folders that sources and sinks keep
+
+
+@q("k1_append", "SELECT id, msg, class, secs, (SELECT count(*) FROM log) AS count, (SELECT min(secs) FROM log) AS start, (SELECT max(secs) FROM log) AS \"end\" FROM log")
+def _(s, d):
+    at = _place(s)
+    facts = sinks.append_logs(log(s, d).withColumn("ts", fn.seconds(C("ts"))), f"{at}/log", batch=1).first()
+    sinks.append_logs(log(s, d).withColumn("ts", fn.seconds(C("ts"))), f"{at}/log", batch=1)  # a second run of the batch counts once
+    back = s.read.parquet(f"{at}/log").select("id", "msg", "class", fn.seconds(C("ts")).alias("secs"))
+    return back.withColumns({k: F.lit(facts[k]).cast("long") for k in ("count", "start", "end")})
+
+
+@q("k8_forward", "SELECT id, msg FROM log")
+def _(s, d):
+    at = _place(s)
+    for _ in range(2):
+        sinks.forward_batch(log(s, d).select("id", "msg"), f"{at}/copy", batch=4)
+    return s.read.parquet(f"{at}/copy").select("id", "msg")
+
+
+@q("s18_stream", "SELECT secs AS ts, program, class, msg FROM log")
+def _(s, d):
+    at = _place(s)
+    number = F.create_map(*[F.lit(x) for c, n in small().numbers.items() for x in (c, str(n))])[C("class")]
+    log(s, d).select(F.concat_ws("\t", fn.seconds(C("ts")).cast("string"), "host", "program", number, "msg").alias("value")).repartition(4).write.text(f"{at}/lines")
+    good, _ = readers.parse_log_tsv(readers.stream_logs(s, f"{at}/lines"), small())
+    return _run(good.select("ts", "program", "class", "msg"), at)
+
+
+@q("f8_time_pruned", "SELECT id FROM log WHERE secs >= epoch(TIMESTAMP '2024-01-05 00:00:00') AND secs <= epoch(TIMESTAMP '2024-01-09 12:00:00')")
+def _(s, d):
+    at = _place(s)
+    sinks.append_logs(log(s, d), f"{at}/log")
+    return search.time_range(s.read.parquet(f"{at}/log"), "2024-01-05", "2024-01-09 12:00:00").select("id")

@@ -61,14 +61,19 @@ def parse_log_tsv(lines: DataFrame, catalogue: Catalogue, now: Column | None = N
         F.coalesce(F.col("ts").try_cast("long"), now).alias("ts"), _host(F.col("host")).alias("host_id"), program.alias("program"),
         names[F.coalesce(number, F.lit("1"))].alias("class"), "msg", *[_full(F.col(c)).alias(c) for c in (*INTS, *STRINGS)],
     )
-    for c in INTS + STRINGS:
-        converted = F.lit(None).cast("string")
-        for cls, fields in catalogue.fields.items():
-            for name, kind in _slots(fields):
-                if name == c and kind in NUMBERS:
-                    converted = F.when(F.col("class") == cls, _slot(F.col(c), kind)).otherwise(converted)
-        out = out.withColumn(c, F.coalesce(converted, F.col(c)))
-    return out, df.where(~F.col("ok")).select("value")
+    slots: dict[str, dict[str, str]] = {}
+    for cls, fields in catalogue.fields.items():
+        for name, kind in _slots(fields):
+            if kind in ("ip", "proto"):
+                slots.setdefault(name, {})[cls] = kind
+    converted = {}
+    for c, kinds in slots.items():  # one lookup of the class for each slot, however many classes there are
+        kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("class")]
+        value = F.col(c)
+        for k in sorted(set(kinds.values())):
+            value = F.when(kind == k, _slot(F.col(c), k)).otherwise(value)
+        converted[c] = value
+    return out.withColumns(converted) if converted else out, df.where(~F.col("ok")).select("value")
 
 
 def _slots(fields: dict[str, str]) -> list[tuple[str, str]]:

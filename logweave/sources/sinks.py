@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import functions as fn
 
 
-def append_logs(df: DataFrame, path: str) -> DataFrame:
-    """Appends a batch to the log table, by day and class; gives count and time range of the batch. A ts over 10000 is epoch."""
+def append_logs(df: DataFrame, path: str, batch: int | None = None) -> DataFrame:
+    """Appends a batch to the log table, by day and class; gives count and time range of the batch. A ts over 10000 is epoch.
+
+    The figures are taken while the batch is written, which is computed once. With a batch number the batch has its own
+    folder, which a second run overwrites.
+    """
     if dict(df.dtypes)["ts"] in ("bigint", "int"):
         df = df.withColumn("ts", F.timestamp_seconds("ts"))
     elif dict(df.dtypes)["ts"] == "string":
         df = df.withColumn("ts", F.timestamp_seconds(fn.parse_time(F.col("ts"))))
-    df.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day", "class").parquet(path)
-    return df.agg(F.count("*").alias("count"), F.min(fn.seconds(F.col("ts"))).alias("start"), F.max(fn.seconds(F.col("ts"))).alias("end"))
+    at, seen = fn.seconds(F.col("ts")), Observation()
+    watched = df.observe(seen, F.count("*").alias("count"), F.min(at).alias("start"), F.max(at).alias("end"))
+    writer = watched.withColumn("day", F.to_date("ts")).write.partitionBy("day", "class")
+    if batch is None:
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").parquet(f"{path}/batch={batch}")
+    got = seen.get
+    return df.sparkSession.createDataFrame([(got["count"], got["start"], got["end"])], "count long, start long, end long")
 
 
 def stream_append(sdf: DataFrame, path: str, checkpoint: str, every: str | None = "60 seconds") -> StreamingQuery:
@@ -87,9 +98,12 @@ def query_history(query_log: DataFrame, uid: int, offset: int = 0, limit: int =
     return own.crossJoin(total).orderBy(F.desc("timestamp"), F.desc("qid")).offset(offset).limit(limit)
 
 
-def forward_batch(df: DataFrame, path: str) -> None:
-    """A closed batch, copied to another folder."""
-    df.write.mode("append").parquet(path)
+def forward_batch(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """A closed batch, copied to another folder; with a number, to its own part of it, which a second run overwrites."""
+    if batch is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def geo_features(df: DataFrame) -> DataFrame:

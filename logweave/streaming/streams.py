@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,45 +41,46 @@ def ingest(lines: DataFrame, parse: Callable[[DataFrame], tuple[DataFrame, DataF
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def due(schedule: DataFrame, bookmark: int, now: int) -> list[tuple]:
-    """(id, start, end) of the runs due since the bookmark, missed ones included; only enabled schedules inside their dates."""
-    out = []
-    for r in schedule.where("enabled and start <= cast({1} as long) and end >= cast({0} as long)".format(bookmark, now)).collect():
-        at = bookmark - bookmark % r["frequency"] + r["frequency"]
-        while at <= now:
-            if r["start"] <= at <= r["end"]:
-                out.append((r["id"], at - r["frequency"], at))
-            at += r["frequency"]
-    return sorted(out)
-
-
 def run_schedule(df: DataFrame, schedule: DataFrame, conditions: dict[int, Column], bookmark: int, now: int) -> DataFrame:
-    """schedule, start, end, count of matching rows in [start, end) for each run due. Schedules are few and set by users; all runs are one job."""
-    runs = due(schedule, bookmark, now)
+    """schedule, start, end, count of matching rows in [start, end) for each run due since the bookmark, missed ones included.
+
+    schedule: id, frequency (seconds), enabled, start, end; runs are at multiples of the frequency, of enabled schedules,
+    inside their dates. Schedules are few and set by users, and are collected; all their runs are one job, and a row
+    finds its run of each schedule by arithmetic.
+    """
     at = fn.seconds(F.col("ts"))
-    hits = [F.struct(F.lit(i).cast("long").alias("schedule"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), (conditions[i] & (at >= a) & (at < b)).alias("hit")) for i, a, b in runs]
+    hits, spans = [], []
+    for r in schedule.where("enabled").collect():
+        step, first, last = r["frequency"], bookmark - bookmark % r["frequency"], now - now % r["frequency"]
+        begin = at - F.pmod(at, F.lit(step))
+        hit = conditions[r["id"]] & (at >= first) & (at < last) & (begin + step).between(r["start"], r["end"])
+        hits.append(F.struct(F.lit(r["id"]).cast("long").alias("schedule"), begin.alias("start"), (begin + step).alias("end"), F.coalesce(hit, F.lit(False)).alias("hit")))
+        spans.append((first, last))
     if not hits:
         return df.sparkSession.createDataFrame([], "schedule long, start long, end long, count long")
-    rows = df.where((at >= min(a for _, a, _ in runs)) & (at < max(b for *_, b in runs))).select(F.explode(F.array(*hits)).alias("h")).where("h.hit")
+    rows = df.where((at >= min(a for a, _ in spans)) & (at < max(b for _, b in spans))).select(F.explode(F.array(*hits)).alias("h")).where("h.hit")
     return rows.groupBy("h.schedule", "h.start", "h.end").agg(F.count("*").alias("count")).select("schedule", "start", "end", "count")
 
 
 def throttle_stream(sdf: DataFrame, threshold: int, key: str = "schedule", at: str = "at") -> DataFrame:
-    """Alerts (key, at in epoch seconds) but those within `threshold` seconds of the last one let through, for each key."""
+    """Alerts (key, at in epoch seconds) but those within `threshold` seconds of the last one let through, for each key.
+
+    The alerts of one key in one micro-batch are put in order before they are passed; one that arrives in a later
+    micro-batch than a later alert is measured against that one.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         kept = []
-        for frame in frames:
-            for t in sorted(frame[at]):
-                if last is None or t - last >= threshold:
-                    kept.append(int(t))
-                    last = int(t)
+        for t in np.unique(np.concatenate([frame[at].to_numpy() for frame in frames])).tolist():
+            if last is None or t - last >= threshold:
+                kept.append(t)
+                last = t
         if last is not None:
             state.update((last,))
         yield pd.DataFrame({key: [k[0]] * len(kept), at: kept})
 
-    return sdf.select(F.col(key).cast("long"), F.col(at).cast("long")).groupBy(key).applyInPandasWithState(step, f"{key} long, {at} long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return sdf.select(F.col(key).cast("long"), F.col(at).cast("long")).where(F.col(at).isNotNull()).groupBy(key).applyInPandasWithState(step, f"{key} long, {at} long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def throttle_alerts(df: DataFrame, threshold: int, key: str = "schedule", at: str = "at") -> DataFrame:
@@ -113,11 +115,42 @@ def pair_http(df: DataFrame, key: str, kind: str, timeout: int = 10) -> DataFram
 
 
 def pair_http_stream(requests: DataFrame, responses: DataFrame, key: str, timeout: int = 10, late: str = "1 minute") -> DataFrame:
-    """The stream form: a left outer join of two streams on the key within the timeout; a request may meet several responses."""
-    r = requests.select(F.col(key).alias("key"), F.col("id").alias("request_id"), F.col("ts").cast("timestamp").alias("asked")).withWatermark("asked", late)
-    s = responses.select(F.col(key).alias("key2"), F.col("id").alias("response_id"), F.col("ts").cast("timestamp").alias("answered")).withWatermark("answered", late)
-    test = (F.col("key") == F.col("key2")) & (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"interval {timeout} seconds"))
-    return r.join(s, test, "leftOuter").select("key", "request_id", "response_id", "asked", "answered")
+    """The stream form: key, request_id, response_id, asked, answered of each request with the response that follows on its key.
+
+    The open request of a key is its state. It leaves with the response that comes within the timeout, alone when a new
+    request or a later response comes, and alone when the watermark (`late`) is past its time; lone responses are
+    dropped. Rows of a key are put in order inside a micro-batch.
+    """
+    columns = lambda df, kind: df.select(F.col(key).cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(kind).alias("kind"))
+    both = columns(requests, "request").unionByName(columns(responses, "response")).withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = tuple(state.get) if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            out.append((*waiting, None, None))
+            waiting = None
+        else:
+            for _, _, i, kind, ms in sorted((r.ms, r.kind == "response", r.id, r.kind, r.ms) for frame in frames for r in frame.itertuples()):
+                if kind == "request":
+                    out += [(*waiting, None, None)] if waiting else []
+                    waiting = (i, ms)
+                elif waiting:
+                    good = ms - waiting[1] <= 1000 * timeout
+                    out.append((*waiting, i if good else None, ms if good else None))
+                    waiting = None
+        if waiting:
+            state.update(waiting)
+            state.setTimeoutTimestamp(max(waiting[1] + 1000 * timeout, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        frame = pd.DataFrame(out, columns=["request_id", "asked", "response_id", "answered"]).astype("Int64")
+        frame.insert(0, "key", k[0])
+        yield frame
+
+    schema = "key string, request_id long, asked long, response_id long, answered long"
+    pairs = both.groupBy("key").applyInPandasWithState(step, schema, "id long, asked long", "append", GroupStateTimeout.EventTimeTimeout)
+    return pairs.select("key", "request_id", "response_id", F.timestamp_millis("asked").alias("asked"), F.timestamp_millis("answered").alias("answered"))
 
 
 def stream_histogram(sdf: DataFrame, unit: str, watermark: str = "1 hour") -> DataFrame:

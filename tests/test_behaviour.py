@@ -86,6 +86,84 @@ def test_range_join_small_and_large(spark):
         assert {(r.id, r.name) for r in got.collect()} == wanted
 
 
+def test_range_join_wide_ranges(spark):
+    """Ranges of many widths against brute force; wide ones have two cells, so many of them stay few rows."""
+    import random
+
+    random.seed(6)
+    rows = []
+    for i in range(300):
+        a, b = sorted((random.randrange(1 << random.choice((6, 17, 31, 47, 60))), random.randrange(1 << random.choice((6, 17, 31, 47, 60)))))
+        rows.append((a, b, i))
+    points = [random.randrange(1 << random.choice((6, 17, 31, 47, 60))) for _ in range(200)] + [rows[0][0], rows[0][1]]
+    ranges = spark.createDataFrame(rows, "low long, high long, name long")
+    left = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "id long, p long")
+    for small_ in (10_000, 0):
+        got = sorted((r.id, r.name) for r in enrich.range_join(left, ranges, F.col("p"), "low", "high", "inner", small_).collect())
+        assert got == sorted((i, n) for i, p in enumerate(points) for a, b, n in rows if a <= p <= b)
+
+
+def test_time_range_prunes_days(spark, tmp_path):
+    df = spark.createDataFrame([(k, 86400 * k + 5, "URL") for k in range(20)], "id long, ts long, class string")
+    sinks.append_logs(df, str(tmp_path / "log"))
+    got = search.time_range(spark.read.parquet(str(tmp_path / "log")), 86400 * 3, 86400 * 5)
+    assert sorted(r.id for r in got.collect()) == [3, 4]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(ts" in plan
+
+
+def test_groups_of_least_squares():
+    import itertools
+    import random
+
+    import numpy as np
+
+    random.seed(3)
+    for _ in range(30):
+        x = np.array(sorted(random.sample(range(100), random.randrange(1, 9))), float)
+        w = np.array([random.randrange(1, 4) for _ in x], float)
+        k = random.randrange(1, len(x) + 1)
+        spread = lambda a, b, x=x, w=w: float((w[a:b] * (x[a:b] - np.average(x[a:b], weights=w[a:b])) ** 2).sum())
+        best = min(sum(spread(a, b) for a, b in itertools.pairwise((0, *c, len(x)))) for c in itertools.combinations(range(1, len(x)), k - 1))
+        got = transforms._best_groups(x, w, k)
+        cuts = [0, *(np.flatnonzero(np.diff(got)) + 1).tolist(), len(x)]
+        assert len(cuts) == k + 1 and abs(sum(spread(a, b) for a, b in itertools.pairwise(cuts)) - best) < 1e-6
+
+
+def test_clusters_do_not_overlap(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, 2.0, 3.0, 50.0, 51.0, 52.0, 100.0, 101.0, None])], "id long, v double")
+    got = {}
+    for r in transforms.cluster(df, "v", k=3).collect():
+        got.setdefault(r.cluster, []).append(r.v)
+    assert sorted(sorted(x) for c, x in got.items() if c) == [[1, 2, 3], [50, 51, 52], [100, 101]] and got[None] == [None]
+
+
+def test_conflicts(spark):
+    with pytest.raises(ValueError):
+        search.search(spark.range(1), all=[("id", "=", 1), ("id", "=", 2)])
+
+
+def test_pairs_stream_closes_requests(spark, tmp_path):
+    rows = [(1, 100, "k", "q"), (2, 101, "k", "q"), (3, 105, "k", "r"), (4, 150, "k", "r"), (5, 160, "k", "q"), (6, 190, "k", "r"), (7, 500_000, "end", "r")]
+    spark.createDataFrame(rows, "id long, s long, key string, kind string").withColumn("ts", F.timestamp_seconds("s")).write.parquet(str(tmp_path / "in"))
+    read = lambda k: spark.readStream.schema("id long, s long, key string, kind string, ts timestamp").parquet(str(tmp_path / "in")).where(F.col("kind") == k)
+    q = streams.pair_http_stream(read("q"), read("r"), "key").writeStream.format("memory").queryName("closed").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.request_id: r.response_id for r in spark.table("closed").collect()} == {1: None, 2: 3, 5: None}
+
+
+def test_throttle_stream_orders_small_batches(spark, tmp_path):
+    df = spark.createDataFrame([(1, t) for t in (50, 60, 0, 5, 100, 10)], "schedule long, at long")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        sdf = streams.throttle_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 10)
+        sdf.writeStream.format("memory").queryName("throttled").trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r.at for r in spark.table("throttled").collect()) == [0, 10, 50, 60, 100]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_alerts_throttled(spark):
     df = spark.createDataFrame([(1, 0), (1, 5), (1, 10), (1, 19), (2, 3)], "schedule long, at long")
     assert sorted(map(tuple, streams.throttle_alerts(df, 10).collect())) == [(1, 0), (1, 10), (2, 3)]
