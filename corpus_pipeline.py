@@ -13,7 +13,10 @@ from logweave.llm._store import keep
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.flag(docs, model, "toxicity_score").where("toxicity_score < 0.5").select(docs.columns)
+    name = "toxicity_score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.flag(docs, model, name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, blocks, row_of, span_hashes, word_spans
+from ._store import keep
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 
 SHARD_BYTES = 4 << 20
+MOST_ROWS = 1 << 18
 MATCHES = "array<struct<item_id:string,first_word:int,end_word:int,longest:int>>"
 
 
@@ -133,41 +135,54 @@ def shard_matches(test: TestSet, data: np.ndarray, offsets: np.ndarray) -> tuple
     widest = max(n for n, *_ in test.suffixes)
     order = _suffix_array(text, widest)
     document = row_of(at)
-    hits: list[np.ndarray] = []
+    hits, size = [], 0
     for n, windows, cuts, (where, item) in test.suffixes:
         low, high = _bound(text, order, windows, False), _bound(text, order, windows, True)
         for w in np.flatnonzero(high > low):
-            here = order[low[w] : high[w]]
-            for j in range(cuts[w], cuts[w + 1]):
+            here = np.sort(order[low[w] : high[w]])  # places in the shard's text, so in its documents' order
+            of, at_item = item[cuts[w] : cuts[w + 1]], where[cuts[w] : cuts[w + 1]]
+            for k in np.unique(of):
                 longest = np.full(len(here), n)
-                grow, step = np.arange(len(here)), n
-                while len(grow):  # the occurrence goes on as far as item and document agree
-                    a, b = here[grow] + step, where[j] + step
-                    if b >= len(test.text) or not test.text[b]:
-                        break
-                    grow = grow[(a < len(text)) & (text[np.minimum(a, len(text) - 1)] == test.text[b])]
-                    longest[grow] += 1
-                    step += 1
+                for j in at_item[of == k]:
+                    grow, step = np.arange(len(here)), n
+                    while len(grow):  # the occurrence goes on as far as item and document agree
+                        a, b = here[grow] + step, j + step
+                        if b >= len(test.text) or not test.text[b]:
+                            break
+                        grow = grow[(a < len(text)) & (text[np.minimum(a, len(text) - 1)] == test.text[b])]
+                        step += 1
+                        longest[grow] = np.maximum(longest[grow], step)
                 first = source[here]
-                hits.append(np.stack([document[first], np.full(len(here), item[j]), first - at[document[first]], first - at[document[first]] + n, longest], 1))
+                d = document[first]
+                hits.append(_merged(np.stack([d, np.full(len(here), k), first - at[d], first - at[d] + n, longest], 1)))
+                size += len(hits[-1])
+                if size > MOST_ROWS:  # what is held grows with the merged matches, not with the windows' occurrences
+                    hits = [_merged(np.concatenate(hits))]
+                    size = len(hits[0])
     if hits:
-        every = np.concatenate(hits)
-        every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
-        same = np.zeros(len(every), bool)  # overlapping or adjoining windows of one item in one document make one match
-        same[1:] = (every[1:, 0] == every[:-1, 0]) & (every[1:, 1] == every[:-1, 1]) & (every[1:, 2] <= every[:-1, 3])
-        cut = np.flatnonzero(~same)
-        for d, k, f, e, m in zip(every[cut, 0], every[cut, 1], every[cut, 2], np.maximum.reduceat(every[:, 3], cut), np.maximum.reduceat(every[:, 4], cut), strict=True):
-            found[d].append((test.item_ids[k], int(f), int(e), int(m)))
+        for d, k, f, e, m in _merged(np.concatenate(hits)).tolist():
+            found[d].append((test.item_ids[k], f, e, m))
     return counts, found
 
 
-def _blocks_of(benchmark: DataFrame, limit: int) -> Iterator[list]:
-    """The benchmark's rows in blocks of about `limit` bytes of text."""
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """(document, item, first word, end word, longest) rows with overlapping or adjoining ones of one item in one document made one."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    pair = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(1))]) << 40
+    end = np.maximum.accumulate(rows[:, 3] + pair) - pair
+    same = np.zeros(len(rows), bool)
+    same[1:] = (pair[1:] == pair[:-1]) & (rows[1:, 2] <= end[:-1])
+    cut = np.flatnonzero(~same)
+    return np.stack([*rows[cut, :3].T, np.maximum.reduceat(rows[:, 3], cut), np.maximum.reduceat(rows[:, 4], cut)], 1)
+
+
+def _blocks_of(benchmark: DataFrame, limit: int) -> Iterator[tuple[int, list]]:
+    """How many blocks come behind it, and its rows, for each block of about `limit` bytes of the benchmark's text."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // limit))
     for k in range(n):
-        yield rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        yield n - 1 - k, rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_bytes: int = 16 << 20) -> DataFrame:
@@ -175,14 +190,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bl
 
     docs: text and any other columns, all returned (earlier n_words and matches columns are replaced);
     benchmark: item_id, text. The benchmark goes to the executors in blocks of at most `max_block_bytes` of
-    text, one pass over docs each, so its size is bounded however large it is. Null texts have no words, an
-    empty benchmark or one without words matches nothing, items of equal text all match, repeated rows of docs
-    are treated each by itself.
+    text, one pass over docs each, written before the next, so its size is bounded however large it is. Null texts have
+    no words, an empty benchmark or one without words matches nothing, items of equal text all match, repeated rows of
+    docs are treated each by itself, texts of any length are searched whole, an empty table gives an empty table.
     """
     out = docs.drop("n_words", "matches").withColumns({"n_words": F.lit(0).cast("long"), "matches": F.lit(None).cast(MATCHES)})
     kind = pa.list_(pa.struct([("item_id", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("longest", pa.int32())]))
     at = out.columns.index("text")
-    for rows in _blocks_of(benchmark, max_block_bytes):
+    for left, rows in _blocks_of(benchmark, max_block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(test_set([r[0] for r in rows], [r[1] for r in rows], window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -195,6 +210,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bl
                     yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(counts, pa.int64()), pa.array(merged, kind)], part.schema.names)
 
         out = out.mapInArrow(run, out.schema)
+        if left:  # written before the next block is sent, so that one block at a time lies on an executor
+            out = keep(out, "matches")
+            shared.unpersist()
     return out
 
 

@@ -22,6 +22,8 @@ from .components import connected_components
 
 TABLES = 24
 PROJECTIONS = 8
+SMALL_CELL = 64
+BLOCK = 512
 
 
 def _usable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -55,6 +57,15 @@ def _keys(vectors: np.ndarray, tables: int, width: float) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of each row of x and y, in double precision."""
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+
+
+def _table_keys(column: pa.Array, tables: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, tables)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label; other columns are not looked at).
 
@@ -84,31 +95,72 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int = TABL
     usable = keep(usable, "vectors")
     nodes = usable.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     nodes = keep(nodes, "nodes")
-    cells = nodes.select("id", "label", F.explode("keys").alias("key"))
-    pairs = cells.select(F.col("id").alias("u"), "label", "key").join(cells.select(F.col("id").alias("v"), "label", "key"), ["label", "key"])
-    pairs = keep(pairs.where("u < v").select("u", "v").distinct(), "pairs")
+    # A pair counts in the first table in which its keys agree. Cells of up to SMALL_CELL nodes are written as pairs, which
+    # is at most SMALL_CELL rows a node and table; larger ones are compared in blocks, of which only counts and links leave.
+    cells = nodes.select("id", "label", F.posexplode("keys").alias("t", "key"))
+    sizes = keep(cells.groupBy("label", "t", "key").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    few = cells.join(sizes.where(F.col("n") <= SMALL_CELL).drop("n"), ["label", "t", "key"])
+    pairs = few.select(F.col("id").alias("u"), "label", "t", "key").join(few.select(F.col("id").alias("v"), "label", "t", "key"), ["label", "t", "key"])
+    pairs = keep(pairs.where("u < v").groupBy("u", "v").agg(F.min("t").alias("t")), "pairs")
+    own = nodes.select("id", "v", "keys", "copies")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            size = np.array([len(x) if len(x) == len(y) else 0 for x, y in zip(a, b, strict=True)])
+            first = (_table_keys(batch.column(5), tables) == _table_keys(batch.column(6), tables)).argmax(1)
+            good = first == batch.column(2).to_numpy()
+            a, b = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            size = np.array([len(x) if len(x) == len(y) else 0 for x, y in zip(a, b, strict=True)], np.int64)
+            cosines = np.full(len(size), -2.0)
             for n in np.unique(size[size > 0]):
                 of = np.flatnonzero(size == n)
                 for part in np.array_split(of, 1 + len(of) // 4096):
-                    x, y = (np.frombuffer(b"".join([z[i] for i in part]), "<f8").reshape(len(part), -1) for z in (a, b))
-                    good[part] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= cosine
-            yield batch.select(["u", "v"]).filter(pa.array(good))
+                    cosines[part] = _cosines(*(np.frombuffer(b"".join([z[i] for i in part]), "<f8").reshape(len(part), -1) for z in (a, b)))
+            yield batch.select(["u", "v"]).filter(pa.array(good & (cosines >= cosine)))
 
-    own = nodes.select("id", "v", "copies")
-    both = pairs.join(own.select(F.col("id").alias("u"), F.col("v").alias("vu")), "u")
-    both = both.join(own.select(F.col("id").alias("v"), F.col("v").alias("vv")), "v").select("u", "v", "vu", "vv")
+    both = pairs.join(own.select(F.col("id").alias("u"), F.col("v").alias("vu"), F.col("keys").alias("ku")), "u")
+    both = both.join(own.select(F.col("id").alias("v"), F.col("v").alias("vv"), F.col("keys").alias("kv")), "v").select("u", "v", "t", "vu", "vv", "ku", "kv")
     links = keep(both.mapInArrow(exact, "u long, v long"), "links")
 
+    members = cells.join(sizes.where(F.col("n") > SMALL_CELL), ["label", "t", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("label", "t", "key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        """Rows (u, v, n): n copies linked to u in this pair of blocks, or with n null a link that joins u and v."""
+        ids, copies, block = (table[k].to_numpy() for k in ("id", "copies", "own"))
+        keys, t = _table_keys(table["keys"].combine_chunks(), tables), table["t"][0].as_py()
+        raw = table["v"].to_pylist()
+        cross = table["b1"][0].as_py() != table["b2"][0].as_py()
+        root, counts, links = np.arange(len(ids)), np.zeros(len(ids), np.int64), []
+        size = np.array([len(x) for x in raw])
+        for length in np.unique(size):
+            of = np.flatnonzero(size == length)
+            x = np.frombuffer(b"".join([raw[i] for i in of]), "<f8").reshape(len(of), -1)
+            for k, i in enumerate(of[:-1]):
+                rest = of[k + 1 :]
+                rest = rest[(block[rest] != block[i]) | (not cross)]
+                rest = rest[(keys[rest] == keys[i]).argmax(1) == t]
+                if len(rest):
+                    rest = rest[_cosines(x[k : k + 1], x[np.searchsorted(of, rest)]) >= cosine]
+                counts[i] += copies[rest].sum()
+                counts[rest] += copies[i]
+                for j in rest[root[rest] != root[i]].tolist():
+                    if root[j] != root[i]:
+                        links.append((ids[i], ids[j]))
+                        root[root == root[j]] = root[i]
+        some = np.flatnonzero(counts)
+        columns = [[*ids[some], *(a for a, _ in links)], [*[None] * len(some), *(b for _, b in links)], [*counts[some], *[None] * len(links)]]
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip("uvn", columns, strict=True)})
+
+    grouped = members.join(own, "id").groupBy("label", "t", "key", "b1", "b2")
+    inside = keep(grouped.applyInArrow(compare, "u long, v long, n long"), "inside")
+    spanning = inside.where("v is not null").select("u", "v")
+
     copies = own.select("id", "copies")
     two_way = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    others = two_way.join(copies.select(F.col("id").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
-    component = connected_components(links)
+    others = two_way.join(copies.select(F.col("id").alias("v"), "copies"), "v").select("u", "copies").unionAll(inside.where("v is null").select("u", "n"))
+    others = others.groupBy("u").agg(F.sum("copies").alias("others"))
+    component = connected_components(links.unionAll(spanning))
     facts = copies.join(others.withColumnRenamed("u", "id"), "id", "left").join(component, "id", "left")
     facts = facts.select("id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     facts = keep(facts, "facts")

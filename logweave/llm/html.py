@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>?)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^<]*)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -106,7 +106,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         t = TAG.match(token)
         name = t[2].lower()
-        if not t[4]:  # the page ends inside a tag
+        if token[-1] != ">":  # the page ends inside a tag
             break
         if name == "br":
             parts.append(" ")
@@ -121,7 +121,7 @@ def blocks_of(page: str) -> list[Block]:
                     pass
             continue
         if name in RAW:
-            if name not in unclosed and not t[3].rstrip().endswith("/"):
+            if name not in unclosed and not token[:-1].rstrip().endswith("/"):
                 if shut := SHUT[name].search(page, at):
                     at = shut.start()
                 elif name in ("template", "svg"):
@@ -228,7 +228,9 @@ def main_text(pages: DataFrame, model: HtmlModel, text: str = "text") -> DataFra
     """pages with the main text of the column html, whole, one block a line.
 
     A null or empty page, and one without a block that scores above 0, gives the empty text; an unfinished tag at
-    a page's end is dropped, an unfinished element is closed. Earlier columns of that name are replaced.
+    a page's end is dropped, an unfinished element is closed; a tag with a quote that nothing closes ends at its first
+    `>`. Of equally good regions the first counts. Pages of any length are read whole, repeated rows each by itself, an
+    empty table gives an empty table. Earlier columns of that name are replaced.
     """
     base = pages.drop(text)
     at = base.columns.index("html")

@@ -8,7 +8,6 @@ the word. A text's language is the one with the greatest mean over its words.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,12 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import mix, row_of, span_hashes, word_spans
+from ._bytes import blocks, mix, row_of, span_hashes, word_spans
+from ._store import forget, keep
 
 ORDERS = (5, 4, 3, 2, 1)
 PENALTY = 7.0  # minus log10 of the frequency that an entry unknown in one language gets there
 BLOCK_CHARS = 1 << 19
 SURE_WORDS = 20
+PARTS = 256
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -119,36 +120,34 @@ def identify_texts(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np
     return lang, score
 
 
-def fit(sample: pa.Table, words_kept: int = 40_000, grams_kept: int = 40_000) -> LanguageModel:
-    """The model for (text, lang) rows: the most frequent words and n-grams of each language."""
-    languages = sorted(set(sample["lang"].to_pylist()))
-    if not languages:
-        return LanguageModel([], {}, {})
+def _counted(texts: pa.Array, langs: pa.Array) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """(order, language, hashes, how often) of the words (order 0) and n-grams of texts, padded as word_scores looks them up."""
     letters = _letters()
-    counts: dict[int, dict[str, Counter]] = {n: {g: Counter() for g in languages} for n in (0, *ORDERS)}
-    for g in languages:
-        words = counts[0][g]
-        column = sample.filter(pc.equal(sample["lang"], g))["text"].combine_chunks()
-        for text in pc.utf8_lower(pc.fill_null(column, "")).to_pylist():
-            words.update(text.translate({ord(c): " " for c in set(text) if not letters[ord(c)]}).split())
-        for word, times in words.items():
-            padded = f" {word} "
-            for n in ORDERS:
-                for i in range(len(padded) - n + 1):
-                    counts[n][g][padded[i : i + n]] += times
+    names = np.array(langs.to_pylist(), object)
+    code, first, end = _chars(texts)
+    starts, ends, _ = word_spans(letters[code], np.array([0, len(code)]))
+    of = names[row_of(np.searchsorted(starts, np.concatenate([first, end[-1:]])))]
+    symbols = _hash(np.where(letters[code], code, 32))
+    for lang in sorted(set(of.tolist())):
+        a, b = starts[of == lang], ends[of == lang]
+        yield 0, lang, *np.unique(span_hashes(symbols, a, b), return_counts=True)
+        for n in ORDERS:
+            counts = np.maximum(b - a + 3 - n, 0)
+            at = np.repeat(a - 1 - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            yield n, lang, *np.unique(span_hashes(symbols, at, at + n), return_counts=True)
+
+
+def fit(counts: pa.Table, languages: list[str]) -> LanguageModel:
+    """The model for counted words and n-grams (order, lang, hash, n), each once for a language."""
     model = LanguageModel(languages, {}, {})
-    for n in (0, *ORDERS):
-        kept = sorted({w for g in languages for w, _ in counts[n][g].most_common(grams_kept if n else words_kept)})
-        code = "".join(kept)
-        ends = np.cumsum([len(w) for w in kept]).astype(np.int64)
-        hashes = span_hashes(_hash(np.frombuffer(code.encode("utf-32-le", "surrogatepass"), np.uint32)), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
-        scores = np.full((len(kept), len(languages)), -PENALTY, np.float32)
-        for k, g in enumerate(languages):
-            total = max(1, sum(counts[n][g].values()))
-            found = np.array([counts[n][g].get(w, 0) for w in kept], float)
-            scores[found > 0, k] = np.maximum(np.log10(found[found > 0] / total), -PENALTY)
-        order = np.argsort(hashes)
-        model.hashes[n], model.scores[n] = hashes[order], scores[order]
+    order, hashes, n = counts["order"].to_numpy(), counts["hash"].to_numpy().view(np.uint64), counts["n"].to_numpy().astype(float)
+    lang = np.searchsorted(np.array(languages), np.array(counts["lang"].to_pylist(), str)) if len(order) else np.zeros(0, np.int64)
+    for k in (0, *ORDERS):
+        mine = order == k
+        total = np.bincount(lang[mine], n[mine], len(languages))
+        model.hashes[k], place = np.unique(hashes[mine], return_inverse=True)
+        model.scores[k] = np.full((len(model.hashes[k]), len(languages)), -PENALTY, np.float32)
+        model.scores[k][place, lang[mine]] = np.maximum(np.log10(n[mine] / total[lang[mine]]), -PENALTY)
     return model
 
 
@@ -156,20 +155,37 @@ def train(docs: DataFrame, learn_from: str = "true", max_docs: int = 1500) -> La
     """Fits on at most `max_docs` documents of each language, the first by a hash of doc_id.
 
     docs: doc_id, text, lang; rows without lang, and rows that the SQL condition `learn_from` excludes, are not
-    used. The sample, and with it the model, is bounded by max_docs times the number of languages.
+    used; equal hashes are told apart by doc_id, and repeated rows of a chosen doc_id all count. Every word and n-gram of
+    the sample is kept; they are counted on the executors, and what the driver and the model hold is bounded by max_docs
+    times the number of languages. Without such rows (an empty table) the model knows no language.
     """
     known = docs.where("lang is not null and text is not null").where(learn_from)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("r", rank).where(f"r <= {max_docs}").select("doc_id").distinct()
-    sample = known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").toArrow()
-    return fit(sample.sort_by("doc_id"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    # The first of each of many parts of a language, so that no task sees all rows of one; then the first of those.
+    ids = known.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(PARTS)).alias("part")).withColumn("r", first("lang", "part")).where(f"r <= {max_docs}")
+    ids = ids.withColumn("r", first("lang")).where(f"r <= {max_docs}").select("doc_id").distinct()
+    sample = keep(known.select(F.col("doc_id"), "text", "lang").join(F.broadcast(ids), "doc_id").select("text", "lang"), "languages")
+    languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, _, _ in blocks(batch.column(0)):
+                for n, lang, hashes, times in _counted(batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low)):
+                    columns = [pa.array(np.full(len(hashes), n, np.int32)), pa.array([lang] * len(hashes), pa.string()), pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["order", "lang", "hash", "n"])
+
+    counts = sample.mapInArrow(count, "order int, lang string, hash long, n long").groupBy("order", "lang", "hash").agg(F.sum("n").alias("n")).toArrow()
+    forget(sample)
+    return fit(counts, languages)
 
 
 def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its score; only the column text is looked at.
 
     Null texts and texts without a letter are `und` with score 0, as is every text where nothing was learnt;
-    ties go to the first language by name. Earlier columns of these names are replaced.
+    ties go to the first language by name. Texts of any length are read whole, repeated rows each by itself, an empty
+    table gives an empty table. Earlier columns of these names are replaced.
     """
     base = docs.drop(lang, score)
     at = base.columns.index("text")

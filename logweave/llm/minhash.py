@@ -44,7 +44,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     left = np.repeat(at[1:], np.diff(at)) - np.arange(n)  # words from here to the text's end
     for j in range(words):
         here = np.zeros(n, np.uint64)
-        here[: n - j] = hashes[j:] if j else hashes
+        here[: max(n - j, 0)] = hashes[j:]
         more = left > j
         rolled[more] = mix(rolled[more]) + here[more]
     counts = np.diff(at)

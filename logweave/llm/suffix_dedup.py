@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bits import bit_table, maybe
@@ -29,6 +29,8 @@ from ._bytes import blocks, mix, span_hashes, texts
 from ._store import keep
 
 GRAMS = (32, 60)
+FEW = 4  # times that a period shows before it is looked at
+SLICE = 1 << 15  # segments in a batch
 MOST_SEGMENTS = 1000  # different segments of an anchor that go into one collection
 COLLECTION_BYTES = 1 << 20
 LONG_BYTES = 1 << 22
@@ -36,18 +38,44 @@ LONG_BYTES = 1 << 22
 OCCURRENCE = "anchor long, key long, more long, around int, segment binary, doc_id long, start long"
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start of each segment of a block's texts, its anchor's hash and its anchor's place."""
+def _periodic(data: np.ndarray, starts: np.ndarray, first: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+    """Windows that equal the one a period before in their text, where their anchors come so soon again.
+
+    They repeat an earlier string whatever else the corpus holds, and no string has one of them as its first place.
+    """
+    out = np.zeros(len(starts), bool)
+    place, hashes = (anchor & np.uint64((1 << 24) - 1)).astype(np.int64), anchor >> np.uint64(24)
+    again = (hashes[1:] == hashes[:-1]) & (place[1:] > place[:-1]) & (first[1:] == first[:-1])
+    periods, times = np.unique((place[1:] - place[:-1])[again], return_counts=True)
+    for q in periods[times >= FEW].tolist():
+        differ = np.concatenate([[0], np.cumsum(data[q:] != data[:-q])])
+        w = np.flatnonzero(starts - q >= first)
+        at = starts[w] - q
+        out[w[differ[at + width] == differ[at]]] = True
+    return out
+
+
+def _spans(starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of consecutive window starts of one text begin, and the last of each."""
+    new = np.ones(len(starts), bool)
+    new[1:] = (starts[1:] != starts[:-1] + 1) | (first[1:] != first[:-1])
+    cut = np.flatnonzero(new)
+    return cut, np.append(cut[1:], len(starts))[: len(cut)] - 1
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """First and last window start of each segment of a block's texts, its anchor's hash and its anchor's place;
+    then first and last start of runs of windows that repeat the one a period before, which are in no segment."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < width:
-        return none, none, np.zeros(0, np.uint64), none
+        return none, none, np.zeros(0, np.uint64), none, none, none
     if n > LONG_BYTES and len(offsets) == 2:  # one very long text: piece by piece, each window in one of them
         parts = []
         for at in range(0, n - width + 1, LONG_BYTES - width):
             piece = data[at : at + LONG_BYTES - 1]
-            low, high, anchor, place = segments(piece, np.array([0, len(piece)]), width, gram)
-            parts.append((low + at, high + at, anchor, place + at))
+            low, high, anchor, place, *runs = segments(piece, np.array([0, len(piece)]), width, gram)
+            parts.append((low + at, high + at, anchor, place + at, *(x + at for x in runs)))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     at = np.arange(n - gram + 1)
     hashes = span_hashes(data, at, at + gram)
@@ -63,14 +91,18 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tu
     first = np.repeat(offsets[:-1], np.maximum(length - width + 1, 0))
     starts = first + np.arange(len(first)) - np.repeat(np.cumsum(np.maximum(length - width + 1, 0)) - np.maximum(length - width + 1, 0), np.maximum(length - width + 1, 0))
     if not len(starts):
-        return none, none, np.zeros(0, np.uint64), none
+        return none, none, np.zeros(0, np.uint64), none, none, none
     anchor = least[starts]
+    gone = _periodic(data, starts, first, anchor, width)
+    a, b = _spans(starts[gone], first[gone])
+    runs = starts[gone][a], starts[gone][b]
+    starts, first, anchor = starts[~gone], first[~gone], anchor[~gone]
     new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1])
+    new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1]) | (starts[1:] != starts[:-1] + 1)
     cut = np.flatnonzero(new)
-    last = np.concatenate([cut[1:], [len(starts)]]) - 1
+    last = np.append(cut[1:], len(starts))[: len(cut)] - 1
     place = (anchor[cut] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    return starts[cut], starts[last], mix(hashes[place] + np.uint64(gram)), place
+    return starts[cut], starts[last], mix(hashes[place] + np.uint64(gram)), place, *runs
 
 
 class _Columns:
@@ -157,18 +189,25 @@ def repeats(strings: list[bytes], place: np.ndarray, width: int) -> Iterator[tup
         yield from zip(string[cut].tolist(), at[cut].tolist(), (at[last] + width).tolist(), strict=True)
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray, document: np.ndarray, shift: np.ndarray, width: int, gram: int, bits: np.ndarray | None = None) -> pa.RecordBatch:
-    """Segments of a block as occurrences; bits: only anchors whose bit is set."""
-    low, high, anchor, place = segments(data, offsets, width, gram)
+def _cut(data: np.ndarray, offsets: np.ndarray, document: np.ndarray, shift: np.ndarray, width: int, gram: int, bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Segments of a block as occurrences; bits: only anchors whose bit is set. Runs of periodic windows are rows without segment, from start to `more`."""
+    low, high, anchor, place, first, last = segments(data, offsets, width, gram)
+    names = [x.split()[0] for x in OCCURRENCE.split(", ")]
+    if len(first):
+        text = np.searchsorted(offsets, first, "right") - 1
+        back = shift[text] - offsets[text]
+        zero, n = pa.array(np.zeros(len(first), np.int64)), len(first)
+        yield pa.RecordBatch.from_arrays([zero, zero, pa.array(last + width + back), zero.cast(pa.int32()), pa.nulls(n, pa.binary()), pa.array(document[text]), pa.array(first + back)], names)
     if bits is not None and len(anchor):
         hit = maybe(bits, anchor.view(np.int64))
         low, high, anchor, place = low[hit], high[hit], anchor[hit], place[hit]
     text = np.searchsorted(offsets, low, "right") - 1
-    raw = data.tobytes()
-    found = [raw[i : j + width] for i, j in zip(low.tolist(), high.tolist(), strict=True)]
-    keys = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in found), np.int64).reshape(-1, 2)
-    columns = [anchor.view(np.int64), keys[:, 0], keys[:, 1], (place - low).astype(np.int32), pa.array(found, pa.binary()), document[text], low - offsets[text] + shift[text]]
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], [x.split()[0] for x in OCCURRENCE.split(", ")])
+    for part in np.array_split(np.arange(len(low)), 1 + len(low) // SLICE):
+        found = [data[i : j + width].tobytes() for i, j in zip(low[part].tolist(), high[part].tolist(), strict=True)]
+        keys = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in found), np.int64).reshape(-1, 2)
+        of = text[part]
+        columns = [anchor[part].view(np.int64), keys[:, 0], keys[:, 1], (place - low)[part].astype(np.int32), pa.array(found, pa.binary()), document[of], low[part] - offsets[of] + shift[of]]
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
 
 def _repeated_anchors(docs: DataFrame, width: int) -> np.ndarray:
@@ -225,14 +264,16 @@ def _promising(anchor: np.ndarray, around: np.ndarray, strings: list[bytes], wid
     return good, (around - behind)[good], (around + ahead)[good]
 
 
-def _resolve(found: DataFrame, width: int, level: int) -> DataFrame:
-    """doc_id, first, end of runs of `found` (occurrences of segments) whose windows also start earlier in it."""
+def _resolve(every: DataFrame, width: int, level: int) -> DataFrame:
+    """doc_id, first, end of runs of `every` (occurrences of segments, and runs of periodic windows) whose windows also start earlier in it."""
     same = ["anchor", "key", "more"]
+    found = every.where("segment is not null")
+    decided = every.where("segment is null").select("doc_id", F.col("start").alias("first"), F.col("more").alias("end"))
     distinct = keep(found.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("least")), "segments")
     at = lambda df: df.select(*same, "least.doc_id", "least.start")
     copies = found.select(*same, F.col("doc_id").alias("d"), F.col("start").alias("s"), F.octet_length("segment").alias("n")).join(at(distinct), same)
     copies = copies.where((F.col("d") != F.col("doc_id")) | (F.col("s") != F.col("start")))
-    runs = copies.select(F.col("d").alias("doc_id"), F.col("s").alias("first"), (F.col("s") + F.col("n")).alias("end"))
+    runs = decided.unionAll(copies.select(F.col("d").alias("doc_id"), F.col("s").alias("first"), (F.col("s") + F.col("n")).alias("end")))
     if level > len(GRAMS):  # a segment is one window here: equal anchors are equal segments
         return runs
     groups = keep(distinct.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1"), "anchors")
@@ -240,7 +281,7 @@ def _resolve(found: DataFrame, width: int, level: int) -> DataFrame:
     open_ = keep(_with_segments(found, firsts, same), "open")
     few = open_.where(F.col("different") <= MOST_SEGMENTS)
     size = few.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
-    spark = found.sparkSession
+    spark = every.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * COLLECTION_BYTES)))
 
     def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +330,7 @@ def _resolve(found: DataFrame, width: int, level: int) -> DataFrame:
                 part = batch.slice(low, 1000)
                 data, offsets = texts(part.column(0))
                 data = data[offsets[0] : offsets[-1]]
-                yield _cut(data, offsets - offsets[0], part.column(1).to_numpy(), part.column(2).to_numpy(), width, gram)
+                yield from _cut(data, offsets - offsets[0], part.column(1).to_numpy(), part.column(2).to_numpy(), width, gram)
 
     return runs.unionAll(_resolve(keep(many.mapInArrow(finer, OCCURRENCE), "finer"), width, level + 1))
 
@@ -299,8 +340,12 @@ def repeated_runs(docs: DataFrame, width: int = 100) -> DataFrame:
     doc_id, or earlier in the same one. Runs of a document may overlap; together they cover all such bytes and no others.
 
     docs: doc_id, text, the UTF-8 of whole texts; null counts as empty. Rows without doc_id take no part; rows that
-    repeat a doc_id with equal text are one document.
+    repeat a doc_id with equal text are one document. A text of any length is read whole, and a run of one character or
+    another period is decided where it stands. width: more than the longest gram and under 255 (UTF-8 has no such byte,
+    and common prefixes are single bytes).
     """
+    if not max(GRAMS) < width < 255:
+        raise ValueError(f"width must lie between {max(GRAMS) + 1} and 254")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     shared = docs.sparkSession.sparkContext.broadcast(_repeated_anchors(base, width))
 
@@ -308,7 +353,7 @@ def repeated_runs(docs: DataFrame, width: int = 100) -> DataFrame:
         for batch in batches:
             document = batch.column(0).to_numpy()
             for low, high, data, offsets in blocks(batch.column(1)):
-                yield _cut(data, offsets, document[low:high], np.zeros(high - low, np.int64), width, GRAMS[0], shared.value)
+                yield from _cut(data, offsets, document[low:high], np.zeros(high - low, np.int64), width, GRAMS[0], shared.value)
 
     return _resolve(keep(base.mapInArrow(run, OCCURRENCE), "occurrences"), width, 1)
 
@@ -319,7 +364,12 @@ def dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     Spans are maximal: runs that overlap or adjoin are one. A row without doc_id keeps its bytes. An empty table
     gives an empty table; other columns are not looked at.
     """
-    runs = keep(repeated_runs(docs, width), "runs").groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
+    # Runs that overlap are made one before any are collected, so a row holds no more than its document's length / width.
+    by_start = Window.partitionBy("doc_id").orderBy("first", "end")
+    runs = keep(repeated_runs(docs, width), "runs").withColumn("before", F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("span", F.sum(F.coalesce((F.col("first") > F.col("before")).cast("int"), F.lit(0))).over(by_start))
+    runs = runs.groupBy("doc_id", "span").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(runs.withColumnRenamed("doc_id", "run_doc"), F.col("doc_id") == F.col("run_doc"), "left").select("doc_id", "text", "runs")
 

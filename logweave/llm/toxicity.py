@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Wang and Manning, "Baselines and Bigrams" (ACL 2012), with n-grams of bytes of the lower-cased text.
-The classifier is fitted on a bounded sample of labelled documents (`max_docs`); scoring reads whole
-texts in Arrow batches and keeps only the selected n-grams.
+Wang and Manning, "Baselines and Bigrams" (ACL 2012), with n-grams of characters of the lower-cased text.
+The classifier is fitted on a bounded sample of labelled documents (`max_docs`). Its features are all n-grams of
+the sample whose share among toxic documents differs from that among others by more than chance (a test of two
+shares, `least_z`); their number is not bounded otherwise. Scoring reads whole texts in Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, blocks, row_of
+from ._bytes import BLOCK_BYTES, blocks, row_of
 from ._store import keep
 
 BITS = 20
 ORDERS = (4, 5, 6)
 SAMPLE_BLOCK = 1 << 18
+LEAST_Z = 4.5  # of half a million n-grams a few pass it by chance
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -31,28 +35,35 @@ class ToxicityModel:
     bias: float
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each n-gram inside one text."""
-    if len(data) < n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = LOWER[data].astype(np.uint64)
-    packed = low[: len(low) - n + 1].copy()
-    for j in range(1, n):
-        packed = (packed << np.uint64(8)) | low[j : len(low) - n + 1 + j]
-    bucket = ((packed + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)
-    whole = np.ones(len(packed), bool)
-    for j in range(1, n):  # windows that cross a border between texts
-        cut = offsets[1:-1] - j
-        whole[cut[(cut >= 0) & (cut < len(packed))]] = False
-    text = row_of(offsets)[: len(packed)]
-    return text[whole], bucket[whole].astype(np.int64)
-
-
-def _present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _grams(code: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of the n-grams inside one text, for each order."""
+    text = row_of(offsets)
+    rolled = code.astype(np.uint64) + np.uint64(1)
+    for n in range(2, max(ORDERS) + 1):
+        rolled = rolled[:-1] * MIX + code[n - 1 :]
+        if n in ORDERS:
+            whole = text[: len(rolled)] == text[n - 1 :]
+            bucket = (rolled + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
+            bucket ^= bucket >> np.uint64(29)
+            yield text[: len(rolled)][whole], ((bucket[whole] * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _texts(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, code points, offsets) of successive blocks of lower-cased whole texts."""
+    column = pc.utf8_lower(pc.fill_null(column, ""))
+    for low, high, data, offsets in blocks(column, limit or BLOCK_BYTES):
+        raw = data.tobytes()
+        if not raw.isascii():
+            starts = np.flatnonzero(data & 0xC0 != 0x80)
+            offsets = np.searchsorted(starts, offsets)
+            data = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        yield low, high, data, offsets
+
+
+def _present(code: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, bucket) pairs, of the wanted buckets if given."""
-    found = []
-    for n in ORDERS:
-        text, bucket = _grams(data, offsets, n)
+    found = [np.zeros(0, np.int64)]
+    for text, bucket in _grams(code, offsets):
         if wanted is not None:
             hit = wanted[bucket]
             text, bucket = text[hit], bucket[hit]
@@ -91,20 +102,22 @@ def score_texts(model: ToxicityModel, column: pa.Array) -> np.ndarray:
     """Score of each text, 0 to 1."""
     wanted = model.weights != 0
     z = np.full(len(column), model.bias)
-    for low, high, data, offsets in blocks(column):
-        text, bucket = _present(data, offsets, wanted)
+    for low, high, code, offsets in _texts(column):
+        text, bucket = _present(code, offsets, wanted)
         z[low:high] += np.bincount(text, model.weights[bucket], high - low)
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from: str = "true", features: int = 4000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from: str = "true", least_z: float = LEAST_Z) -> ToxicityModel:
     """Fits on at most `max_docs` labelled documents, half of each label where there are so many.
 
     docs: doc_id, text. labels: doc_id, toxic (rows with null toxic are not used). learn_from: a SQL
     condition over doc_id for rows to learn from. The sample is the first rows by a hash of doc_id, so it
-    does not depend on partitioning. Null texts count as empty. N-grams are counted on the executors; the driver gets
-    the `features` strongest ones and which of them each document of the sample has. Without both labels every
-    text gets the rate of label 1.
+    does not depend on partitioning. Null texts count as empty, texts of any length are read whole, rows of docs that repeat
+    a doc_id are one example each, of differing labels of one document the greater counts. N-grams are counted on the
+    executors; the driver gets those with |z| of at least `least_z`
+    (or half of what a perfect n-gram has, if that is less, as with under 82 texts) and which of them each document of the sample has.
+    Without both labels (an empty table too) every text gets the rate of label 1.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(learn_from)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -122,8 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(2).to_numpy() > 0
-            for low, _, data, offsets in blocks(batch.column(1), SAMPLE_BLOCK):
-                text, bucket = _present(data, offsets)
+            for low, _, code, offsets in _texts(batch.column(1), SAMPLE_BLOCK):
+                text, bucket = _present(code, offsets)
                 of = np.unique(bucket)
                 place = np.searchsorted(of, bucket)
                 hit = toxic[low + text]
@@ -131,8 +144,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
 
     seen = sample.mapInArrow(count, "bucket long, n1 long, n0 long").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     p, q = (F.col("n1") + 1) / (n1 + 2), (F.col("n0") + 1) / (n0 + 2)
-    ranked = seen.where("n1 + n0 >= 4").select("bucket", F.log(p / q).alias("ratio"), (F.abs(F.log(p / q)) * F.abs(p - q)).alias("strength"))
-    best = ranked.orderBy(F.desc("strength"), "bucket").limit(features).toArrow()
+    share, other, whole = F.col("n1") / n1, F.col("n0") / n0, (F.col("n1") + F.col("n0")) / (n1 + n0)
+    z = F.abs(share - other) / F.sqrt(whole * (1 - whole) * (1 / n1 + 1 / n0))
+    enough = min(least_z, (n1 + n0) ** 0.5 / 2)  # no z of so few texts can be greater than the square root of their number
+    best = seen.where((F.col("n1") + F.col("n0") < n1 + n0) & (z >= enough)).select("bucket", F.log(p / q).alias("ratio")).toArrow()
     if not best.num_rows:
         return _constant(n1 / (n1 + n0))
     order = np.argsort(best["bucket"].to_numpy())
@@ -142,8 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in blocks(batch.column(1), SAMPLE_BLOCK):
-                text, bucket = _present(data, offsets, wanted)
+            for low, high, code, offsets in _texts(batch.column(1), SAMPLE_BLOCK):
+                text, bucket = _present(code, offsets, wanted)
                 cuts = np.searchsorted(text, np.arange(high - low + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))
                 part = batch.slice(low, high - low)
@@ -155,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score for each row of docs (repeated ids keep their rows; other columns are not looked at)."""
+    """doc_id, score for each row of docs (repeated ids keep their rows; other columns are not looked at; an empty table gives an empty table)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,15 +181,17 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def flag(docs: DataFrame, model: ToxicityModel, column: str) -> DataFrame:
-    """docs with one more column, the score under the name `column`."""
+    """docs with the score in the column of that name, replacing an earlier one; null and empty texts get the score of no n-gram,
+    repeated rows are each scored, an empty table gives an empty table."""
+    base = docs.drop(column) if column in docs.columns else docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = base.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(shared.value, batch.column(at)))], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).cast("double").alias(column)).schema)
+    return base.mapInArrow(run, base.select("*", F.lit(0.0).cast("double").alias(column)).schema)
 
 
 __all__ = ["ToxicityModel", "fit", "flag", "score", "score_texts", "train"]

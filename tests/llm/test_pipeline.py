@@ -44,3 +44,19 @@ def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     rows = out.select("doc_id", "n_tokens", F.size("ids").alias("n"), "round_trip").collect()
     assert all(r.round_trip and r.n == r.n_tokens for r in rows) and {r.doc_id for r in rows} == {*range(60), 93, 94, 95}
+
+
+def test_stages_on_odd_tables(spark, folder, tmp_path):
+    """Each stage with no rows, with null ids and texts, repeated rows and columns whose names the stages use themselves."""
+    names = ["toxicity_score", "findings", "matches", "n_words", "gone_id", "id"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.union(docs.where("doc_id in (3, 93)")).union(spark.createDataFrame([(None, None, None, None, None), (None, "word " * 20, "en", "s", 100)], docs.schema))
+    odd = odd.withColumns({c: F.lit("x") for c in names})
+    odd.write.parquet(str(tmp_path / "odd"))
+    odd = spark.read.parquet(str(tmp_path / "odd"))
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (odd.where("false"), odd):
+            out = stage(spark, df, folder)
+            assert (out.count() == 0) == (df.count() == 0), name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == odd.columns and out.where("toxicity_score <> 'x' or findings <> 'x' or id <> 'x'").count() == 0
