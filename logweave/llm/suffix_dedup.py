@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bits import bit_table, maybe
@@ -29,7 +29,6 @@ from ._bytes import blocks, mix, span_hashes, texts
 from ._store import keep
 
 GRAMS = (32, 60)
-FEW = 4  # times that a period shows before it is looked at
 SLICE = 1 << 15  # segments in a batch
 MOST_SEGMENTS = 1000  # different segments of an anchor that go into one collection
 COLLECTION_BYTES = 1 << 20
@@ -38,20 +37,38 @@ LONG_BYTES = 1 << 22
 OCCURRENCE = "anchor long, key long, more long, around int, segment binary, doc_id long, start long"
 
 
-def _periodic(data: np.ndarray, starts: np.ndarray, first: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+def _periodic(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, first: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
     """Windows that equal the one a period before in their text, where their anchors come so soon again.
 
     They repeat an earlier string whatever else the corpus holds, and no string has one of them as its first place.
+    Gram hashes say which windows may be such; the bytes decide.
     """
     out = np.zeros(len(starts), bool)
-    place, hashes = (anchor & np.uint64((1 << 24) - 1)).astype(np.int64), anchor >> np.uint64(24)
-    again = (hashes[1:] == hashes[:-1]) & (place[1:] > place[:-1]) & (first[1:] == first[:-1])
-    periods, times = np.unique((place[1:] - place[:-1])[again], return_counts=True)
-    for q in periods[times >= FEW].tolist():
-        differ = np.concatenate([[0], np.cumsum(data[q:] != data[:-q])])
-        w = np.flatnonzero(starts - q >= first)
-        at = starts[w] - q
-        out[w[differ[at + width] == differ[at]]] = True
+    change = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+    upto = np.append(change[1:], len(starts))
+    now, before = anchor[change], anchor[change - 1]
+    low = np.uint64((1 << 24) - 1)
+    again = (now >> np.uint64(24) == before >> np.uint64(24)) & (now > before) & (first[change] == first[change - 1])
+    size = (upto - change)[again]
+    if not len(size):
+        return out
+    w = np.repeat(change[again] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    period = np.repeat(((now & low) - (before & low)).astype(np.int64)[again], size)
+    ok = starts[w] - period >= first[w]
+    w, period = w[ok], period[ok]
+    gram = len(data) - len(hashes) + 1
+    for at in (*range(0, width - gram, gram), width - gram):
+        ok = hashes[starts[w] + at] == hashes[starts[w] - period + at]
+        w, period = w[ok], period[ok]
+    for q in np.unique(period).tolist():
+        mine = w[period == q]
+        at = starts[mine] - q
+        if len(mine) * width < len(data):
+            span = at[:, None] + np.arange(width)
+            out[mine] = (data[span] == data[span + q]).all(1)
+        else:
+            differ = np.concatenate([[0], np.cumsum(data[q:] != data[:-q])])
+            out[mine] = differ[at + width] == differ[at]
     return out
 
 
@@ -93,12 +110,14 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tu
     if not len(starts):
         return none, none, np.zeros(0, np.uint64), none, none, none
     anchor = least[starts]
-    gone = _periodic(data, starts, first, anchor, width)
-    a, b = _spans(starts[gone], first[gone])
-    runs = starts[gone][a], starts[gone][b]
-    starts, first, anchor = starts[~gone], first[~gone], anchor[~gone]
+    gone = _periodic(data, hashes, starts, first, anchor, width)
+    runs = none, none
+    if gone.any():
+        a, b = _spans(starts[gone], first[gone])
+        runs = starts[gone][a], starts[gone][b]
+        starts, first, anchor = starts[~gone], first[~gone], anchor[~gone]
     new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)  # between two texts lies no window, so their starts jump
     cut = np.flatnonzero(new)
     last = np.append(cut[1:], len(starts))[: len(cut)] - 1
     place = (anchor[cut] & np.uint64((1 << 24) - 1)).astype(np.int64)
@@ -364,12 +383,8 @@ def dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     Spans are maximal: runs that overlap or adjoin are one. A row without doc_id keeps its bytes. An empty table
     gives an empty table; other columns are not looked at.
     """
-    # Runs that overlap are made one before any are collected, so a row holds no more than its document's length / width.
-    by_start = Window.partitionBy("doc_id").orderBy("first", "end")
-    runs = keep(repeated_runs(docs, width), "runs").withColumn("before", F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
-    runs = runs.withColumn("span", F.sum(F.coalesce((F.col("first") > F.col("before")).cast("int"), F.lit(0))).over(by_start))
-    runs = runs.groupBy("doc_id", "span").agg(F.min("first").alias("first"), F.max("end").alias("end"))
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
+    # A document has fewer runs than windows, so a row of its runs grows with its text, which stands in the same row.
+    runs = repeated_runs(docs, width).groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(runs.withColumnRenamed("doc_id", "run_doc"), F.col("doc_id") == F.col("run_doc"), "left").select("doc_id", "text", "runs")
 

@@ -547,7 +547,7 @@ def test_toxicity_edges(spark):
     assert min(got[i] for i in range(5)) > 0.5 > max(got[i] for i in range(5, 10)) and len(got) == 13
     assert toxicity.flag(docs, model, "t").columns == ["doc_id", "text", "score", "t"]
     flagged = toxicity.flag(docs, model, "score")
-    assert flagged.columns == ["doc_id", "text", "score"] and flagged.where("score > 0.5").count() == 5
+    assert flagged.columns == ["doc_id", "text", "score"] and [r.score for r in flagged.orderBy("doc_id").collect()] == [got[i] for i in range(13)]
     assert toxicity.score(docs.where("false"), model).count() == toxicity.flag(docs.where("false"), model, "t").count() == 0
     long = docs_of(spark, ["a kind word here " * 60_000 + "you idiot scum", "ÄÖ é 漢字", "é"])
     assert [0 <= r.score <= 1 for r in toxicity.score(long, model).collect()] == [True] * 3
