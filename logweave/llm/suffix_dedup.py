@@ -47,13 +47,15 @@ def _periodic(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, first: n
     change = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
     upto = np.append(change[1:], len(starts))
     now, before = anchor[change], anchor[change - 1]
-    low = np.uint64((1 << 24) - 1)
     again = (now >> np.uint64(24) == before >> np.uint64(24)) & (now > before) & (first[change] == first[change - 1])
+    step = now - before
+    again[1:] &= again[:-1] & (step[1:] == step[:-1])  # twice at least at the same distance, as in any longer run
+    again[:1] = False
     size = (upto - change)[again]
     if not len(size):
         return out
     w = np.repeat(change[again] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    period = np.repeat(((now & low) - (before & low)).astype(np.int64)[again], size)
+    period = np.repeat(step.astype(np.int64)[again], size)
     ok = starts[w] - period >= first[w]
     w, period = w[ok], period[ok]
     gram = len(data) - len(hashes) + 1
