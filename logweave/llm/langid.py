@@ -24,7 +24,7 @@ ORDERS = (5, 4, 3, 2, 1)
 PENALTY = 7.0  # minus log10 of the frequency that an entry unknown in one language gets there
 BLOCK_CHARS = 1 << 19
 SURE_WORDS = 20
-PARTS = 256
+PART_BITS = 12
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -160,11 +160,13 @@ def train(docs: DataFrame, learn_from: str = "true", max_docs: int = 1500) -> La
     times the number of languages. Without such rows (an empty table) the model knows no language.
     """
     known = docs.where("lang is not null and text is not null").where(learn_from)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    # The first of each of many parts of a language, so that no task sees all rows of one; then the first of those.
-    ids = known.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(PARTS)).alias("part")).withColumn("r", first("lang", "part")).where(f"r <= {max_docs}")
-    ids = ids.withColumn("r", first("lang")).where(f"r <= {max_docs}").select("doc_id").distinct()
+    # Counts by the hash's first bits say which of its ranges hold a language's first max_docs, so that only these are put in order.
+    place = F.shiftright(F.xxhash64("doc_id"), 64 - PART_BITS)
+    rows = known.select("doc_id", "lang", place.alias("part"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")  # over at most 2^PART_BITS rows a language
+    first = rows.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn("before", upto).where(F.col("before") < max_docs).select("lang", "part")
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = rows.join(first, ["lang", "part"]).withColumn("r", order).where(F.col("r") <= max_docs).select("doc_id").distinct()
     sample = keep(known.select(F.col("doc_id"), "text", "lang").join(F.broadcast(ids), "doc_id").select("text", "lang"), "languages")
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
 
