@@ -127,19 +127,31 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tu
 
 
 class _Columns:
-    """BWT symbols, common prefixes and suffix ids of a collection, in files that are read and written in order."""
+    """BWT symbols, common prefixes and suffix ids of a collection, in files that are read and written in order.
 
-    NAMES = (("bwt", np.uint8), ("lcp", np.uint8), ("ids", np.int32))
+    A round writes over what the round before wrote, which is never longer; the files have no name and go when closed.
+    """
+
+    KINDS = (np.uint8, np.uint8, np.int32)
+
+    def __enter__(self) -> _Columns:
+        self.files = [tempfile.TemporaryFile() for _ in self.KINDS]
+        return self
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __exit__(self, *_: object) -> None:
+        for file in self.files:
+            file.close()
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(f"{self.folder}/{name}", kind) for name, kind in self.NAMES]
+        for file in self.files:
+            file.seek(0)
+        return [np.frombuffer(file.read(), kind) for file, kind in zip(self.files, self.KINDS, strict=True)]
 
     def write(self, *columns: np.ndarray) -> None:
-        for (name, kind), column in zip(self.NAMES, columns, strict=True):
-            column.astype(kind, copy=False).tofile(f"{self.folder}/{name}")
+        for file, kind, column in zip(self.files, self.KINDS, columns, strict=True):
+            file.seek(0)
+            file.write(np.ascontiguousarray(column, kind))
+            file.flush()
 
 
 def build(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +161,7 @@ def build(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """
     joined = np.frombuffer(b"".join(b"\xff" + s for s in strings), np.uint8) + np.uint8(1)  # 0 in front of each string
     ends = np.cumsum([len(s) + 1 for s in strings])
-    with tempfile.TemporaryDirectory() as folder:
-        files = _Columns(folder)
+    with _Columns() as files:
         files.write(joined[ends - 1], np.zeros(len(ends)), ends)  # the empty suffix of each string
         empty, last = len(strings), np.ones(len(strings), bool)  # last: what the last round put in
         while True:
