@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._bits import bit_table, maybe
 from ._bytes import blocks, mix, span_hashes, texts
-from ._store import keep
+from ._store import forget, keep
 
 GRAMS = (32, 60)
 SLICE = 1 << 15  # segments in a batch
@@ -296,12 +296,16 @@ def _promising(anchor: np.ndarray, around: np.ndarray, strings: list[bytes], wid
     return good, (around - behind)[good], (around + ahead)[good]
 
 
-def _resolve(every: DataFrame, width: int, level: int) -> DataFrame:
-    """doc_id, first, end of runs of `every` (occurrences of segments, and runs of periodic windows) whose windows also start earlier in it."""
+def _resolve(every: DataFrame, width: int, level: int, tables: list[DataFrame]) -> DataFrame:
+    """doc_id, first, end of runs of `every` (occurrences of segments, and runs of periodic windows) whose windows also start earlier in it.
+
+    tables gets what was written on the way and is read by the result.
+    """
     same = ["anchor", "key", "more"]
     found = every.where("segment is not null")
     decided = every.where("segment is null").select("doc_id", F.col("start").alias("first"), F.col("more").alias("end"))
     distinct = keep(found.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("least")), "segments")
+    tables += [every, distinct]
     at = lambda df: df.select(*same, "least.doc_id", "least.start")
     copies = found.select(*same, F.col("doc_id").alias("d"), F.col("start").alias("s"), F.octet_length("segment").alias("n")).join(at(distinct), same)
     copies = copies.where((F.col("d") != F.col("doc_id")) | (F.col("s") != F.col("start")))
@@ -311,6 +315,9 @@ def _resolve(every: DataFrame, width: int, level: int) -> DataFrame:
     groups = keep(distinct.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1"), "anchors")
     firsts = keep(distinct.join(groups, "anchor").select(*same, "least.doc_id", "least.start", "different"), "firsts")
     open_ = keep(_with_segments(found, firsts, same), "open")
+    forget(firsts)
+    forget(groups)
+    tables.append(open_)
     few = open_.where(F.col("different") <= MOST_SEGMENTS)
     size = few.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     spark = every.sparkSession
@@ -364,17 +371,18 @@ def _resolve(every: DataFrame, width: int, level: int) -> DataFrame:
                 data = data[offsets[0] : offsets[-1]]
                 yield from _cut(data, offsets - offsets[0], part.column(1).to_numpy(), part.column(2).to_numpy(), width, gram)
 
-    return runs.unionAll(_resolve(keep(many.mapInArrow(finer, OCCURRENCE), "finer"), width, level + 1))
+    return runs.unionAll(_resolve(keep(many.mapInArrow(finer, OCCURRENCE), "finer"), width, level + 1, tables))
 
 
-def repeated_runs(docs: DataFrame, width: int = 100) -> DataFrame:
+def repeated_runs(docs: DataFrame, width: int = 100, tables: list[DataFrame] | None = None) -> DataFrame:
     """doc_id, first, end (bytes) of runs covered by strings of `width` bytes that also start earlier: in a document of smaller
     doc_id, or earlier in the same one. Runs of a document may overlap; together they cover all such bytes and no others.
 
     docs: doc_id, text, the UTF-8 of whole texts; null counts as empty. Rows without doc_id take no part; rows that
     repeat a doc_id with equal text are one document. A text of any length is read whole, and a run of one character or
     another period is decided where it stands. width: more than the longest gram and under 255 (UTF-8 has no such byte,
-    and common prefixes are single bytes).
+    and common prefixes are single bytes). tables, if given, gets the written tables that the result reads, for forget()
+    once the result is written itself.
     """
     if not max(GRAMS) < width < 255:
         raise ValueError(f"width must lie between {max(GRAMS) + 1} and 254")
@@ -387,7 +395,7 @@ def repeated_runs(docs: DataFrame, width: int = 100) -> DataFrame:
             for low, high, data, offsets in blocks(batch.column(1)):
                 yield from _cut(data, offsets, document[low:high], np.zeros(high - low, np.int64), width, GRAMS[0], shared.value)
 
-    return _resolve(keep(base.mapInArrow(run, OCCURRENCE), "occurrences"), width, 1)
+    return _resolve(keep(base.mapInArrow(run, OCCURRENCE), "occurrences"), width, 1, [] if tables is None else tables)
 
 
 def dedup(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -397,7 +405,11 @@ def dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     gives an empty table; other columns are not looked at.
     """
     # A document has fewer runs than windows, so a row of its runs grows with its text, which stands in the same row.
-    runs = keep(repeated_runs(docs, width), "runs").groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
+    tables: list[DataFrame] = []
+    found = keep(repeated_runs(docs, width, tables), "runs")
+    for table in tables:
+        forget(table)
+    runs = found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(runs.withColumnRenamed("doc_id", "run_doc"), F.col("doc_id") == F.col("run_doc"), "left").select("doc_id", "text", "runs")
 
