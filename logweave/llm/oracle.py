@@ -24,4 +24,17 @@ r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.v, r.c FROM r
 t AS (SELECT id, min(c) AS c FROM r GROUP BY 1), n AS (SELECT u, count(*) AS n FROM e GROUP BY 1)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, t.c AS component_id, t.c = vec_id AS kept FROM embeddings JOIN t ON t.id = vec_id LEFT JOIN n ON n.u = vec_id"""
 
-SQL = {"op3_minhash": OP3, "op5_embeddings": OP5, "op10_decontaminate": OP10}
+OP11 = """WITH k AS (SELECT list(v ORDER BY i) AS k FROM (SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) AS v FROM range(256) r(i))),
+s AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda a, b: xor(a // 256, k[1 + CAST(xor(a % 256, b) AS INTEGER)]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM documents, k),
+p AS (SELECT *, CAST((2 * sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size) * 40 // (2 * sum(size) OVER ()) AS INTEGER) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
+OP12 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, CAST(len(w) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS x FROM t),
+c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+f AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM f"""
+
+SQL = {"op3_minhash": OP3, "op5_embeddings": OP5, "op10_decontaminate": OP10, "op11_sharding": OP11, "op12_fim": OP12}
