@@ -31,8 +31,7 @@ PROTOCOLS = {
 
 def ip_to_long(ip: Column) -> Column:
     """Dotted IPv4 as an unsigned number; null for anything else."""
-    part = F.split(ip, r"\.")
-    number = sum((part[k].cast("long") * (1 << (24 - 8 * k)) for k in range(1, 4)), part[0].cast("long") * (1 << 24))
+    number = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda n, part: n * 256 + part.cast("long"))
     return F.when(ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), number)
 
 

@@ -140,19 +140,57 @@ def enrich_md5(df: DataFrame, verdicts: DataFrame, text: str = "msg") -> DataFra
     return out.join(by_hash, F.col("md5") == F.col("_k"), "left").drop("_k")
 
 
+FINE = tuple(range(0, 63, 2))  # bits of the cells for intervals of one key; a cell is at most four times as wide as its intervals
+
+
+def _ordinal(df: DataFrame, column: str) -> Column:
+    """A whole number that rises with the column's values: microseconds, days, or the number rounded down."""
+    kind, c = dict(df.dtypes)[column], F.col(column)
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":
+        return F.unix_micros(F.make_timestamp_ltz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), F.extract(F.lit("SECOND"), c), F.lit("UTC")))
+    if kind == "date":
+        return F.unix_date(c).cast("long")
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return F.floor(c).cast("long")
+    raise ValueError(f"{column} is no time or number but {kind}")
+
+
+def _by_cell(df: DataFrame, number: Column, bits: Sequence[int]) -> DataFrame:
+    """df with _bits and _cell of the number at each level."""
+    cells = F.array(*[F.struct(F.lit(b).alias("_bits"), F.shiftright(number, b).alias("_cell")) for b in bits])
+    return df.withColumn("_c", F.explode(cells)).select("*", "_c._bits", "_c._cell").drop("_c")
+
+
 def enrich_lookup(df: DataFrame, lookup: DataFrame, on: dict[str, str], fields: Sequence[str], during: tuple[str, str, str] | None = None) -> DataFrame:
     """Each requested field as the sorted array of its non-null values in the lookup rows that agree in the `on` columns (df to lookup).
 
-    during: (time column of df, first column, last column of lookup). Distinct keys are looked up, not records.
+    during: (time column of df, first column, last column of lookup), times or numbers, each of the same type. Distinct keys are
+    looked up, not records. An interval goes by the one or two cells of the level that fits its width, and a time asks for its
+    cell of each level that occurs, so that (key, level, cell) is an equi key: a key with very many intervals is spread
+    over its cells, and without `on` columns the cells alone are the key.
     """
     keys = [*on, *([during[0]] if during else [])]
     asked = df.select(*keys).distinct()
-    table = lookup.select(*[F.col(v).alias(f"_k{i}") for i, v in enumerate(on.values())], *([F.col(during[1]).alias("_a"), F.col(during[2]).alias("_b")] if during else []), *[F.col(f).alias(f"_f_{f}") for f in fields])
-    test = F.lit(True)
-    for i, k in enumerate(on):
-        test = test & (F.col(k) == F.col(f"_k{i}"))
+    own = [F.col(v).alias(f"_k{i}") for i, v in enumerate(on.values())]
+    values = [F.col(f).alias(f"_f_{f}") for f in fields]
+    table, tests = lookup.select(*own, *values), []
     if during:
-        test = test & F.col(during[0]).between(F.col("_a"), F.col("_b"))
+        if len({dict(df.dtypes)[during[0]]} | {dict(lookup.dtypes)[c] for c in during[1:]} & {"timestamp", "timestamp_ntz", "date"}) > 1:
+            raise ValueError("times must be of one type")
+        table = lookup.select(*own, F.col(during[1]).alias("_a"), F.col(during[2]).alias("_b"), _ordinal(lookup, during[1]).alias("_low"), _ordinal(lookup, during[2]).alias("_high"), *values)
+        width = F.col("_high") - F.col("_low")
+        level = F.coalesce(*[F.when(width < F.lit(1 << b), b) for b in FINE], F.lit(FINE[-1]))
+        table = table.where("_a <= _b").withColumn("_bits", level)
+        bits = sorted(r[0] for r in table.select("_bits").distinct().collect())  # 32 at most
+        two = F.array_distinct(F.transform(F.array("_low", "_high"), lambda x: F.call_function("shiftright", x, F.col("_bits"))))
+        table = table.withColumn("_cell", F.explode(two)).withColumnsRenamed({"_bits": "_own_bits", "_cell": "_own_cell"})
+        asked = _by_cell(asked, _ordinal(df, during[0]), bits or FINE[:1])
+        tests = [F.col("_bits") == F.col("_own_bits"), F.col("_cell") == F.col("_own_cell"), F.col(during[0]).between(F.col("_a"), F.col("_b"))]
+    test = F.lit(True)
+    for t in [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(on)] + tests:
+        test = test & t
     found = asked.join(table, test).groupBy(*keys).agg(*[F.array_sort(F.collect_list(f"_f_{f}")).alias(f) for f in fields])
     out = df.join(found, keys, "left")
     return out.withColumns({f: F.coalesce(F.col(f), F.array().cast(found.schema[f].dataType)) for f in fields})

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import UNITS, bucket, epoch_to_iso
+from ..functions import UNITS, bucket, epoch_to_iso, seconds
 from ..model import META, Catalogue
 from .search import OPERATORS
 
@@ -26,13 +26,21 @@ def group_count(df: DataFrame, field: str, limit: int = 100, asc: bool = False,
     return _top(counts, limit, asc)
 
 
+CHUNK = 1 << 16
+
+
 def _filled(counts: DataFrame, step: int, limit: int, tz: str) -> DataFrame:
     """Buckets (b, _count) with zeros between the first and last, as _groupby (label), intval, _count, ascending.
 
-    The range of buckets is one row, so filling is a generated sequence joined to the counts.
+    The buckets between the two ends are generated by chunks of 65536: the chunks' numbers are dealt over the tasks, which write
+    out their own, so that seconds over many years are neither one array nor one task.
     """
+    spark = counts.sparkSession
     ends = counts.where("b is not null").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low is not null")
-    every = ends.select(F.explode(F.sequence("low", "high")).alias("b"))
+    chunks = ends.select("low", "high", F.explode(F.expr(f"sequence(low div {CHUNK} - 1, high div {CHUNK} + 1)")).alias("chunk"))
+    dealt = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    first, last = F.greatest(F.col("chunk") * CHUNK, F.col("low")), F.least(F.col("chunk") * CHUNK + (CHUNK - 1), F.col("high"))
+    every = dealt.where(first <= last).select(F.explode(F.sequence(first, last)).alias("b"))
     out = every.join(counts, "b", "left").select((F.col("b") * step).alias("intval"), F.coalesce("_count", F.lit(0)).cast("long").alias("_count"))
     out = out.select(epoch_to_iso(F.col("intval"), tz).alias("_groupby"), "intval", "_count").orderBy("intval")
     return out.limit(limit) if limit else out
@@ -99,11 +107,71 @@ def order_by(df: DataFrame, field: str = "ts", desc: bool = False) -> DataFrame:
 
 
 def page(df: DataFrame, limit: int = 100, offset: int = 0, field: str = "ts", desc: bool = False) -> DataFrame:
-    """Rows offset … offset + limit in order; limit 0 means all."""
+    """Rows offset … offset + limit in order; limit 0 means all. Deep pages: see page_after and page_at."""
+    if offset and not limit and dict(df.dtypes)[field] in TIMES:
+        return page_at(df, range_counts(df, field), offset, 0, field, desc=desc)
     out = order_by(df, field, desc).offset(offset) if offset else order_by(df, field, desc)
     return out.limit(limit) if limit else out
 
 
+TIMES = ("timestamp", "timestamp_ntz", "date")
+
+
+def _behind(field: str, desc: bool, value: object, id_: object) -> Column:
+    """Whether a row stands behind (value, id) in order_by; null values come first, last if descending."""
+    f, later = F.col(field), F.col("id") > F.lit(id_)
+    if value is None:
+        return f.isNull() & later if desc else f.isNotNull() | later
+    beyond = f < F.lit(value) if desc else f > F.lit(value)
+    return (beyond | f.isNull() if desc else beyond) | ((f == F.lit(value)) & later)
+
+
+def page_after(df: DataFrame, mark: tuple | None, limit: int = 100, field: str = "ts", desc: bool = False) -> DataFrame:
+    """The next `limit` rows behind a mark, the (field, id) of the last row shown, or the first rows; ids are unique.
+
+    The mark is a filter, which reaches the scan, so a deep page costs no more than the first.
+    """
+    rows = df if mark is None else df.where(_behind(field, desc, *mark))
+    return order_by(rows, field, desc).limit(limit)
+
+
+def range_counts(df: DataFrame, field: str = "ts", step: int = 3600) -> DataFrame:
+    """low, _count: rows in each range of `step` seconds of a time (number of the range times step); low is null for rows without one.
+
+    One row for each range with rows: a table to keep beside the log and to add to as it grows.
+    """
+    return df.groupBy((F.floor(seconds(F.col(field)) / step) * step).cast("long").alias("low")).agg(F.count("*").alias("_count"))
+
+
+def page_at(df: DataFrame, counts: DataFrame, offset: int, limit: int = 100, field: str = "ts", step: int = 3600, desc: bool = False) -> DataFrame:
+    """Rows offset … offset + limit in order by the counts of their ranges, reading the ranges that hold them; limit 0 means all that follow.
+
+    The running sum is over one row a range. With a limit only ranges that the page touches are read; without one the first
+    range gives the mark behind which all rows follow, in a distributed sort.
+    """
+    order = Window.orderBy(F.desc("low") if desc else F.asc("low"))
+    upto = counts.withColumn("end", F.sum("_count").over(order)).withColumn("begin", F.col("end") - F.col("_count")).where(F.col("end") > offset)
+    touched = upto.where(F.col("begin") < offset + limit) if limit else upto.orderBy("begin").limit(1)
+    ranges = touched.orderBy("begin").collect()  # as many as the page has rows, at most
+    if not ranges:
+        return df.where("false")
+    at, skip = seconds(F.col(field)), offset - ranges[0]["begin"]
+    inside = lambda r: at.isNull() if r["low"] is None else (at >= r["low"]) & (at < r["low"] + step)
+    if not limit:
+        first = order_by(df.where(inside(ranges[0])), field, desc)
+        last = first.select(field, "id").offset(skip - 1).limit(1).first() if skip else None
+        if last is not None:
+            return order_by(df.where(_behind(field, desc, last[0], last[1])), field, desc)
+        low = ranges[0]["low"]
+        rest = F.lit(True) if low is None and not desc else at.isNull() if low is None else (at < low + step) | at.isNull() if desc else at >= low
+        return order_by(df.where(rest), field, desc)
+    bounds = [r["low"] for r in ranges if r["low"] is not None]
+    test = (at >= min(bounds)) & (at < max(bounds) + step) if bounds else F.lit(False)
+    if len(bounds) < len(ranges):
+        test = test | at.isNull()
+    return order_by(df.where(test), field, desc).offset(skip).limit(limit)
+
+
 def merge_results(parts: Sequence[DataFrame], field: str = "ts", limit: int = 100, desc: bool = False) -> DataFrame:
     """Records of several peers in one order."""
     every = parts[0]

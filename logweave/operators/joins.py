@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from .bloom import may_be_in, members
 
 
 def subsearch(df: DataFrame, grouped: DataFrame, field: str | None = None) -> DataFrame:
-    """Rows whose field, or any token of whose msg, is a key of the grouped result; no keys, no rows."""
+    """Rows whose field, or any token of whose msg, is a key of the grouped result; no keys, no rows.
+
+    Tokens pass a filter of the keys inside the scan's stage, so only those likely to be keys are joined, with their record.
+    """
     keys = grouped.select(F.col("_groupby").cast("string").alias("_k")).where("_k is not null").distinct()
     if field:
         return df.join(keys, df[field].cast("string") == keys["_k"], "left_semi")
     keys = keys.select(F.lower("_k").alias("_k")).distinct()
-    hits = df.select("id", F.explode(F.array_distinct(fn.tokens(F.col("msg")))).alias("_k")).join(keys, "_k", "left_semi").select("id").distinct()
-    return df.join(hits, "id", "left_semi")
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*df.columns).alias("_r"))
+    found = _likely(rows, ["_row", "_r"], F.array_distinct(fn.tokens(F.col("_r.msg"))), keys).join(keys, "_k", "left_semi")
+    return found.dropDuplicates(["_row"]).select("_r.*")
+
+
+def _likely(df: DataFrame, columns: list[str], words: Column, keys: DataFrame) -> DataFrame:
+    """The columns with each word (_k) that passes the filter of the keys (_k): what leaves a scan's stage grows with the hits, not with the text."""
+    return df.select(*columns, F.explode(words).alias("_k")).where(may_be_in(F.col("_k"), members(keys, "_k")))
 
 
 def for_each_key(grouped: DataFrame, df: DataFrame, field: str, group: str | None = None) -> DataFrame:
@@ -57,11 +67,11 @@ def silent_hosts(df: DataFrame, expected: DataFrame, now: Column, grace: int = 6
 
 
 def sweep_terms(df: DataFrame, terms: DataFrame, columns: tuple[str, ...] = ("msg",)) -> DataFrame:
-    """Records that hold any of the terms (column term) as a token: id and its sorted terms. Spark picks the join; terms may be many."""
-    wanted = terms.select(F.lower("term").alias("_t")).distinct()
-    words = F.array_distinct(F.flatten(F.array(*[fn.tokens(F.col(c)) for c in columns])))
-    hits = df.select("id", F.explode(words).alias("_t")).join(wanted, "_t")
-    return hits.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("_t")), " ").alias("terms"))
+    """Records that hold any of the terms (column term) as a token: id and its sorted terms. Spark picks the join; terms may be many, see subsearch."""
+    wanted = terms.select(F.lower("term").alias("_k")).where("_k is not null").distinct()
+    words = F.array_distinct(F.flatten(F.array(*[F.coalesce(fn.tokens(F.col(c)), F.array().cast("array<string>")) for c in columns])))
+    hits = _likely(df, ["id"], words, wanted).join(wanted, "_k")
+    return hits.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("_k")), " ").alias("terms"))
 
 
 __all__ = [k for k in dir() if not k.startswith("_")]

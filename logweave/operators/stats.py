@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -69,6 +69,40 @@ def coverage(df: DataFrame, kind: str = "class") -> DataFrame:
     return df.groupBy(kind).agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("records"))
 
 
+def partition_counts(spark: SparkSession, path: str, kind: str = "class") -> DataFrame:
+    """Records of a log table by a partition column and day, from the footers of its files: the scan counts, no row is read.
+
+    A session of its own holds the two settings under which Parquet scans take over aggregates.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).groupBy(kind, "day").agg(F.count("*").alias("records"))
+
+
+def coverage_table(spark: SparkSession, path: str, kind: str = "class") -> DataFrame:
+    """coverage of a stored log table by a partition column: counts from footers, times from each kind's first and last day alone.
+
+    Footers keep no ends of times, so those two days are scanned, chosen by partition. One row for each kind and day comes to the
+    driver. Of a column that is no partition the table is scanned, as coverage does.
+    """
+    log = spark.read.parquet(path)
+    parts = {f.split("=")[0] for file in log.limit(1).select("_metadata.file_path").collect() for f in file[0].removeprefix(path).split("/") if "=" in f}
+    if not {kind, "day"} <= parts:
+        return coverage(log, kind)
+    totals: dict = {}
+    for r in partition_counts(spark, path, kind).collect():
+        n, days = totals.setdefault(r[kind], [0, set()])
+        totals[r[kind]] = [n + r["records"], {min(known), max(known)} if (known := days | ({r["day"]} - {None})) else set()]
+    test = F.lit(False)
+    for k, (_, days) in totals.items():
+        test = test | (F.col(kind).eqNullSafe(F.lit(k)) & F.col("day").isin(sorted(days)))
+    at = fn.seconds(F.col("ts"))
+    ends = log.where(test).groupBy(F.col(kind).alias("_k")).agg(F.min(at).alias("start"), F.max(at).alias("end"))
+    counts = spark.createDataFrame([(k, n) for k, (n, _) in totals.items()], f"{kind} {log.schema[kind].dataType.simpleString()}, records long")
+    return counts.join(ends, F.col(kind).eqNullSafe(F.col("_k")), "left").select(kind, "start", "end", "records")
+
+
 def batch_summary(good: DataFrame, rejected: DataFrame, text: str = "msg") -> DataFrame:
     """Rows, errors, error rate, time range and bytes of a batch."""
     at = fn.seconds(F.col("ts"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -38,21 +40,21 @@ PATTERNS = {
 }
 
 
-def _entries(df: DataFrame, names: Sequence[str] | None = None) -> Column:
-    """All of a record's values as (key, value) pairs: its columns but id and ts, and its `fields`."""
-    columns = names or [c for c in df.columns if c not in ("id", "ts", "fields")]
-    own = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in columns])
-    return F.concat(own, F.map_entries("fields")) if "fields" in df.columns else own
-
-
 def _hit(df: DataFrame, value: str | int, field: str, op: str | None) -> Column:
-    def test(e: Column) -> Column:
-        named = e["key"].rlike(f"(?i){field}")
-        if op and op in OPERATORS:
-            return named & F.coalesce(OPERATORS[op](e["value"].try_cast("long"), F.lit(int(value))), F.lit(False))
-        return named & F.coalesce(e["value"].rlike(f"(?i){value}"), F.lit(False))
+    """Whether a value matches in a column (but id and ts) whose name does, or in an entry of `fields`; columns are chosen when the plan is made."""
 
-    return F.exists(_entries(df), test)
+    def good(v: Column) -> Column:
+        if op and op in OPERATORS:
+            return F.coalesce(OPERATORS[op](v.try_cast("long"), F.lit(int(value))), F.lit(False))
+        return F.coalesce(v.rlike(f"(?i){value}"), F.lit(False))
+
+    out = F.lit(False)
+    for c in df.columns:
+        if c not in ("id", "ts", "fields") and re.search(field, c, re.IGNORECASE):
+            out = out | good(F.col(c).cast("string"))
+    if "fields" in df.columns:
+        out = out | F.coalesce(F.exists(F.map_entries("fields"), lambda e: e["key"].rlike(f"(?i){field}") & good(e["value"])), F.lit(False))
+    return out
 
 
 def grep(df: DataFrame, value: str | int, field: str = ".", op: str | None = None) -> DataFrame:
@@ -143,15 +145,21 @@ def _values(df: DataFrame, field: str) -> DataFrame:
     return df.select(one.alias("v")).select(F.col("v").cast("string").alias("v")).where("v is not null")
 
 
-def sum_field(df: DataFrame, field: str, numeric_total: bool = True) -> DataFrame:
+def sum_field(df: DataFrame, field: str, numeric_total: bool = True, count: str = "count") -> DataFrame:
     """_groupby, _count, by count: all whole numbers add up under the field's name, other values count 1 each; arrays count by element.
 
-    With numeric_total off numbers are counted like other values.
+    Where the record has a `count` other than 0, a text adds that instead of 1: under the field's name too, but an array's
+    elements each under their own. With numeric_total off all values stand for themselves.
     """
-    values = _values(df, field)
+    array = dict(df.dtypes)[field].startswith("array")
+    weight = F.nullif(F.col(count).try_cast("long"), F.lit(0)) if count in df.columns and count != field else F.lit(None).cast("long")
+    rows = df.select((F.explode(field) if array else F.col(field)).alias("v"), weight.alias("n"))
+    values = rows.select(F.col("v").cast("string").alias("v"), "n").where("v is not null")
     digit = F.col("v").rlike("^[0-9]+$") & F.lit(numeric_total)
-    keys = values.groupBy(F.when(digit, F.lit(field)).otherwise(F.col("v")).alias("_groupby"))
-    return keys.agg(F.sum(F.when(digit, F.col("v").try_cast("long")).otherwise(1)).alias("_count")).orderBy(F.desc("_count"), "_groupby")
+    total = digit | (F.lit(numeric_total and not array) & F.col("n").isNotNull() & (F.col("v") != ""))
+    keys = values.groupBy(F.when(total, F.lit(field)).otherwise(F.col("v")).alias("_groupby"))
+    added = F.when(digit, F.col("v").try_cast("long")).otherwise(F.coalesce("n", F.lit(1)))
+    return keys.agg(F.sum(added).alias("_count")).orderBy(F.desc("_count"), "_groupby")
 
 
 def count_field(df: DataFrame, field: str, numeric_total: bool = True) -> DataFrame:
@@ -238,6 +246,74 @@ def map_groups(df: DataFrame, key: str, fn_: Callable[[pd.DataFrame], pd.DataFra
     return df.groupBy(key).applyInPandas(fn_, schema)
 
 
+Frames = Iterator[pd.DataFrame]
+
+
+def fold_groups(
+    df: DataFrame, key: str, part: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], finish: Callable[[pd.DataFrame], pd.DataFrame], partial: str, schema: str, salts: int = 32, most_keys: int = 10_000,
+) -> DataFrame:
+    """The user's own reducer for groups of any size, which need not fit into memory.
+
+    part: rows of one group to one row of the columns `partial`; merge: several such rows to one, whatever way they are
+    grouped and ordered; finish: the last one to rows of `schema`. A task keeps one partial for each of up to `most_keys` keys while its
+    rows stream by. Partials are merged by (key, salt), so that a key of very many is shared by `salts` tasks, then by
+    key, both as sorted streams that hold one key at a time. The key is a column of the frames that part and finish get, null as None.
+    """
+    of_key = f"{key} {df.schema[key].dataType.simpleString()}"
+    columns = [f.name for f in df.sparkSession.createDataFrame([], partial).schema]
+
+    def named(k: object, frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(**{key: pd.Series([k] * len(frame), index=frame.index, dtype=object)})
+
+    def merged(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        return frames[0] if len(frames) == 1 else merge(pd.concat(frames, ignore_index=True)[columns])
+
+    def groups(frame: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
+        for k, rows in frame.groupby(key, dropna=False, sort=False):
+            yield (None if pd.isna(k) else k), rows
+
+    def slices(frames: Frames) -> Frames:
+        held: dict[object, pd.DataFrame] = {}
+        salt = TaskContext.get().partitionId() % salts
+        for frame in frames:
+            for k, rows in groups(frame):
+                own = part(rows)[columns]
+                held[k] = merged([held[k], own]) if k in held else own
+            if len(held) >= most_keys:
+                yield pd.concat([named(k, p) for k, p in held.items()], ignore_index=True).assign(_salt=salt)
+                held = {}
+        if held:
+            yield pd.concat([named(k, p) for k, p in held.items()], ignore_index=True).assign(_salt=salt)
+
+    def stream(frames: Frames) -> Iterator[tuple[object, pd.DataFrame]]:
+        """Each key of a stream sorted by key with its partials merged."""
+        now, have = None, None
+        for frame in frames:
+            for k, rows in groups(frame):
+                if have is not None and k == now:
+                    have = merged([have, rows[columns]])
+                else:
+                    if have is not None:
+                        yield now, have
+                    now, have = k, merged([rows[columns]]) if len(rows) == 1 else merge(rows[columns].reset_index(drop=True))
+        if have is not None:
+            yield now, have
+
+    def between(frames: Frames) -> Frames:
+        for k, have in stream(frames):
+            yield named(k, have).assign(_salt=0)
+
+    def last(frames: Frames) -> Frames:
+        for k, have in stream(frames):
+            yield finish(named(k, have))
+
+    kept = f"{partial}, {of_key}, _salt int"
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = df.mapInPandas(slices, kept).repartition(n, key, "_salt").sortWithinPartitions(key)
+    second = first.mapInPandas(between, kept).repartition(n, key).sortWithinPartitions(key)
+    return second.mapInPandas(last, schema)
+
+
 TRANSFORMS: dict[str, Callable[..., DataFrame]] = {
     "grep": grep, "filter": drop_matching, "local": local_ips, "remote": remote_ips, "parse": parse_fields, "anonymize": anonymise,
     "sum": sum_field, "count": count_field, "interval": interval, "cluster": cluster,

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..model import log_view, small, with_fields
-from ..operators import enrich, group, joins, search, stats, transforms
-from ..sources import readers, sinks
-from ..streaming import streams
+from ..operators import enrich, group, joins, retention, search, stats, transforms
+from ..sources import databases, readers, sinks
+from ..streaming import schedules, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1028,3 +1028,167 @@ def _(s, d):
     at = _place(s)
     sinks.append_logs(log(s, d), f"{at}/log")
     return search.time_range(s.read.parquet(f"{at}/log"), "2024-01-05", "2024-01-09 12:00:00").select("id")
+
+
+# Retention jobs on tables written for them
+
+
+@q("m1_drop_days", "SELECT id FROM log, (SELECT max(ts) AS top FROM log) WHERE CAST(ts AS DATE) >= CAST(top AS DATE) - 10")
+def _(s, d):
+    at = _place(s)
+    sinks.append_logs(log(s, d), f"{at}/log", batch=1)
+    retention.drop_days(s, {f"{at}/log": 10}, log(s, d).agg(F.max(F.to_date("ts"))).first()[0])
+    return s.read.parquet(f"{at}/log").select("id")
+
+
+SHARES_SQL = """WITH rows AS (SELECT 'index' AS kind, id, ts, msg FROM log UNION ALL SELECT 'archive', id, ts, msg FROM log WHERE k % 2 = 0 UNION ALL SELECT 'import', id, ts, msg FROM log WHERE k % 2 = 1),
+ days AS (SELECT kind, CAST(ts AS DATE) AS day, sum(strlen(msg)) AS n FROM rows GROUP BY 1, 2), run AS (SELECT kind, day, sum(n) OVER (PARTITION BY kind ORDER BY day DESC) AS t FROM days),
+ used AS (SELECT sum(n) AS n FROM days WHERE kind <> 'import'), kept AS (SELECT kind, day FROM run, used WHERE n < 131072 OR t <= CASE kind WHEN 'index' THEN 131072 - 43253 WHEN 'archive' THEN 43253 ELSE 65536 END)
+ SELECT rows.kind, id FROM rows JOIN kept ON rows.kind = kept.kind AND CAST(ts AS DATE) = kept.day"""
+
+
+@q("m2_drop_shares", SHARES_SQL)
+def _(s, d):
+    at = _place(s)
+    parts = {"index": log(s, d), "archive": log(s, d).where("k % 2 = 0"), "import": log(s, d).where("k % 2 = 1")}
+    sizes = {}
+    for kind, rows in parts.items():
+        sinks.append_logs(rows, f"{at}/{kind}")
+        sizes[kind] = rows.groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.octet_length("msg")).alias("bytes"))
+    schema = s.read.parquet(f"{at}/index").schema
+    retention.drop_bytes(s, "128K", f"{at}/index", f"{at}/archive", f"{at}/import", sizes=sizes)
+    return stats.union_sources([s.read.schema(schema).parquet(f"{at}/{kind}").select(F.lit(kind).alias("kind"), "id") for kind in parts])
+
+
+# Deep pages, alerts in order, intervals of one key
+
+
+@q("w3_page_after", "SELECT id FROM log WHERE k > 20 AND (ts > TIMESTAMP '2024-01-12 00:00:00' OR (ts = TIMESTAMP '2024-01-12 00:00:00' AND id > 7)) ORDER BY ts, id LIMIT 75")
+def _(s, d):
+    return group.page_after(log(s, d).where("k > 20"), (dt.datetime(2024, 1, 12, tzinfo=dt.timezone.utc), 7), 75).select("id")
+
+
+@q("w3_page_at", "SELECT id FROM log ORDER BY ts DESC, id LIMIT 60 OFFSET 640")
+def _(s, d):
+    df = log(s, d)
+    return group.page_at(df, group.range_counts(df), 640, 60, desc=True).select("id")
+
+
+@q("w3_page_rest", "SELECT id FROM log ORDER BY ts, id OFFSET 333")
+def _(s, d):
+    return group.page(log(s, d), 0, 333).select("id")
+
+
+@q("x4_throttle_late", THROTTLE_SQL, "throttle")
+def _(s, d):
+    at = _place(s)
+    alerts = log(s, d).where("program = 'error'").select((C("k") % 5).alias("schedule"), fn.seconds(C("ts")).alias("at"))
+    alerts.repartition(4).write.parquet(f"{at}/in")  # four micro-batches, each of alerts of all times
+    sdf = s.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    kept = streams.throttle_stream(sdf, 86400, late="36500 days")
+    _run(kept, at)
+    end = s.createDataFrame([(-1, 7258118400)], alerts.schema)  # moves the watermark past all others
+    end.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return _run(kept, at)
+
+
+@q("j11_lookup_intervals", """WITH i AS (SELECT host, id AS n, secs AS a, secs + 3600 * (1 + k) AS b FROM log WHERE program = 'purchase')
+ SELECT log.id, coalesce((SELECT string_agg(CAST(n AS VARCHAR), ' ' ORDER BY n) FROM i WHERE i.host = log.host AND log.secs BETWEEN a AND b), '') AS during FROM log""")
+def _(s, d):
+    df = log(s, d).withColumn("secs", fn.seconds(C("ts")))
+    spans = df.where("program = 'purchase'").select("host", C("id").alias("n"), C("secs").alias("a"), (C("secs") + 3600 * (1 + C("k"))).alias("b"))
+    out = enrich.enrich_lookup(df.select("id", "host", "secs"), spans, {"host": "host"}, ["n"], during=("secs", "a", "b"))
+    return out.select("id", F.array_join("n", " ").alias("during"))
+
+
+# From metadata, by partials, by bookmark, in a database
+
+
+@q("a16_coverage_table", 'SELECT class, min(secs) AS start, max(secs) AS "end", count(*) AS records FROM log GROUP BY 1')
+def _(s, d):
+    at = _place(s)
+    sinks.append_logs(log(s, d), f"{at}/log", batch=1)
+    return stats.coverage_table(s, f"{at}/log")
+
+
+@q("p2_fold_groups", "SELECT host, count(*) AS n, max(k) - min(k) AS span FROM log GROUP BY 1")
+def _(s, d):
+    import pandas as pd
+
+    ends = lambda n, low, high: pd.DataFrame({"n": [n], "low": [low], "high": [high]})
+    return transforms.fold_groups(
+        log(s, d).select("host", "k"), "host", lambda x: ends(len(x), x["k"].min(), x["k"].max()), lambda p: ends(p["n"].sum(), p["low"].min(), p["high"].max()),
+        lambda p: pd.DataFrame({"host": p["host"], "n": p["n"], "span": p["high"] - p["low"]}), "n long, low long, high long", "host string, n long, span long",
+    )
+
+
+@q("x3_bookmark", ORACLE_SQL["x3_schedule"], "whole")
+def _(s, d):
+    at, df = _place(s), log(s, d)
+    low, high = df.agg(F.min(fn.seconds(C("ts"))), F.max(fn.seconds(C("ts")))).first()
+    first, end = low // 86400 * 86400, (high // 86400 + 1) * 86400
+    schedule = s.createDataFrame([(1, 86400, True, 0, 1 << 40), (2, 3600, True, 0, 0)], "id long, frequency long, enabled boolean, start long, end long")
+    for now in (first + 86400 * 9 + 7200, first + 86400 * 9 + 9000, first + 86400 * 17, end):  # a run that finds nothing due, and one that catches up
+        schedules.run_due(df, schedules.expired(schedule, now), {1: C("program") == "error", 2: F.lit(True)}, f"{at}/runs", now, first)
+    return schedules.results(s, f"{at}/runs").drop("run")
+
+
+def _database(s, d, at: str) -> str:
+    """orders in the Derby database that comes with Spark. It lives in one JVM, so these queries need a local master."""
+    url = f"jdbc:derby:memory:{at.rsplit('/', 1)[1]};create=true"
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", C("o_orderdate").cast("timestamp").alias("o_orderdate"))
+    orders.coalesce(1).write.format("jdbc").options(url=url, dbtable="orders", createTableColumnTypes="o_orderstatus VARCHAR(8), o_orderpriority VARCHAR(32)").save()
+    return url
+
+
+@q("s14_database", ORACLE_SQL["s14_source"], "orders")
+def _(s, d):
+    kinds = {"o_custkey": "int", "o_orderstatus": "", "o_orderpriority": ""}
+    return databases.search_database(s, _database(s, d, _place(s)), "orders", kinds, {"o_orderpriority": "Urg"}, start=dt.datetime(1996, 1, 1), timestamp="o_orderdate", key="o_orderkey")
+
+
+@q("s14_database_group", "SELECT o_orderpriority AS _groupby, CAST(sum(o_orderkey) AS BIGINT) AS _count FROM orders WHERE o_orderstatus = 'F' AND o_orderdate <= TIMESTAMP '1997-01-01' GROUP BY 1", "orders")
+def _(s, d):
+    kinds = {"o_orderstatus": "", "o_orderpriority": "", "o_orderkey": "int"}
+    return databases.search_database(s, _database(s, d, _place(s)), "orders", kinds, {"o_orderstatus": "f"}, end=dt.datetime(1997, 1, 1), group="o_orderpriority", measure="o_orderkey", timestamp="o_orderdate")
+
+
+# Exports, counts of records, saved results, all ends of connections
+
+
+@q("k6_grid_union", """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, secs AS epoch_time, CASE WHEN program = 'purchase' THEN CAST(conn_bytes AS VARCHAR) ELSE '' END AS conn_bytes, CASE WHEN class = 'NONE' THEN '' ELSE CAST(k AS VARCHAR) END AS k, msg FROM log""")
+def _(s, d):
+    df = log(s, d).withColumns({"conn_bytes": F.when(C("program") == "purchase", C("conn_bytes")), "k": F.when(C("class") != "NONE", C("k"))})
+    return sinks.to_csv_grid(with_fields(df, ("k", "conn_bytes")), None)
+
+
+@q("k6_group_grid", """SELECT 'class' AS groupby, (SELECT string_agg(class, ',' ORDER BY n DESC, class) FROM (SELECT class, count(*) AS n FROM log GROUP BY 1)) AS "values"
+ UNION ALL SELECT 'program', (SELECT string_agg(program, ',' ORDER BY n DESC, program) FROM (SELECT program, count(*) AS n FROM log GROUP BY 1))""")
+def _(s, d):
+    return sinks.to_group_grid({k: group.group_count(log(s, d), k) for k in ("program", "class")})
+
+
+@q("a7_sum_counts", "SELECT CASE WHEN k % 3 <> 0 THEN 'program' ELSE program END AS _groupby, CAST(sum(CASE WHEN k % 3 <> 0 THEN k % 3 ELSE 1 END) AS BIGINT) AS _count FROM log GROUP BY 1")
+def _(s, d):
+    return transforms.sum_field(log(s, d).select("program", (C("k") % 3).alias("count")), "program")
+
+
+@q("a7_sum_array_counts", "SELECT t AS _groupby, CAST(sum(CASE WHEN k % 3 <> 0 THEN k % 3 ELSE 1 END) AS BIGINT) AS _count FROM (SELECT k, unnest([program, class]) AS t FROM log) GROUP BY 1")
+def _(s, d):
+    return transforms.sum_field(log(s, d).select(F.array("program", "class").alias("names"), (C("k") % 3).alias("count")), "names")
+
+
+@q("k7_saved", "SELECT id, msg, (SELECT count(*) FROM log WHERE program = 'error') AS rows, CAST(2 AS BIGINT) AS total FROM log WHERE program = 'error'")
+def _(s, d):
+    at, df = _place(s), log(s, d)
+    for qid, program, uid in ((4, "error", 9), (5, "signup", 9), (6, "click", 8)):
+        sinks.save_results(df.where(C("program") == program).select("id", "msg"), f"{at}/saved", qid, program, uid)
+    listed = sinks.list_saved(s.read.parquet(f"{at}/saved"), 9).where("comment = 'error'").select("rows", "total")
+    return sinks.load_results(s, f"{at}/saved", 4, "id long, msg string").crossJoin(F.broadcast(listed))  # listed is one row
+
+
+@q("j12_asn_whole", "SELECT id, CAST(k % 5 AS INT) + 100 AS asn, CASE WHEN k % 5 = 2 THEN 'two' END AS descr FROM log")
+def _(s, d):
+    df = log(s, d).select("id", F.lit(100).alias("src_asn"), (C("k") % 5 + 100).cast("int").alias("dst_asn"))
+    asn = s.createDataFrame([(102, "two", "FR", "Paris", 1.0, 2.0)], "asn int, descr string, cc string, city string, latitude double, longitude double")
+    return enrich.enrich_asn(df, asn, [100]).select("id", "asn", "descr")

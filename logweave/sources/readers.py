@@ -47,9 +47,10 @@ def parse_log_tsv(lines: DataFrame, catalogue: Catalogue, now: Column | None = N
     not in the catalogue; one missing is now, `unknown`, or 1. Class `unknown` is 1, a program of digits is `unknown`.
     """
     now = F.unix_seconds(F.current_timestamp()) if now is None else now
-    part = F.split("value", "\t")
-    raw = {n: F.nullif(F.get(part, F.lit(i)), F.lit("")) for i, n in enumerate(("ts", "host", "program", "class", "msg", *INTS, *STRINGS))}
-    df = lines.select("value", *[c.alias(n) for n, c in raw.items()])
+    # One split a line, also where `value` is computed: what is generated is not merged into the expressions above it.
+    parts = lines.select("value", F.explode(F.array(F.split("value", "\t"))).alias("part"))
+    raw = {n: F.nullif(F.get("part", F.lit(i)), F.lit("")) for i, n in enumerate(("ts", "host", "program", "class", "msg", *INTS, *STRINGS))}
+    df = parts.select("value", *[c.alias(n) for n, c in raw.items()])
     number = F.when(F.lower("class") == "unknown", F.lit("1")).otherwise(F.col("class"))
     missing = sum(F.col(c).isNull().cast("int") for c in ("ts", "program", "class"))
     known = F.coalesce(number, F.lit("1")).isin([str(n) for n in catalogue.numbers.values()])

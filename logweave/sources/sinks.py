@@ -66,12 +66,49 @@ def to_json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def to_csv_grid(df: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
-    """Columns timestamp, epoch_time, the fields, msg; groups as groupby, values. Write it with write.csv(header=True), which quotes."""
+MOST_KEYS = 10_000
+
+
+def record_keys(df: DataFrame) -> list[str]:
+    """All keys of the records' `fields` (map) or `_fields` (array of field, value, class), sorted; at most 10 000, as many as a grid may have columns."""
+    keys = F.map_keys("fields") if "fields" in df.columns else F.transform("_fields", lambda x: x["field"])
+    found = [r[0] for r in df.select(F.explode(keys).alias("k")).distinct().limit(MOST_KEYS + 1).collect()]
+    if len(found) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys")
+    return sorted(found)
+
+
+def _last(pairs: str, key: str) -> Column:
+    return F.try_element_at(F.filter(pairs, lambda x: x["key"] == key), F.lit(-1))["value"]
+
+
+def to_csv_grid(df: DataFrame, fields: Sequence[str] | None = ()) -> DataFrame:
+    """Columns timestamp, epoch_time, the fields, msg; groups as groupby, values. Write it with write.csv(header=True), which quotes.
+
+    fields None: a column for every key that any record has, found by a pass of its own; of a key that a record has more
+    than once the last value counts. What a record lacks is ''.
+    """
     if "_groupby" in df.columns:
         return df.select(F.col("_groupby").alias("groupby"), F.col("_count").alias("values"))
     at = fn.seconds(F.col("ts"))
-    return df.select(fn.epoch_to_iso(at).alias("timestamp"), at.alias("epoch_time"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields], "msg")
+    if fields is None:
+        fields = [k for k in record_keys(df) if k not in ("timestamp", "epoch_time", "msg")]
+        pairs = F.map_entries("fields") if "fields" in df.columns else F.transform("_fields", lambda x: F.struct(x["field"].alias("key"), x["value"].alias("value")))
+        df = df.withColumn("_pairs", pairs)
+        named = [_last("_pairs", f) for f in fields]
+    else:
+        named = [F.col(f).cast("string") for f in fields]
+    return df.select(fn.epoch_to_iso(at).alias("timestamp"), at.alias("epoch_time"), *[F.coalesce(v, F.lit("")).alias(f) for f, v in zip(fields, named, strict=True)], "msg")
+
+
+def to_group_grid(groups: dict[str, DataFrame]) -> DataFrame:
+    """groupby, values: a row for each named grouped result with its keys, most frequent first, joined by commas. Results are cut to their limit before."""
+    out = None
+    for name, grouped in sorted(groups.items()):
+        keys = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_count")).alias("n"), "_groupby"))), lambda x: F.coalesce(x["_groupby"], F.lit("")))
+        row = grouped.agg(F.array_join(keys, ",").alias("values")).select(F.lit(name).alias("groupby"), "values")
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 def save_results(df: DataFrame, path: str, qid: int, comment: str, uid: int) -> None:

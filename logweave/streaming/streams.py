@@ -62,12 +62,17 @@ def run_schedule(df: DataFrame, schedule: DataFrame, conditions: dict[int, Colum
     return rows.groupBy("h.schedule", "h.start", "h.end").agg(F.count("*").alias("count")).select("schedule", "start", "end", "count")
 
 
-def throttle_stream(sdf: DataFrame, threshold: int, key: str = "schedule", at: str = "at") -> DataFrame:
+def throttle_stream(sdf: DataFrame, threshold: int, key: str = "schedule", at: str = "at", late: str | None = None) -> DataFrame:
     """Alerts (key, at in epoch seconds) but those within `threshold` seconds of the last one let through, for each key.
 
-    The alerts of one key in one micro-batch are put in order before they are passed; one that arrives in a later
-    micro-batch than a later alert is measured against that one.
+    late: how far an alert may be behind the newest one seen, such as "10 minutes". Alerts then wait as state of their key until the
+    watermark has passed them, and leave in the order of their times, however they arrived; those behind the watermark
+    (at first, those before 1970) are dropped. What waits is distinct seconds of that span, without those that the last alert let through silences
+    already. Without `late` nothing waits: the alerts of a key are put in order inside a micro-batch, and one that arrives in a
+    later micro-batch than a later alert is measured against that one.
     """
+    if late is not None:
+        return _throttle_in_order(sdf, threshold, key, at, late)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -83,6 +88,31 @@ def throttle_stream(sdf: DataFrame, threshold: int, key: str = "schedule", at: s
     return sdf.select(F.col(key).cast("long"), F.col(at).cast("long")).where(F.col(at).isNotNull()).groupBy(key).applyInPandasWithState(step, f"{key} long, {at} long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _throttle_in_order(sdf: DataFrame, threshold: int, key: str, at: str, late: str) -> DataFrame:
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        waiting = np.array(waiting, np.int64)
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting = np.union1d(waiting, frame["second"].to_numpy())
+                waiting = waiting if last is None else waiting[waiting >= last + threshold]
+        passed, kept = state.getCurrentWatermarkMs(), []
+        while len(waiting) and waiting[0] * 1000 <= passed:
+            last = int(waiting[0])
+            kept.append(last)
+            waiting = waiting[np.searchsorted(waiting, last + threshold) :]
+        if last is None and not len(waiting):
+            return
+        state.update((last, waiting.tolist()))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting[0]) * 1000, passed + 1))
+        yield pd.DataFrame({key: pd.Series([k[0]] * len(kept), dtype="Int64"), at: np.array(kept, np.int64)})
+
+    rows = sdf.select(F.col(key).cast("long").alias(key), F.col(at).cast("long").alias("second")).where("second is not null")
+    rows = rows.withColumn("moment", F.timestamp_seconds("second")).withWatermark("moment", late)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {at} long", "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def throttle_alerts(df: DataFrame, threshold: int, key: str = "schedule", at: str = "at") -> DataFrame:
     """The batch form: a fold along each schedule's alerts, streamed in order through each partition, none held whole."""
     ordered = df.select(F.col(key).cast("long"), F.col(at).cast("long")).repartition(key).sortWithinPartitions(key, at)
