@@ -135,7 +135,7 @@ def shard_matches(test: TestSet, data: np.ndarray, offsets: np.ndarray) -> tuple
     widest = max(n for n, *_ in test.suffixes)
     order = _suffix_array(text, widest)
     document = row_of(at)
-    hits, size = [], 0
+    hits, size, most = [], 0, MOST_ROWS
     for n, windows, cuts, (where, item) in test.suffixes:
         low, high = _bound(text, order, windows, False), _bound(text, order, windows, True)
         for w in np.flatnonzero(high > low):
@@ -156,9 +156,10 @@ def shard_matches(test: TestSet, data: np.ndarray, offsets: np.ndarray) -> tuple
                 d = document[first]
                 hits.append(_merged(np.stack([d, np.full(len(here), k), first - at[d], first - at[d] + n, longest], 1)))
                 size += len(hits[-1])
-                if size > MOST_ROWS:  # what is held grows with the merged matches, not with the windows' occurrences
+                if size > most:  # what is held grows with the merged matches, not with the windows' occurrences
                     hits = [_merged(np.concatenate(hits))]
                     size = len(hits[0])
+                    most = max(MOST_ROWS, 2 * size)  # each merge halves at least what it reads, or the next comes at twice the size
     if hits:
         for d, k, f, e, m in _merged(np.concatenate(hits)).tolist():
             found[d].append((test.item_ids[k], f, e, m))

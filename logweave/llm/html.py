@@ -2,8 +2,8 @@
 
 A page is a sequence of tags and text blocks. Each word scores by where it stands (names, classes and ids of the
 open elements), each tag scores against by its name; these weights are learnt from labelled pages, whose label is
-their one article or main element, over counts that a list of names seeds. One linear scan finds the best contiguous region; inside it, blocks whose words
-score against are left out.
+their one article or main element, over counts that a list of names seeds. One linear scan finds the best contiguous region; no word
+scores below 0, so only tags part regions, and blocks whose names speak against them are left out of the region afterwards.
 """
 
 from __future__ import annotations
@@ -53,6 +53,7 @@ class HtmlModel:
     context: dict[str, float] = field(default_factory=dict)
     cost: dict[str, float] = field(default_factory=dict)
     usual_cost: float = 0.5
+    met: frozenset[str] = frozenset()  # names that the labelled pages hold
 
 
 @dataclass
@@ -64,14 +65,22 @@ class Block:
 
     @property
     def features(self) -> frozenset[str]:
-        return frozenset(f for e in self.elements for f in e)
+        return frozenset(_name(f) for e in self.elements for f in e)
+
+
+def _name(feature: str) -> str:
+    return "." + feature[1:] if feature[0] == "-" else feature
 
 
 def _features(name: str, attributes: str) -> tuple[str, ...]:
+    """<tag>, and .name for each name in its classes, ids and roles, or -name where it stands beside one that the list lacks, as in share-price."""
     out = [f"<{name}>"]
     if attributes:
         for key, a, b, c in ATTRIBUTE.findall(attributes):
-            out += [f".{x}" for x in NAME.findall((a or b or c).lower())]
+            for word in (a or b or c).lower().split():
+                parts = NAME.findall(word)
+                mark = "-" if len(parts) > 1 and any(f".{x}" not in _AGAINST for x in parts) else "."
+                out += [f"{mark}{x}" for x in parts]
     return tuple(out)
 
 
@@ -137,7 +146,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in SIBLINGS and stack and stack[-1][0] in SIBLINGS[name]:
             stack.pop()
         features = _features(name, t[3])
-        if ("<header>" in features or ".header" in features) and not any(n in ("article", "main") for n, _ in stack):
+        if ("<header>" in features or any(_name(f) == ".header" for f in features)) and not any(n in ("article", "main") for n, _ in stack):
             features += (".pageheader",)  # not an article's own heading
         stack.append((name, features))
     flush()
@@ -145,15 +154,20 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _weight(model: HtmlModel, block: Block) -> float:
-    """What each word of a block scores: the sum of its elements' log-odds, at most 1 either way.
+    """What speaks for each word of a block: the sum of its elements' log-odds, at most 1 either way; below 0 it scores nothing.
 
     The nearest element that has a name with a weight counts in full, each one around it OUTER times the one before,
     and plain tags such as p after all names.
     """
     odds, share, plain = 0.25, 1.0, 0.0
+    inside = _labelled(block)
     for features in reversed(block.elements):
         named = 0.0
         for f in features:
+            if f[0] == "-":
+                f = _name(f)
+                if inside and f not in model.met:
+                    continue  # known from the list alone, and not by itself
             if f[0] == "." or f in _NAMED:
                 named += model.context.get(f, 0.0)
             else:
@@ -164,16 +178,21 @@ def _weight(model: HtmlModel, block: Block) -> float:
     return max(-1.0, min(1.0, odds + share * plain))
 
 
+def _labelled(block: Block) -> bool:
+    return any(features[0] == "<article>" for features in block.elements)
+
+
 def extract(model: HtmlModel, page: str | None) -> str:
     """Main text of a page: its blocks in the best region, one a line; empty where no region scores above 0."""
     found = blocks_of(page or "")
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     weights = [_weight(model, b) for b in found]
     for k, (b, w) in enumerate(zip(found, weights, strict=True)):
-        total -= (INSIDE if w > 0 else 1) * sum(model.cost.get(t, model.usual_cost) for t in b.tags)
+        share = INSIDE if w > 0 else 0 if _labelled(b) else 1  # what is left out of an article doesn't part it
+        total -= share * sum(model.cost.get(t, model.usual_cost) for t in b.tags)
         if total <= 0:
             total, start = 0.0, k
-        total += w * b.words
+        total += max(w, 0.0) * b.words
         if total > best:
             best, best_at = total, (start, k + 1)
     return "\n".join(b.text for b, w in zip(found[slice(*best_at)], weights[slice(*best_at)], strict=True) if w > 0)
@@ -185,6 +204,7 @@ def fit(pages: list[str]) -> HtmlModel:
     outside: dict[str, float] = defaultdict(float)
     tags = [defaultdict(float), defaultdict(float)]
     sizes = [1.0, 1.0]
+    met: set[str] = set()
     for name in AGAINST:
         outside[f".{name}"] += PRIOR
         outside[f"<{name}>"] += PRIOR
@@ -205,10 +225,11 @@ def fit(pages: list[str]) -> HtmlModel:
             for t in b.tags:
                 tags[good][t] += 1
             sizes[good] += b.words
+        met |= seen.keys()
         for f, (bad, good) in seen.items():  # a page counts once for a feature
             inside[f] += good / (bad + good)
             outside[f] += bad / (bad + good)
-    model = HtmlModel()
+    model = HtmlModel(met=frozenset(met))
     for f in {*inside, *outside}.difference(_EVERYWHERE):
         model.context[f] = float(np.log((inside[f] + 0.5) / (outside[f] + 0.5)))
     for t in {*tags[0], *tags[1]}:

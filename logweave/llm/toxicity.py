@@ -3,7 +3,9 @@
 Wang and Manning, "Baselines and Bigrams" (ACL 2012), with n-grams of characters of the lower-cased text.
 The classifier is fitted on a bounded sample of labelled documents (`max_docs`). Its features are all n-grams of
 the sample whose share among toxic documents differs from that among others by more than chance (a test of two
-shares, `least_z`); their number is not bounded otherwise. Scoring reads whole texts in Arrow batches.
+shares, `least_z`); their number is not bounded otherwise. Log-count ratios are drawn towards 0 by SMOOTH documents of the
+sample's own mixture, without which n-grams of few documents have the greatest ones; the bias is set on rows
+that parts of the fit have not seen. Scoring reads whole texts in Arrow batches.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import BLOCK_BYTES, blocks, row_of
-from ._store import keep
+from ._store import forget, keep
 
 BITS = 20
 ORDERS = (4, 5, 6)
 SAMPLE_BLOCK = 1 << 18
-LEAST_Z = 4.5  # of half a million n-grams a few pass it by chance
+LEAST_Z = 3.0  # of half a million n-grams over a thousand pass it by chance, with small ratios
+SMOOTH = 10.0
+FOLDS = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,12 +76,26 @@ def _present(code: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, buckets: np.ndarray, ratio: np.ndarray, rounds: int = 120, l2: float = 5e-3) -> ToxicityModel:
-    """The classifier for texts with labels y, text row[i] having feature col[i]; feature k is bucket buckets[k] scaled by ratio[k]."""
-    length, width = len(y), len(buckets)
+def ratios(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, smooth: float = SMOOTH) -> np.ndarray:
+    """Log ratio of each feature's shares among texts of label 1 and of label 0, each with `smooth` texts of both labels' mixture added."""
+    n1, n0 = (y > 0).sum(), (y == 0).sum()
+    hit = y[row] > 0
+    c1, c0 = np.bincount(col[hit], minlength=width), np.bincount(col[~hit], minlength=width)
+    mixed = smooth / len(y)
+    return np.log((c1 + mixed * n1) / (n1 + smooth) / ((c0 + mixed * n0) / (n0 + smooth)))
+
+
+def _balance(y: np.ndarray) -> np.ndarray:
+    """How much each text counts: halfway, on a log scale, between all alike and both labels alike."""
+    n, n1 = len(y), (y > 0).sum()
+    return np.where(y > 0, n / (2 * n1), n / (2 * (n - n1))) ** 0.5
+
+
+def _weights(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
+    """Weight of each feature, its ratio included, and bias: logistic loss of the texts with labels y, text row[i] having feature col[i]."""
+    length, width = len(y), len(ratio)
     value = ratio[col]
-    n1 = (y > 0).sum()
-    weight = np.where(y > 0, length / (2 * n1), length / (2 * (length - n1))) ** 0.5
+    weight = _balance(y)
     w, b, m, v, mb, vb = np.zeros(width), 0.0, np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on the whole sample
         z = np.bincount(row, value * w[col], length) + b
@@ -89,8 +107,40 @@ def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, buckets: np.ndarray, ra
         step = 0.02 / (1 - 0.9**t)
         w -= step * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= step * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+    return w * ratio, float(b)
+
+
+def fewest_errors(z: np.ndarray, y: np.ndarray) -> float:
+    """A cut between the numbers z at which fewest texts are on the wrong side, by their weights; of several cuts the middle one."""
+    order = np.argsort(z, kind="stable")
+    at, hit, weight = z[order], y[order] > 0, _balance(y)[order]
+    missed, false = np.append(0, np.cumsum(weight * hit)), np.append(0, np.cumsum(weight * ~hit))
+    wrong = missed + false[-1] - false
+    cuts = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    return float(cuts[best[len(best) // 2]])
+
+
+def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, buckets: np.ndarray, rounds: int = 120, l2: float = 5e-3, folds: int = FOLDS) -> ToxicityModel:
+    """The classifier for texts with labels y, text row[i] having feature col[i], which is bucket buckets[col[i]].
+
+    The texts of each label are dealt into `folds` parts by their order; each is scored by ratios and weights of the others, and the bias is
+    moved so that a score of one half lies where fewest of them are wrong. With fewer than 10 texts of a label it stays as fitted.
+    """
+    width = len(buckets)
+    w, b = _weights(row, col, y, ratios(row, col, y, width), rounds, l2)
+    if min((y > 0).sum(), (y == 0).sum()) >= 10:
+        unseen, fold = np.zeros(len(y)), np.where(y > 0, np.cumsum(y > 0), np.cumsum(y == 0)) % folds
+        for k in range(folds):
+            kept = fold != k
+            of, place = kept[row], np.cumsum(kept) - 1
+            own = place[row[of]], col[of], y[kept]
+            part, bias = _weights(*own, ratios(*own, width), rounds, l2)
+            z = bias + np.bincount(row[~of], part[col[~of]], len(y))
+            unseen[~kept] = z[~kept]
+        b -= fewest_errors(unseen, y)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[buckets] = w * ratio
+    weights[buckets] = w
     return ToxicityModel(weights, float(b))
 
 
@@ -115,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
     condition over doc_id for rows to learn from. The sample is the first rows by a hash of doc_id, so it
     does not depend on partitioning. Null texts count as empty, texts of any length are read whole, rows of docs that repeat
     a doc_id are one example each, of differing labels of one document the greater counts. N-grams are counted on the
-    executors; the driver gets those with |z| of at least `least_z`
+    executors; the driver gets the numbers of those with |z| of at least `least_z`
     (or half of what a perfect n-gram has, if that is less, as with under 82 texts) and which of them each document of the sample has.
     Without both labels (an empty table too) every text gets the rate of label 1.
     """
@@ -130,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
     sizes = {r["toxic"] > 0: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
+        forget(sample)
         return _constant(n1 / max(1, n1 + n0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,15 +194,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
                 yield pa.RecordBatch.from_arrays([pa.array(of), *(pa.array(np.bincount(place[x], minlength=len(of))) for x in (hit, ~hit))], ["bucket", "n1", "n0"])
 
     seen = sample.mapInArrow(count, "bucket long, n1 long, n0 long").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    p, q = (F.col("n1") + 1) / (n1 + 2), (F.col("n0") + 1) / (n0 + 2)
     share, other, whole = F.col("n1") / n1, F.col("n0") / n0, (F.col("n1") + F.col("n0")) / (n1 + n0)
     z = F.abs(share - other) / F.sqrt(whole * (1 - whole) * (1 / n1 + 1 / n0))
     enough = min(least_z, (n1 + n0) ** 0.5 / 2)  # no z of so few texts can be greater than the square root of their number
-    best = seen.where((F.col("n1") + F.col("n0") < n1 + n0) & (z >= enough)).select("bucket", F.log(p / q).alias("ratio")).toArrow()
+    best = seen.where((F.col("n1") + F.col("n0") < n1 + n0) & (z >= enough)).select("bucket").toArrow()
     if not best.num_rows:
+        forget(sample)
         return _constant(n1 / (n1 + n0))
-    order = np.argsort(best["bucket"].to_numpy())
-    buckets, ratio = best["bucket"].to_numpy()[order], best["ratio"].to_numpy()[order]
+    buckets = np.sort(best["bucket"].to_numpy())
     wanted = np.zeros(1 << BITS, bool)
     wanted[buckets] = True
 
@@ -164,13 +214,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], ["doc_id", "toxic", "features"])
 
-    rows = sample.mapInArrow(used, "doc_id long, toxic int, features array<int>").toArrow().sort_by("doc_id")
+    rows = sample.mapInArrow(used, "doc_id long, toxic int, features array<int>").toArrow()
+    forget(sample)
+    rows = rows.sort_by("doc_id")
     lists = rows["features"].combine_chunks()
-    return fit(row_of(lists.offsets.to_numpy()), lists.flatten().to_numpy(), (rows["toxic"].to_numpy() > 0).astype(float), buckets, ratio)
+    return fit(row_of(lists.offsets.to_numpy()), lists.flatten().to_numpy(), (rows["toxic"].to_numpy() > 0).astype(float), buckets)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score for each row of docs (repeated ids keep their rows; other columns are not looked at; an empty table gives an empty table)."""
+    """doc_id, score for each row of docs. A null or empty text gets the score of no n-gram, texts of any length are read whole by blocks
+    of whole texts, repeated ids keep their rows, other columns are not looked at, an empty table gives an empty table."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -413,7 +413,7 @@ def test_html_best_region():
         found = html.blocks_of(page)
         weight = [html._weight(model, b) for b in found]
         cost = [(html.INSIDE if w > 0 else 1) * sum(model.cost[t] for t in b.tags) for b, w in zip(found, weight)]
-        score = lambda i, j: sum(weight[k] * found[k].words - (cost[k] if k > i else 0) for k in range(i, j))
+        score = lambda i, j: sum(max(weight[k], 0) * found[k].words - (cost[k] if k > i else 0) for k in range(i, j))
         regions = {(i, j): score(i, j) for i in range(len(found)) for j in range(i + 1, len(found) + 1)}
         best = max(regions.values())
         texts = {"\n".join(found[k].text for k in range(i, j) if weight[k] > 0) for (i, j), v in regions.items() if v > best - 1e-9} if best > 0 else {""}
@@ -442,6 +442,21 @@ def test_html_names_are_a_prior(spark):
     assert html.train(spark.createDataFrame(rows, "page_id long, html string"), max_pages=1).context[".special"] > 0
 
 
+def test_html_keeps_what_stands_behind_an_aside(spark):
+    """With the model of the test pages: parts of an article on both sides of a notice, a menu or a long list, and names that training has not met."""
+    model = html.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    long = "<aside>" + "".join(f"<ul><li>promo {k}</li></ul>" for k in range(40)) + "</aside>"
+    cases = {
+        "<article><p>first part one two three</p><aside>" + "promo words " * 40 + "</aside><p>six seven eight nine ten</p></article>": "first part one two three\nsix seven eight nine ten",
+        "<article><h1>T</h1><p>one two three</p><nav>x y</nav><p>four five six</p></article>": "T\none two three\nfour five six",
+        f"<article><p>one two three</p>{long}<p>four five six</p></article>": "one two three\nfour five six",
+        '<article><p class="share-price">Shares rose today in trading</p></article>': "Shares rose today in trading",
+        '<nav>menu</nav><article><h1>A day</h1><p>one two three four</p><figure><figcaption class="widget-gallery">five six</figcaption></figure><div class="search-result">seven</div><p class="notification-law">eight nine</p></article><footer>end</footer>': "A day\none two three four\nfive six\nseven\neight nine",
+    }
+    for page, text in cases.items():
+        assert html.extract(model, f"<html><body><header><nav>Home News</nav></header>{page}<footer>Imprint</footer></body></html>") == text
+
+
 # 8
 
 
@@ -533,11 +548,51 @@ def test_toxicity(spark):
     base = "/root/testdata/sf0.1"
     out = registry.op9_toxicity(spark, base).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id")
     share = {(r.held_out, r.toxic): r.p for r in out.groupBy("held_out", "toxic").agg(F.avg("predicted").alias("p")).collect()}
-    assert share[(True, 1)] > 0.85 and share[(True, 0)] < 0.01
+    assert share[(True, 1)] >= 0.9 and share[(True, 0)] < 0.01
     rows = [r for r in out.select("doc_id", "held_out", "score").collect()]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_training_as_brute_force(spark, monkeypatch):
+    """Selection, ratios and the folds' scores against loops over sets of n-grams."""
+    random.seed(12)
+    bad, good = ["dreck", "mist"], WORDS
+    texts = [" ".join(random.choices(good, k=8) + ([random.choice(bad)] if k % 3 == 0 else [])) for k in range(90)]
+    y = [int(k % 3 == 0) for k in range(90)]
+    taken = {}
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda row, col, labels, buckets, **more: taken.update(row=row, col=col, y=labels, buckets=buckets) or real(row, col, labels, buckets, **more))
+    model = toxicity.train(docs_of(spark, texts), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
+    sets = []
+    for t in texts:
+        code = np.array([ord(c) for c in t], np.uint32)
+        sets.append({b for _, bs in toxicity._grams(code, np.array([0, len(code)])) for b in bs.tolist()})
+    ratio, kept = {}, []
+    for b in sorted(set().union(*sets)):
+        c1, c0 = (sum(b in s for s, l in zip(sets, y) if l == k) for k in (1, 0))
+        share = (c1 + c0) / 90
+        if c1 + c0 < 90 and abs(c1 / 30 - c0 / 60) / np.sqrt(share * (1 - share) * (1 / 30 + 1 / 60)) >= min(toxicity.LEAST_Z, 90**0.5 / 2):
+            kept.append(b)
+            ratio[b] = np.log((c1 + 10 * 30 / 90) / 40 / ((c0 + 10 * 60 / 90) / 70))
+    assert taken["buckets"].tolist() == kept and taken["y"].tolist() == y
+    assert {(r, kept[c]) for r, c in zip(taken["row"], taken["col"])} == {(i, b) for i, s in enumerate(sets) for b in s & set(kept)}
+    mine = toxicity.ratios(taken["row"], taken["col"], taken["y"], len(kept))
+    assert np.allclose(mine, [ratio[b] for b in kept])
+    assert (model.weights[kept] * mine >= 0).mean() > 0.9
+    got = toxicity.score_texts(model, pa.array(texts, pa.string())) >= 0.5
+    assert got.tolist() == [bool(l) for l in y]
+
+
+def test_fewest_errors():
+    random.seed(3)
+    for _ in range(50):
+        z = np.array([random.randrange(8) + random.random() / 9 for _ in range(12)])
+        y = np.array([random.randrange(2) for _ in z])
+        y[:2] = 0, 1
+        wrong = lambda cut: float((((z >= cut) != (y > 0)) * np.where(y > 0, 6 / sum(y > 0), 6 / sum(y == 0)) ** 0.5).sum())  # noqa: B023, E731
+        assert abs(wrong(toxicity.fewest_errors(z, y)) - min(wrong(c) for c in [*z, z.max() + 1])) < 1e-9
+
+
 def test_toxicity_edges(spark):
     texts = ["you idiot scum"] * 5 + ["a kind word here"] * 5 + [None, "", "x"]
     labels = spark.createDataFrame([(i, int(i < 5)) for i in range(10)] + [(11, None)], "doc_id long, toxic int")
