@@ -1,11 +1,16 @@
 """The pipeline's stages on a small folder: what goes, what stays, and the columns between them."""
 
 import random
+import re
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from logweave.llm import secrets, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +65,69 @@ def test_stages_on_odd_tables(spark, folder, tmp_path):
             assert (out.count() == 0) == (df.count() == 0), name
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == odd.columns and out.where("toxicity_score <> 'x' or findings <> 'x' or id <> 'x'").count() == 0
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_run_against_brute_force(spark):
+    """The rows of run() on the small tables against the five stages in loops; classifier and network come from their own training."""
+    base = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    left = {r.doc_id: r for r in docs.collect()}
+    # 1: the score is the logistic sum of the weights of a text's distinct n-grams
+    model = toxicity.train(docs, spark.read.parquet(f"{base}/labels.parquet"))
+    for i in list(left):
+        code = np.array([ord(c) for c in (left[i].text or "").lower()], np.uint32)
+        grams = {b for _, bs in toxicity._grams(code, np.array([0, len(code)])) for b in bs.tolist()}
+        if model.bias + sum(float(model.weights[b]) for b in grams) >= 0:
+            del left[i]
+    # 2: of each component of pairs at similarity 0.8 or more the least id stays
+    ids, sets = sorted(left), {i: shingles(left[i].text) for i in left}
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    left = {i: left[i] for i in ids if find(i) == i}
+    # 3: no window of ten words, or of a whole shorter item
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    windows = set()
+    for r in spark.read.parquet(f"{base}/benchmark.parquet").collect():
+        w = word.findall(low(r.text))
+        n = min(10, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+    sizes = {len(w) for w in windows}
+    words = {i: word.findall(low(r.text)) for i, r in left.items()}
+    left = {i: r for i, r in left.items() if not any(tuple(words[i][k : k + n]) in windows for n in sizes for k in range(len(words[i]) - n + 1))}
+    # 4: findings masked, overlapping ones as one
+    kept = spark.createDataFrame(list(left.values()), docs.schema)
+    network = secrets.train(kept)
+    texts = {}
+    for i, r in left.items():
+        out, end = "", 0
+        for s, _, e, _ in secrets.findings(network, r.text) if r.text else []:
+            out += "" if s < end else r.text[end:s] + "<SECRET>"
+            end = max(end, e)
+        texts[i] = None if r.text is None else out + r.text[end:]
+    # 5: ids as the tokenizers library gives them
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation(), library.no_padding()
+    wanted = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, base).collect()}
+    assert {i: list(r.ids) for i, r in got.items()} == wanted and all(r.round_trip and r.n_tokens == len(r.ids) for r in got.values())
+    assert 0 < len(got) < docs.count()
