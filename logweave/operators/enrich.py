@@ -17,11 +17,18 @@ MD5 = r"(?:^|\s)([0-9a-fA-F]{32})(?:\s|$)"
 LEVELS = (8, 16, 24, 32, 48, 63)  # bits of the cells; a range lies in at most two cells of the first that is wider
 
 
+def _by_cell(df: DataFrame, number: Column, bits: Sequence[int]) -> DataFrame:
+    """df with _bits and _cell of the number at each level."""
+    cells = F.array(*[F.struct(F.lit(b).alias("_bits"), F.shiftright(number, b).alias("_cell")) for b in bits])
+    return df.withColumn("_c", F.explode(cells)).select("*", "_c._bits", "_c._cell").drop("_c")
+
+
 def range_hits(points: DataFrame, ranges: DataFrame, low: str, high: str, small: int = SMALL_RANGES) -> DataFrame:
     """points (column _point, each number once) joined with the ranges that hold them.
 
     A range goes by the cells of the first level that is as wide as itself, so it has two cells at most, and a point
-    asks for its cell of each level: an equi join with a filter. At most `small` rows of cells are broadcast, more are shuffled.
+    asks for its cell of each level: an equi join with a filter. At most `small` rows of cells are broadcast, and then only
+    the levels that they use are asked for; more are shuffled.
     """
     width = F.col(high) - F.col(low)
     bits = F.coalesce(*[F.when(width < (1 << b), b) for b in LEVELS[:-1]], F.lit(LEVELS[-1]))
@@ -29,11 +36,11 @@ def range_hits(points: DataFrame, ranges: DataFrame, low: str, high: str, small:
     own = lambda x: F.filter(cell(F.col(x)), lambda c: c["_bits"] == bits)
     spread = ranges.withColumns({low: F.col(low).cast("long"), high: F.col(high).cast("long")}).where(F.col(low) <= F.col(high))
     spread = spread.withColumn("_c", F.explode(F.array_distinct(F.concat(own(low), own(high))))).select("*", "_c._bits", "_c._cell").drop("_c")
-    if spread.limit(small + 1).count() <= small:
-        spread = F.broadcast(spread)
-    asked = points.withColumn("_c", F.explode(cell(F.col("_point")))).select("*", "_c._bits", "_c._cell").drop("_c")
+    seen = spread.select("_bits").limit(small + 1).agg(F.count("*").alias("n"), F.collect_set("_bits").alias("bits")).first()
+    few = seen["n"] <= small
+    asked = _by_cell(points, F.col("_point"), sorted(seen["bits"]) if few and seen["n"] else LEVELS)
     inside = (F.col("_point") >= F.col(low)) & (F.col("_point") <= F.col(high))
-    return asked.join(spread, ["_bits", "_cell"]).where(inside).drop("_bits", "_cell")
+    return asked.join(F.broadcast(spread) if few else spread, ["_bits", "_cell"]).where(inside).drop("_bits", "_cell")
 
 
 def range_join(left: DataFrame, ranges: DataFrame, point: Column, low: str, high: str, how: str = "left", small: int = SMALL_RANGES) -> DataFrame:
@@ -43,16 +50,20 @@ def range_join(left: DataFrame, ranges: DataFrame, point: Column, low: str, high
     return rows.join(hits, "_point", how).drop("_point")
 
 
-def lookup_ranges(df: DataFrame, ranges: DataFrame, ip: str, into: str, columns: Sequence[str]) -> DataFrame:
-    """df with a struct `into` of the range's columns for the address column `ip`; null where none holds it.
+def lookup_ranges(df: DataFrame, ranges: DataFrame, into: dict[str, str], columns: Sequence[str]) -> DataFrame:
+    """df with a struct of the range's columns for each address column (address to struct's name); null where none holds it.
 
-    Each distinct address is looked up once. Of several ranges the narrowest, then the first, counts.
+    Each distinct address of all the columns is looked up once. Of several ranges the narrowest, then the first, counts.
     """
-    addresses = df.select(F.col(ip).alias("_ip")).where("_ip is not null").distinct().withColumn("_point", ip_to_long(F.col("_ip")))
+    every = df.select(F.explode(F.array(*[F.col(ip) for ip in into])).alias("_ip"))
+    addresses = every.where("_ip is not null").distinct().withColumn("_point", ip_to_long(F.col("_ip")))
     hits = range_hits(addresses.where("_point is not null"), ranges, "start_ip", "end_ip")
     best = F.min_by(F.struct(*columns), F.struct(F.col("end_ip") - F.col("start_ip"), "start_ip"))
-    found = hits.groupBy("_ip").agg(best.alias(into))
-    return df.join(found, df[ip] == found["_ip"], "left").drop("_ip")
+    found = hits.groupBy("_ip").agg(best.alias("_found"))
+    for ip, name in into.items():
+        own = found.select(F.col("_ip").alias("_key"), F.col("_found").alias(name))
+        df = df.join(own, df[ip] == own["_key"], "left").drop("_key")
+    return df
 
 
 REGISTRY = ("name", "descr", "org", "cc")
@@ -67,8 +78,7 @@ def enrich_networks(df: DataFrame, subnets: DataFrame, orgs: DataFrame, fields:
     """
     orgs = orgs.withColumns({c: F.lit(None).cast("string") for c in NETWORK if c not in orgs.columns})
     known = subnets.join(orgs, "org", "left").select("start_ip", "end_ip", *NETWORK, "customer", "is_local")
-    for f in fields:
-        df = lookup_ranges(df, known, f, f"{f}_net", [*NETWORK, "customer", "is_local"])
+    df = lookup_ranges(df, known, {f: f"{f}_net" for f in fields}, [*NETWORK, "customer", "is_local"])
     sides = [f for f in fields if f in ("srcip", "dstip")]
     local = [F.coalesce(F.col(f"{f}_net.is_local"), F.lit(False)) for f in sides]
     before = F.lit(False)
@@ -88,9 +98,7 @@ def enrich_networks(df: DataFrame, subnets: DataFrame, orgs: DataFrame, fields:
 def enrich_registry(df: DataFrame, registry: DataFrame, fields: Sequence[str] = ("srcip",), default_cc: str = "US") -> DataFrame:
     """`<field>_reg` (name, descr, org, cc) of a registry table (start_ip, end_ip, name, descr, org, cc); a missing country is `default_cc`."""
     known = registry.withColumn("cc", F.coalesce("cc", F.lit(default_cc)))
-    for f in fields:
-        df = lookup_ranges(df, known, f, f"{f}_reg", list(REGISTRY))
-    return df
+    return lookup_ranges(df, known, {f: f"{f}_reg" for f in fields}, list(REGISTRY))
 
 
 GEO = ("cc", "country", "state", "city", "latitude", "longitude")
@@ -98,9 +106,7 @@ GEO = ("cc", "country", "state", "city", "latitude", "longitude")
 
 def enrich_geo(df: DataFrame, places: DataFrame, fields: Sequence[str] = ("srcip", "dstip")) -> DataFrame:
     """`<field>_geo` of a table start_ip, end_ip, cc, country, state, city, latitude, longitude; the narrowest range, so a country's is the fallback."""
-    for f in fields:
-        df = lookup_ranges(df, places, f, f"{f}_geo", list(GEO))
-    return df
+    return lookup_ranges(df, places, {f: f"{f}_geo" for f in fields}, list(GEO))
 
 
 def enrich_threats(df: DataFrame, indicators: DataFrame, subnets: Sequence[tuple[str, str]], ip: str = "dstip", names: Sequence[str] = ()) -> DataFrame:
@@ -157,12 +163,6 @@ def _ordinal(df: DataFrame, column: str) -> Column:
     raise ValueError(f"{column} is no time or number but {kind}")
 
 
-def _by_cell(df: DataFrame, number: Column, bits: Sequence[int]) -> DataFrame:
-    """df with _bits and _cell of the number at each level."""
-    cells = F.array(*[F.struct(F.lit(b).alias("_bits"), F.shiftright(number, b).alias("_cell")) for b in bits])
-    return df.withColumn("_c", F.explode(cells)).select("*", "_c._bits", "_c._cell").drop("_c")
-
-
 def enrich_lookup(df: DataFrame, lookup: DataFrame, on: dict[str, str], fields: Sequence[str], during: tuple[str, str, str] | None = None) -> DataFrame:
     """Each requested field as the sorted array of its non-null values in the lookup rows that agree in the `on` columns (df to lookup).
 

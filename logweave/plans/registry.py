@@ -723,9 +723,7 @@ def _(s, d):
 @q("s4_syslog", "SELECT secs AS ts, host, program, msg FROM log")
 def _(s, d):
     line = F.concat(F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" "), "host", F.lit(" "), "program", F.lit("[77]: "), "msg")
-    rows = log(s, d).select(F.year("ts").alias("y"), line.alias("value"))
-    years = [r[0] for r in rows.select("y").distinct().collect()]
-    return stats.union_sources([readers.parse_syslog(rows.where(C("y") == y), y) for y in sorted(years)])
+    return readers.parse_syslog(log(s, d).select(F.year("ts").alias("y"), line.alias("value")), C("y"))
 
 
 @q("s5_lines", "SELECT CAST(1700000000 AS BIGINT) AS ts, 'h' AS host, 'p' AS program, text AS msg FROM benchmark", "benchmark")
@@ -1192,3 +1190,16 @@ def _(s, d):
     df = log(s, d).select("id", F.lit(100).alias("src_asn"), (C("k") % 5 + 100).cast("int").alias("dst_asn"))
     asn = s.createDataFrame([(102, "two", "FR", "Paris", 1.0, 2.0)], "asn int, descr string, cc string, city string, latitude double, longitude double")
     return enrich.enrich_asn(df, asn, [100]).select("id", "asn", "descr")
+
+
+@q("s4_syslog_files", "SELECT secs AS ts, host, program, msg FROM log")
+def _(s, d):
+    at = _place(s)
+    line = F.concat(F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" "), "host", F.lit(" "), "program", F.lit("[77]: "), "msg")
+    rows = log(s, d).select(line.alias("value"), F.year("ts").alias("y"))
+    head = s.range(3).select(F.lit("Jan  1 00:00:00 head p: of file").alias("value"))  # three lines in front of each year's file
+    years = sorted(r[0] for r in rows.select("y").distinct().collect())
+    for y in years:
+        lines = head.select("value", F.lit(0).alias("n")).unionAll(rows.where(C("y") == y).select("value", F.lit(1)))
+        lines.coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{at}/{y}")
+    return stats.union_sources([readers.read_syslog(s, f"{at}/{y}", y, skip=3) for y in years])

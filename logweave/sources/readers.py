@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,28 +118,30 @@ def read_class_csv(spark: SparkSession, path: str, catalogue: Catalogue, cls: st
 
 
 def _month_time(line: Column, year: int | Column, tz: str, pattern: str = MONTH_DAY) -> Column:
-    year = F.lit(year).cast("string") if isinstance(year, int) else year
+    year = (F.lit(year) if isinstance(year, int) else year).cast("string")
     text = F.concat_ws(" ", year, *[F.regexp_extract(line, pattern, k) for k in (1, 2, 3)])
     return F.unix_seconds(F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss")), tz))
 
 
-def parse_syslog(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
-    """ts, host, program, msg of `Mon d HH:MM:SS host program: msg`; other lines are dropped."""
+def parse_syslog(lines: DataFrame, year: int | Column, tz: str = "UTC") -> DataFrame:
+    """ts, host, program, msg of `Mon d HH:MM:SS host program: msg`; other lines are dropped. The year, which lines lack, may be a column."""
     pattern = rf"^{MONTH_DAY}\s+(\S+)\s+([^:\[\s]+)(?:\[[0-9]+\])?:\s*(.*)$"
     get = lambda k: F.regexp_extract("value", pattern, k)
     rows = lines.where(F.col("value").rlike(pattern))
     return rows.select(_month_time(F.col("value"), year, tz, pattern).alias("ts"), get(4).alias("host"), F.lower(get(5)).alias("program"), get(6).alias("msg")).where("ts is not null")
 
 
-def read_syslog(spark: SparkSession, path: str, year: int, tz: str = "UTC", skip: int = 0) -> DataFrame:
-    lines = _lines(spark, path)
-    if skip:  # the first lines of each file, by their place in it
-        from pyspark.sql import Window
+def read_syslog(spark: SparkSession, path: str, year: int | Column, tz: str = "UTC", skip: int = 0) -> DataFrame:
+    """Lines of syslog files but the first `skip` of each, which must lie in the file's first split (128 MB by default).
 
-        at = Window.partitionBy("_file").orderBy("_at")
-        numbered = lines.withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id()})
-        first = numbered.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= skip).select("_at")
-        lines = numbered.join(first, "_at", "left_anti").select("value")
+    Only lines of first splits get a number; the others are passed on as they are read.
+    """
+    lines = _lines(spark, path)
+    if skip:
+        placed = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+        heads = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+        first = placed.where("_split = 0").withColumn("_n", heads).where(F.col("_n") > skip)
+        lines = placed.where("_split > 0").select("value").unionAll(first.select("value"))
     return parse_syslog(lines, year, tz)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import functions as fn
@@ -23,6 +23,14 @@ def live_tail(sdf: DataFrame, all: Sequence = (), any: Sequence = (), none: Sequ
     return search(rows, all, any, none).withColumn("arrived", F.current_timestamp())
 
 
+def tail_for(stream: DataStreamWriter, seconds: int = 3600) -> StreamingQuery:
+    """Starts a standing search and ends it after its time, or earlier where it ends by itself; gives the query, for its progress or error."""
+    query = stream.start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+    return query
+
+
 def ingest(lines: DataFrame, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], path: str, summary: str, checkpoint: str, every: str | None = "60 seconds") -> StreamingQuery:
     """Micro-batches of lines: parsed, appended to the log table at `path`, each summed up at `summary` under its number.
 

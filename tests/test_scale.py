@@ -352,3 +352,26 @@ def test_grep_chooses_columns(spark):
     assert [r.id for r in transforms.grep(df, "y", "^host$").collect()] == [2]
     assert [r.id for r in transforms.drop_matching(df, 70, "port", ">").collect()] == [2]
     assert "RLIKE" in search.search(df, all=[("id", ">", 0)]).where(transforms._hit(df, "y", "^host$", None))._jdf.queryExecution().toString()
+
+
+def test_syslog_skips_heads_of_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / "in" / name).write_text("".join(f"Jan  2 03:04:05 {name} p: m{k}\n" for k in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # many splits a file
+    try:
+        from logweave.sources import readers
+
+        got = readers.read_syslog(spark, str(tmp_path / "in"), F.lit(2024), skip=5)
+        assert got.rdd.getNumPartitions() > 4
+        assert sorted((r.host, int(r.msg[1:])) for r in got.collect()) == [(n, k) for n in "ab" for k in range(5, 20_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_tail_ends(spark, tmp_path):
+    rows = spark.readStream.format("rate").load().select(F.col("value").alias("id"), F.lit("an error").alias("msg"))
+    began = time.time()
+    query = streams.tail_for(streams.live_tail(rows, ["error"]).writeStream.format("memory").queryName("tail"), 4)
+    assert not query.isActive and query.exception() is None and 3 < time.time() - began < 60
