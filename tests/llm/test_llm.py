@@ -531,6 +531,32 @@ def test_secret_scan_adds_what_the_network_finds(spark):
         assert [(f.start, f.end) for f in r.findings if f.kind == "model"] == wanted
 
 
+def test_secret_shapes_not_trained_on(spark):
+    """A network that has seen some shapes of tokens finds others, in texts that it has not seen, and few ordinary candidates beside them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    held = ("build", "package", "mail")
+    model = secrets.train(docs.where("doc_id % 5 > 0"), shapes={k: v for k, v in secrets.SHAPES.items() if k not in held})
+    random, hits, tries, extra, seen = np.random.default_rng(5), 0, 0, 0, 0
+    for r in docs.where("doc_id % 5 = 0").orderBy("doc_id").limit(300).collect():
+        for m in list(secrets.WORD.finditer(r.text or ""))[:1]:
+            token = secrets.token_of(secrets.SHAPES[held[tries % 3]], random)
+            text = r.text[: m.start()] + token + r.text[m.end() :]
+            hits += any(s <= m.start() + 3 and e >= m.start() + len(token) - 3 for s, k, e, _ in secrets.findings(model, text) if k == 3)
+            tries += 1
+        spans = secrets.candidates(r.text or "")
+        seen += len(spans)
+        extra += sum(k == 3 for _, k, _, _ in secrets.findings(model, r.text or ""))
+    print("held-out shapes", hits, tries, "added", extra, seen, "recall", model.recall, "threshold", model.threshold)
+    assert hits >= 0.9 * tries and tries > 200
+
+
+def test_masked_findings():
+    for text, wanted in (('a password="abcdef1" b', "abcdef1"), ("k AKIA" + "B1" * 8 + " x", "B1" * 10), ("f" * 24, None)):
+        (s, k, e), *_ = secrets.base_findings(text)
+        made = secrets._masked(text, s, k, e)
+        assert (made and made[0][made[1] : made[2]]) == wanted and (not made or (len(made[0]) == len(text) and not secrets.base_findings(made[0])))
+
+
 def test_secret_edges(spark):
     df = docs_of(spark, ["token=abcdef123456"] * 2, kept="x")
     assert secrets.scan(df.where("false"), secrets.SecretModel()).count() == 0
