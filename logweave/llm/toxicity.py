@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BLOCK_BYTES, blocks, row_of
+from ._bytes import blocks, row_of, texts
 from ._store import forget, keep
 
 BITS = 20
 ORDERS = (4, 5, 6)
-SAMPLE_BLOCK = 1 << 18
+TEXT_BLOCK = 1 << 18  # bytes of texts looked at at once; arrays over their n-grams are some hundred times as large
 LEAST_Z = 3.0  # of half a million n-grams over a thousand pass it by chance, with small ratios
 SMOOTH = 10.0
 FOLDS = 3
@@ -52,10 +52,11 @@ def _grams(code: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield text[: len(rolled)][whole], ((bucket[whole] * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _texts(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, code points, offsets) of successive blocks of lower-cased whole texts."""
-    column = pc.utf8_lower(pc.fill_null(column, ""))
-    for low, high, data, offsets in blocks(column, limit or BLOCK_BYTES):
+def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, code points, offsets) of successive blocks of lower-cased whole texts, lowered block by block."""
+    for low, high, _, _ in blocks(column, TEXT_BLOCK):
+        data, offsets = texts(pc.utf8_lower(pc.fill_null(column.slice(low, high - low), "")))
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         raw = data.tobytes()
         if not raw.isascii():
             starts = np.flatnonzero(data & 0xC0 != 0x80)
@@ -186,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(2).to_numpy() > 0
-            for low, _, code, offsets in _texts(batch.column(1), SAMPLE_BLOCK):
+            for low, _, code, offsets in _texts(batch.column(1)):
                 text, bucket = _present(code, offsets)
                 of = np.unique(bucket)
                 place = np.searchsorted(of, bucket)
@@ -207,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, code, offsets in _texts(batch.column(1), SAMPLE_BLOCK):
+            for low, high, code, offsets in _texts(batch.column(1)):
                 text, bucket = _present(code, offsets, wanted)
                 cuts = np.searchsorted(text, np.arange(high - low + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))
