@@ -28,6 +28,7 @@ TEXT_BLOCK = 1 << 18  # bytes of texts looked at at once; arrays over their n-gr
 LEAST_Z = 3.0  # of half a million n-grams over a thousand pass it by chance, with small ratios
 SMOOTH = 10.0
 FOLDS = 3
+PART = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,11 +78,18 @@ def _present(code: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def _summed(key: np.ndarray, size: int, value: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of value[of[i]] over the places i of each key, by parts of a million so that no array of doubles is as long as `key`."""
+    out = np.zeros(size)
+    for at in range(0, len(key), PART):
+        out += np.bincount(key[at : at + PART], value[of[at : at + PART]], size)
+    return out
+
+
 def ratios(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, smooth: float = SMOOTH) -> np.ndarray:
     """Log ratio of each feature's shares among texts of label 1 and of label 0, each with `smooth` texts of both labels' mixture added."""
     n1, n0 = (y > 0).sum(), (y == 0).sum()
-    hit = y[row] > 0
-    c1, c0 = np.bincount(col[hit], minlength=width), np.bincount(col[~hit], minlength=width)
+    c1, c0 = (_summed(col, width, of, row) for of in ((y > 0).astype(float), (y == 0).astype(float)))
     mixed = smooth / len(y)
     return np.log((c1 + mixed * n1) / (n1 + smooth) / ((c0 + mixed * n0) / (n0 + smooth)))
 
@@ -95,13 +103,12 @@ def _balance(y: np.ndarray) -> np.ndarray:
 def _weights(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
     """Weight of each feature, its ratio included, and bias: logistic loss of the texts with labels y, text row[i] having feature col[i]."""
     length, width = len(y), len(ratio)
-    value = ratio[col]
     weight = _balance(y)
     w, b, m, v, mb, vb = np.zeros(width), 0.0, np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on the whole sample
-        z = np.bincount(row, value * w[col], length) + b
+        z = _summed(row, length, ratio * w, col) + b
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / length
-        g = np.bincount(col, value * error[row], width) + l2 * w
+        g = ratio * _summed(col, width, error, row) + l2 * w
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -134,11 +141,10 @@ def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, buckets: np.ndarray, ro
         unseen, fold = np.zeros(len(y)), np.where(y > 0, np.cumsum(y > 0), np.cumsum(y == 0)) % folds
         for k in range(folds):
             kept = fold != k
-            of, place = kept[row], np.cumsum(kept) - 1
+            of, place = kept[row], (np.cumsum(kept) - 1).astype(np.int32)
             own = place[row[of]], col[of], y[kept]
             part, bias = _weights(*own, ratios(*own, width), rounds, l2)
-            z = bias + np.bincount(row[~of], part[col[~of]], len(y))
-            unseen[~kept] = z[~kept]
+            unseen[~kept] = bias + _summed(row, len(y), part, col)[~kept]
         b -= fewest_errors(unseen, y)
     weights = np.zeros(1 << BITS, np.float32)
     weights[buckets] = w
@@ -219,7 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, learn_from:
     forget(sample)
     rows = rows.sort_by("doc_id")
     lists = rows["features"].combine_chunks()
-    return fit(row_of(lists.offsets.to_numpy()), lists.flatten().to_numpy(), (rows["toxic"].to_numpy() > 0).astype(float), buckets)
+    y = (rows["toxic"].to_numpy() > 0).astype(float)
+    del rows
+    return fit(row_of(lists.offsets.to_numpy()).astype(np.int32), lists.flatten().to_numpy(), y, buckets)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
