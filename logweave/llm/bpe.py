@@ -266,6 +266,8 @@ class Automaton:
             start = place[self.words(code, np.searchsorted(place, offsets[:-1]))]
         ends = np.append(start[1:], len(data))
         _, one, of = np.unique(span_hashes(data, start, ends), return_index=True, return_inverse=True)
+        if not _alike(data, start, ends, one[of]):  # two words of one hash: each is encoded for itself
+            one = of = np.arange(len(start))
         labels, at = self.paths(data, start[one], ends[one])
         count = np.diff(at)[of]
         upto = np.cumsum(count)
@@ -273,6 +275,19 @@ class Automaton:
         return ids, np.concatenate([[0], upto])[np.searchsorted(start, offsets)]
 
 
+def _alike(data: np.ndarray, start: np.ndarray, ends: np.ndarray, other: np.ndarray, words: int = 1 << 16) -> bool:
+    """Whether each word has the bytes of the word `other` names for it; words lie one behind the other."""
+    size = ends - start
+    if (size != size[other]).any():
+        return False
+    for a in range(0, len(start), words):
+        part = slice(a, a + words)
+        low, high = start[part][0], ends[part][-1]
+        if (data[low:high] != data[np.arange(low, high) + np.repeat(start[other[part]] - start[part], size[part])]).any():
+            return False
+    return True
+
+
 _PLAIN = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
 

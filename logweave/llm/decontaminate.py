@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, blocks, row_of, span_hashes, word_spans
-from ._store import keep
+from ._store import forget, keep
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -197,7 +197,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bl
     """
     out = docs.drop("n_words", "matches").withColumns({"n_words": F.lit(0).cast("long"), "matches": F.lit(None).cast(MATCHES)})
     kind = pa.list_(pa.struct([("item_id", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("longest", pa.int32())]))
-    at = out.columns.index("text")
+    at, written = out.columns.index("text"), None
     for left, rows in _blocks_of(benchmark, max_block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(test_set([r[0] for r in rows], [r[1] for r in rows], window))
 
@@ -212,7 +212,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bl
 
         out = out.mapInArrow(run, out.schema)
         if left:  # written before the next block is sent, so that one block at a time lies on an executor
-            out = keep(out, "matches")
+            written, last = keep(out, "matches"), written
+            out = written
+            if last is not None:
+                forget(last)
             shared.unpersist()
     return out
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import mix
-from ._store import keep
+from ._store import forget, keep
 from .components import connected_components
 
 TABLES = 24
@@ -167,6 +167,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int = TABL
     of_node = nodes.select("label", "v", "id")
     known = usable.select("vec_id", "label", "v").join(of_node, ["label", "v"]).select("vec_id", "id").join(facts, "id")
     linked = known.select(F.col("vec_id").alias("known_id"), "n_links", "component_id").groupBy("known_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    linked = keep(linked, "linked")
+    for table in (usable, nodes, sizes, pairs, links, inside, facts):
+        forget(table)
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked, F.col("vec_id") == F.col("known_id"), "left")
     return out.select(
         "vec_id",

@@ -8,7 +8,7 @@ pairs, none is held whole by one task, and the components are those that all pai
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._bits import bit_table, maybe
 from ._bytes import LOWER, blocks, mix, row_of, span_hashes, word_spans
 from ._bytes import texts as texts_of
-from ._store import keep
+from ._store import forget, keep
 from .components import connected_components
 
 MINIMA = 128
@@ -217,13 +217,13 @@ def _agreeing(table: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]
             yield i, rest
 
 
-def _within(here: DataFrame, mixed: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _within(here: DataFrame, mixed: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Links between members of different components in the buckets `mixed`, found block by block.
 
     A bucket's members are dealt into blocks of about BLOCK; each pair of blocks is one group, in which a pair of
     members is compared if this is the first band that they share: by signature, and where any agree, the members
     concerned once more on full sets. So texts go only to groups in which their signature agrees with another's,
-    and only members and links leave a group.
+    and only members and links leave a group. put writes a table that the result reads.
     """
     blocks_in = F.ceil(F.col("n") / BLOCK).cast("int")
     own = here.join(mixed, "key").withColumn("blocks", blocks_in).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -240,7 +240,7 @@ def _within(here: DataFrame, mixed: DataFrame, nodes: DataFrame, texts: DataFram
 
     sigs = nodes.select("id", "sig")
     asked = own.join(sigs, "id").select(*columns, "sig").groupBy("key", "b1", "b2").applyInArrow(concerned, "key long, b1 int, b2 int, own int, id long, c long")
-    rows = keep(asked, "concerned").join(sigs, "id").join(texts, "id").select(*columns, "sig", "text")
+    rows = put(asked, "concerned").join(sigs, "id").join(texts, "id").select(*columns, "sig", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, root, column = table["id"].to_numpy(), table["c"].to_numpy().copy(), table["text"].combine_chunks()
@@ -282,29 +282,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     of different ones is compared is not defined); a row without doc_id has no component and is kept. An empty table gives an
     empty one.
     """
+    written: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        written.append(keep(df, name))
+        return written[-1]
+
     summary = keep(_summaries(docs, words), "summaries")
     known = summary.where("doc_id is not null and n > 0")
-    sets = keep(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "sets")
-    nodes = keep(sets.select("id", "sig", "copies").dropDuplicates(["id"]), "nodes")
+    sets = put(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "sets")
+    nodes = put(sets.select("id", "sig", "copies").dropDuplicates(["id"]), "nodes")
     bands = _bands(nodes)
     # The text with most copies leads: it is likeliest the one that the others were made from.
     lead = F.max_by("id", F.struct("copies", -F.col("id")))
-    buckets = keep(bands.groupBy("key").agg(lead.alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "buckets")
+    buckets = put(bands.groupBy("key").agg(lead.alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "buckets")
     members = _bands(nodes, bit_table(buckets, "key")).select("key", "id").join(buckets, "key").where("id <> lead")
-    members = keep(members, "members")
-    pairs = keep(members.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
+    members = put(members, "members")
+    pairs = put(members.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = keep(_texts_of(docs, keep(ids, "ids")), "texts")
-    links = keep(_confirmed(keep(_likely(pairs, nodes, percent / 100), "likely"), texts, words, percent), "links")
+    texts = put(_texts_of(docs, put(ids, "ids")), "texts")
+    links = put(_confirmed(put(_likely(pairs, nodes, percent / 100), "likely"), texts, words, percent), "links")
     labels = keep(_labelled(pairs, links), "labels")
     here = members.select("key", "id").join(labels, "id").select("key", "id", "c")
     mixed = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    more = keep(_within(here, keep(mixed, "mixed"), nodes, texts, words, percent), "more")
+    more = put(_within(here, put(mixed, "mixed"), nodes, texts, words, percent, put), "more")
     if not more.isEmpty():
+        written.append(labels)
         labels = keep(_merged(labels, more), "labels")
     # A copy takes the component of the document that stands for its set.
     stands = known.join(sets.select("f1", "f2", "n", "id"), ["f1", "f2", "n"]).where("doc_id <> id").select(F.col("doc_id").alias("v"), "id")
-    stands = keep(stands, "stands").join(labels, "id", "left").select(F.col("v").alias("doc_id"), F.coalesce("c", "id").alias("component"))
+    stands = keep(stands, "stands")
+    for table in written:  # the result reads summary, labels and stands alone
+        forget(table)
+    stands = stands.join(labels, "id", "left").select(F.col("v").alias("doc_id"), F.coalesce("c", "id").alias("component"))
     id_of = labels.select(F.col("id").alias("doc_id"), F.col("c").alias("component")).unionAll(stands).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = summary.select("doc_id", "n").join(id_of, "doc_id", "left")
     return out.select(

@@ -217,6 +217,23 @@ def test_near_duplicates_edges(spark):
     assert [(r.n_shingles, r.component_id) for r in got] == [(149_996, 0), (149_997, 0), (1, 2)]
 
 
+def test_kept_tables_go(spark, tmp_path, monkeypatch):
+    """Of the tables that an operator writes, those stay that its result reads."""
+    from logweave.llm import _store
+
+    monkeypatch.setattr(_store, "shared_folder", lambda spark: f"file://{tmp_path}")
+    random.seed(6)
+    base = [str(random.randrange(10**6)) for _ in range(60)]
+    texts = [" ".join(base), *(" ".join(random.sample(base, 3) + base[3:]) for _ in range(20))]
+    vectors = spark.createDataFrame([(i, [1.0, i % 3 / 100], 1) for i in range(20)], "vec_id long, embedding array<float>, label int")
+    named = lambda: sorted(x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir())
+    out = minhash.near_duplicates(docs_of(spark, texts), words=2)
+    assert set(named()) <= {"labels", "stands", "summaries", "edges", "star"} and out.count() == 21, named()
+    before = named()
+    out = embeddings.near_duplicates(vectors)
+    assert set(named()) - set(before) == {"linked"} and out.where("component_id = 0").count() == 20, named()
+
+
 def test_components(spark):
     random.seed(4)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 240)]
@@ -353,6 +370,20 @@ def test_bpe_decodes_anything(spark, tokenizer):
         bpe.encode(docs_of(spark, ["a"]), tokenizer, ids="text")
 
 
+def test_bpe_words_of_one_hash(tokenizer, monkeypatch):
+    """Words are told apart by their bytes where their hashes agree."""
+    from tokenizers import Tokenizer
+
+    machine, _ = bpe.automaton(tokenizer)
+    whole = lambda texts: (np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    texts = ["the cat and the dog the end", "", "été ñu the été", "dog cat god tac"]
+    ids, at = machine.encode(*whole(texts))
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+    same, places = machine.encode(*whole(texts))
+    theirs = Tokenizer.from_file(tokenizer)
+    assert same.tolist() == ids.tolist() == [i for t in texts for i in theirs.encode(t, add_special_tokens=False).ids] and places.tolist() == at.tolist()
+
+
 def test_bpe_refuses_other_settings(tokenizer, tmp_path):
     spec = json.load(open(tokenizer, encoding="utf-8"))
     for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
