@@ -68,7 +68,7 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), f1 and f2 (a 128-bit fingerprint of the set), sig (the minima; null for the empty set)."""
+    """doc_id, h (hash of the text), n (set size), f1 and f2 (a 128-bit fingerprint of the set), sig (the minima; null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,10 +82,18 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
                 minima, sig = signatures(sets, at).astype("<u4"), np.full(high - low, None, object)
                 sig[n > 0] = [x.tobytes() for x in minima]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(n), pa.array(f1), pa.array(f2), pa.array(sig, pa.binary())], ["doc_id", "n", "f1", "f2", "sig"]
+                    [*(batch.column(k).slice(low, high - low) for k in (0, 2)), pa.array(n), pa.array(f1), pa.array(f2), pa.array(sig, pa.binary())],
+                    ["doc_id", "h", "n", "f1", "f2", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, n long, f1 long, f2 long, sig binary")
+
+
+def _differing(summary: DataFrame) -> DataFrame:
+    """doc_id and the least hash of the texts of each doc_id whose rows hold different texts."""
+    found = summary.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most"))
+    return found.where("least < most").select("doc_id", "least")
 
 
 def _band_keys(sig: np.ndarray) -> np.ndarray:
@@ -174,7 +182,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the documents named; the others' texts are left out before anything is shuffled."""
+    """id, text (of different ones the one of least hash) of the documents named; the others' texts are left out before anything is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +190,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(maybe(shared.value, batch.column(0).to_numpy())))
 
     some = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    return some.mapInArrow(run, some.schema).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return some.mapInArrow(run, some.schema).join(ids, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def _labelled(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -278,9 +286,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Two documents are linked if their sets of shingles of `words` words have 100 * intersection >= percent *
     union; a text of fewer words is one shingle, a null text or one without words has the empty set and is
     linked with nothing. component_id is the least doc_id reachable, kept says that it is the row's own.
-    Rows that repeat a doc_id are one document, whose rows share a component (their texts should be equal: which
-    of different ones is compared is not defined); a row without doc_id has no component and is kept. An empty table gives an
-    empty one.
+    Rows that repeat a doc_id are one document, whose rows share a component; where their texts differ, the one of
+    least xxhash64 is compared for all of them, and each row has its own n_shingles. A row without doc_id has no
+    component and is kept. An empty table gives an empty one.
     """
     written: list[DataFrame] = []
 
@@ -289,7 +297,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return written[-1]
 
     summary = keep(_summaries(docs, words), "summaries")
-    known = summary.where("doc_id is not null and n > 0")
+    known = summary.where("doc_id is not null and n > 0").join(put(_differing(summary), "differing"), "doc_id", "left").where("least is null or h = least")
     sets = put(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "sets")
     nodes = put(sets.select("id", "sig", "copies").dropDuplicates(["id"]), "nodes")
     bands = _bands(nodes)
