@@ -371,8 +371,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             for low, high, data, offsets in blocks(batch.column(at), BLOCK):
                 part = batch.slice(low, high - low)
                 found, cuts = shared.value.encode(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.astype(np.int32, copy=False)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], part.schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(found, cuts)], part.schema.names)
 
     return out.mapInArrow(run, out.schema)
 
@@ -395,14 +394,45 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             for low, high in _runs(sizes):
                 part = batch.slice(low, high - low)
                 flat = lists.slice(low, high - low).flatten().fill_null(-1).to_numpy()
-                data, cuts = shared.value.spell(flat, np.concatenate([[0], np.cumsum(sizes[low:high])]))
-                raw = data.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], part.schema.names)
+                texts = _spelled(shared.value, flat, np.concatenate([[0], np.cumsum(sizes[low:high])]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts], part.schema.names)
 
     return out.mapInArrow(run, out.schema)
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """What decode(encode(df)) gives, a block of texts encoded and its ids decoded in the same task.
+
+    Nulls, empty and long texts, repeated rows, empty tables and earlier columns are treated as the two functions do.
+    """
+    if len({text, ids, decoded}) < 3:
+        raise ValueError("text, ids and decoded need different names")
+    base = df.drop(ids, decoded)
+    at = base.columns.index(text)
+    out = base.withColumns({ids: F.lit(None).cast("array<int>"), decoded: F.lit(None).cast("string")})
+    shared = df.sparkSession.sparkContext.broadcast(automaton(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, labels = shared.value
+        for batch in batches:
+            for low, high, data, offsets in blocks(batch.column(at), BLOCK):
+                part = batch.slice(low, high - low)
+                found, cuts = machine.encode(data, offsets)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], _lists(found, cuts), _spelled(labels, found, cuts)], part.schema.names)
+
+    return out.mapInArrow(run, out.schema)
+
+
+def _lists(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
+
+
+def _spelled(labels: Labels, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    data, at = labels.spell(ids, cuts)
+    raw = data.tobytes()
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+
+
 def _runs(sizes: np.ndarray, limit: int = BLOCK // 2) -> Iterator[tuple[int, int]]:
     """Row ranges with at most `limit` ids each, or of one row."""
     upto = np.concatenate([[0], np.cumsum(sizes)])

@@ -59,8 +59,12 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
-    return bpe.decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

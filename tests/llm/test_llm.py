@@ -212,6 +212,13 @@ def test_near_duplicates_edges(spark):
         ["Row(doc_id=1, component_id=1, kept=True)"] * 2 + ["Row(doc_id=None, component_id=None, kept=True)", "Row(doc_id=2, component_id=1, kept=False)"]
     )
     assert minhash.one_of_each(df).count() == 3
+    texts = ["a b c d e f", "u v w x y z", ""]  # doc 1 holds all of them; the one of least hash is compared for it
+    h = [r[0] for r in docs_of(spark, texts).orderBy("doc_id").select(F.xxhash64("text")).collect()]
+    for held in ([0, 1], [1, 0], [0, 2], [0, 1, 2]):
+        df = spark.createDataFrame([(1, texts[k]) for k in held] + [(2 + k, texts[k]) for k in range(2)], "doc_id long, text string")
+        same = 2 + min(held, key=lambda k: h[k])
+        got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+        assert got == {(1, 0 if k == 2 else 2, 1, True) for k in held} | {(d, 2, 1 if d == same else d, d != same) for d in (2, 3)}
     long = " ".join(f"w{k}" for k in range(150_000))
     got = minhash.near_duplicates(docs_of(spark, [long, long + " end", "w1 w2"])).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in got] == [(149_996, 0), (149_997, 0), (1, 2)]
@@ -341,6 +348,9 @@ def test_bpe_as_the_library(spark, tokenizer):
     for r in bpe.decode(bpe.encode(df, tokenizer), tokenizer).collect():
         wanted = theirs.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert list(r.ids) == wanted and r.decoded == theirs.decode(wanted, skip_special_tokens=False)
+    apart, once = bpe.decode(bpe.encode(df, tokenizer), tokenizer), bpe.round_trip(df, tokenizer)
+    assert apart.columns == once.columns and apart.exceptAll(once).isEmpty() and once.exceptAll(apart).isEmpty()
+    assert bpe.round_trip(df.where("false"), tokenizer).isEmpty()
     none = bpe.decode(bpe.encode(df.where("false"), tokenizer), tokenizer)
     assert none.count() == 0 and none.columns == ["doc_id", "text", "ids", "decoded"]
 
