@@ -58,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id, lang, source, n_tokens, ids and round_trip, and no other column of docs.
     """
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
