@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -255,63 +254,67 @@ def fold_groups(
     """The user's own reducer for groups of any size, which need not fit into memory.
 
     part: rows of one group to one row of the columns `partial`; merge: several such rows to one, whatever way they are
-    grouped and ordered; finish: the last one to rows of `schema`. A task keeps one partial for each of up to `most_keys` keys while its
-    rows stream by. Partials are merged by (key, salt), so that a key of very many is shared by `salts` tasks, then by
-    key, both as sorted streams that hold one key at a time. The key is a column of the frames that part and finish get, null as None.
+    grouped and ordered; finish: the last one to rows of `schema`. Rows are dealt by ranges of (key, salt), `salts` for each key, so that a
+    key of very many is shared by tasks and one of few lies in one; a task streams them sorted by key and calls part once for each
+    key of a batch. Partials, one or a few for each key, are merged by key as sorted streams that hold one key at a time. Rows
+    are handed on by `most_keys`. The key is a column of the frames that part and finish get, null as None.
     """
     of_key = f"{key} {df.schema[key].dataType.simpleString()}"
     columns = [f.name for f in df.sparkSession.createDataFrame([], partial).schema]
 
-    def named(k: object, frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(**{key: pd.Series([k] * len(frame), index=frame.index, dtype=object)})
+    def named(keys: list, frame: pd.DataFrame) -> pd.DataFrame:
+        frame[key] = pd.Series(keys, index=frame.index, dtype=object)
+        return frame
 
-    def merged(frames: list[pd.DataFrame]) -> pd.DataFrame:
-        return frames[0] if len(frames) == 1 else merge(pd.concat(frames, ignore_index=True)[columns])
+    def runs(frame: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
+        """The keys of a frame sorted by key, each with its rows."""
+        codes = pd.factorize(frame[key], use_na_sentinel=False)[0]
+        ends = [*(np.flatnonzero(np.diff(codes)) + 1), len(frame)] if len(frame) else []
+        for low, high in zip([0, *ends], ends):
+            k = frame[key].iat[low]
+            yield (None if pd.isna(k) else k), frame.iloc[low:high]
 
-    def groups(frame: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
-        for k, rows in frame.groupby(key, dropna=False, sort=False):
-            yield (None if pd.isna(k) else k), rows
-
-    def slices(frames: Frames) -> Frames:
-        held: dict[object, pd.DataFrame] = {}
-        salt = TaskContext.get().partitionId() % salts
-        for frame in frames:
-            for k, rows in groups(frame):
-                own = part(rows)[columns]
-                held[k] = merged([held[k], own]) if k in held else own
-            if len(held) >= most_keys:
-                yield pd.concat([named(k, p) for k, p in held.items()], ignore_index=True).assign(_salt=salt)
-                held = {}
-        if held:
-            yield pd.concat([named(k, p) for k, p in held.items()], ignore_index=True).assign(_salt=salt)
-
-    def stream(frames: Frames) -> Iterator[tuple[object, pd.DataFrame]]:
-        """Each key of a stream sorted by key with its partials merged."""
+    def folded(frames: Frames, own: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[tuple[object, pd.DataFrame]]:
+        """Each key of a stream sorted by key with its partial, own giving that of the rows of one frame."""
         now, have = None, None
         for frame in frames:
-            for k, rows in groups(frame):
+            for k, rows in runs(frame):
                 if have is not None and k == now:
-                    have = merged([have, rows[columns]])
+                    have = merge(pd.concat([have, own(rows)[columns]], ignore_index=True))
                 else:
                     if have is not None:
                         yield now, have
-                    now, have = k, merged([rows[columns]]) if len(rows) == 1 else merge(rows[columns].reset_index(drop=True))
+                    now, have = k, own(rows)[columns]
         if have is not None:
             yield now, have
 
-    def between(frames: Frames) -> Frames:
-        for k, have in stream(frames):
-            yield named(k, have).assign(_salt=0)
+    def together(pairs: Iterator[tuple[object, pd.DataFrame]]) -> Iterator[tuple[list, pd.DataFrame]]:
+        """Keys and small frames as larger ones, each of frames of the same types, so that no value changes its own."""
+        held: list[tuple[object, pd.DataFrame]] = []
+        n = 0
+        for k, frame in pairs:
+            if held and (n >= most_keys or not frame.dtypes.equals(held[-1][1].dtypes)):
+                yield [x for x, _ in held], pd.concat([f for _, f in held], ignore_index=True)
+                held, n = [], 0
+            held.append((k, frame))
+            n += len(frame)
+        if held:
+            yield [x for x, _ in held], pd.concat([f for _, f in held], ignore_index=True)
+
+    def first(frames: Frames) -> Frames:
+        for keys, rows in together(folded(frames, part)):
+            yield named(keys, rows)
 
     def last(frames: Frames) -> Frames:
-        for k, have in stream(frames):
-            yield finish(named(k, have))
+        one = lambda rows: rows[columns] if len(rows) == 1 else merge(rows[columns].reset_index(drop=True))
+        for _, rows in together((k, finish(named([k] * len(have), have.reset_index(drop=True)))) for k, have in folded(frames, one)):
+            yield rows
 
-    kept = f"{partial}, {of_key}, _salt int"
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = df.mapInPandas(slices, kept).repartition(n, key, "_salt").sortWithinPartitions(key)
-    second = first.mapInPandas(between, kept).repartition(n, key).sortWithinPartitions(key)
-    return second.mapInPandas(last, schema)
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    dealt = salted.repartitionByRange(n, key, "_salt").drop("_salt").sortWithinPartitions(key)
+    partials = dealt.mapInPandas(first, f"{partial}, {of_key}").repartition(n, key).sortWithinPartitions(key)
+    return partials.mapInPandas(last, schema)
 
 
 TRANSFORMS: dict[str, Callable[..., DataFrame]] = {

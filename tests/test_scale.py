@@ -276,6 +276,27 @@ def test_fold_of_a_large_group(spark):
     assert got == wanted and got["hot"] == (1_000_000, 999_999) and None in got
 
 
+def test_fold_of_many_groups_calls_once_a_group(spark):
+    """Rows of a group lie apart in the table, yet part is called a few times for each group and not for each row or batch."""
+    df = spark.range(0, 40_000, 1, 8).select((F.col("id") % 2000).cast("string").alias("key"), ((F.col("id") % 2000 < 1000).cast("long") * (2**60 + 1) + F.col("id")).alias("v"))
+    df = df.withColumn("v", F.when(F.col("key") != "7", F.col("v")))  # one group has no value, the others must not become doubles by it
+    _, merge, finish, partial, schema = fold()
+    calls = spark.sparkContext.accumulator(0)
+
+    def part(x):
+        calls.add(1)
+        return pd.DataFrame({"n": [len(x)], "low": [x["v"].astype("Int64").min()], "high": [x["v"].astype("Int64").max()]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        once = transforms.fold_groups(df.where("key != '7'"), "key", part, merge, lambda p: pd.DataFrame({"key": p["key"], "n": p["n"], "span": p["high"]}), partial, schema).collect()
+        assert calls.value <= 2 * 2000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.key: (r.n, r.span) for r in once} == {r.key: (r.n, r.high) for r in df.where("key != '7'").groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("high")).collect()}
+    assert len(transforms.fold_groups(df, "key", part, merge, finish, partial, schema).collect()) == 2000
+
+
 def test_fold_of_nothing(spark):
     df = spark.createDataFrame([], "key string, v long")
     assert transforms.fold_groups(df, "key", *fold()).count() == 0
