@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..functions import ip_to_long, is_local
+from ..functions import is_local, network_number
 
 SMALL_RANGES = 10_000
 MD5 = r"(?:^|\s)([0-9a-fA-F]{32})(?:\s|$)"
@@ -56,7 +56,7 @@ def lookup_ranges(df: DataFrame, ranges: DataFrame, into: dict[str, str], column
     Each distinct address of all the columns is looked up once. Of several ranges the narrowest, then the first, counts.
     """
     every = df.select(F.explode(F.array(*[F.col(ip) for ip in into])).alias("_ip"))
-    addresses = every.where("_ip is not null").distinct().withColumn("_point", ip_to_long(F.col("_ip")))
+    addresses = every.where("_ip is not null").distinct().withColumn("_point", network_number(F.col("_ip")))
     hits = range_hits(addresses.where("_point is not null"), ranges, "start_ip", "end_ip")
     best = F.min_by(F.struct(*columns), F.struct(F.col("end_ip") - F.col("start_ip"), "start_ip"))
     found = hits.groupBy("_ip").agg(best.alias("_found"))
@@ -118,7 +118,7 @@ def enrich_threats(df: DataFrame, indicators: DataFrame, subnets: Sequence[tuple
     texts = ("description", "severity", "since")
     joined = [F.array_join(F.array_sort(F.collect_set(c)), " ").alias(c) for c in texts]
     pack = lambda name: F.struct(*texts).alias(name)
-    addresses = df.select(F.col(ip).alias("_k")).where(F.col("_k").isNotNull() & ~is_local(F.col("_k"), subnets)).distinct().withColumn("_point", ip_to_long(F.col("_k")))
+    addresses = df.select(F.col(ip).alias("_k")).where(F.col("_k").isNotNull() & ~is_local(F.col("_k"), subnets)).distinct().withColumn("_point", network_number(F.col("_k")))
     hits = range_hits(addresses.where("_point is not null"), indicators.where("kind = 'ip'").select("start_ip", "end_ip", *texts), "start_ip", "end_ip")
     found = hits.groupBy("_k").agg(*joined).select("_k", pack(f"{ip}_threat"))
     df = df.join(found, df[ip] == found["_k"], "left").drop("_k")

@@ -25,6 +25,19 @@ def test_addresses(spark):
     assert one(spark, fn.is_local(F.col("a"), [("10.0.0.0", "10.0.0.255")]), a=None) is False
 
 
+def test_octets_above_255_stay_in_their_network(spark):
+    """10.0.300.5 and 10.1.44.5 have the same number, 10.1.300.5 and 10.2.44.5 too; lookups go by the octets in front."""
+    one_net, ips = [("10.1.0.0", "10.1.255.255")], ["10.0.300.5", "10.1.300.5", "10.1.255.255", "10.2.44.5", "10.1.3.999"]
+    wanted = [False, True, True, False, True]
+    df = spark.createDataFrame([(i, ip, "1.1.1.1", f"from {ip} to") for i, ip in enumerate(ips)], "id long, srcip string, dstip string, msg string").withColumn("ts", F.timestamp_seconds("id"))
+    nets = spark.createDataFrame([((10 << 24) + (1 << 16), (10 << 24) + (2 << 16) - 1, "o", "c", True)], "start_ip long, end_ip long, org string, customer string, is_local boolean")
+    assert [r.v for r in df.orderBy("id").select(fn.is_local(F.col("srcip"), one_net).alias("v")).collect()] == wanted
+    assert [r.v for r in df.where(search.subnet_macro(one_net)).orderBy("id").select(F.col("id").alias("v")).collect()] == [1, 2, 4]
+    assert [r.v == "c" for r in enrich.enrich_networks(df, nets, spark.createDataFrame([("o", "n")], "org string, name string")).orderBy("id").select(F.col("srcip_net.customer").alias("v")).collect()] == wanted
+    assert [r.srcip for r in transforms.anonymise(df, one_net).orderBy("id").collect()] == ["10.0.300.5", "?.?.?.0", "?.?.?.1", "10.2.44.5", "?.?.?.2"]
+    assert [r.v for r in df.orderBy("id").select(fn.is_address(F.col("srcip")).alias("v")).collect()] == [False, False, True, True, False]
+
+
 def test_tokens_are_whole(spark):
     assert one(spark, fn.has_token(F.col("a"), "10.0.0.1"), a="from 10.0.0.12") is False
     assert one(spark, fn.has_token(F.col("a"), "A"), a="(a)") is True
