@@ -157,10 +157,10 @@ def pair_http_stream(requests: DataFrame, responses: DataFrame, key: str, timeou
 
     The open request of a key is its state. It leaves with the response that comes within the timeout, alone when a new
     request or a later response comes, and alone when the watermark (`late`) is past its time; lone responses are
-    dropped. Rows of a key are put in order inside a micro-batch.
+    dropped. Rows of a key are put in order inside a micro-batch, by microseconds; the timeout is in whole seconds, as in pair_http.
     """
     columns = lambda df, kind: df.select(F.col(key).cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(kind).alias("kind"))
-    both = columns(requests, "request").unionByName(columns(responses, "response")).withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    both = columns(requests, "request").unionByName(columns(responses, "response")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting = tuple(state.get) if state.exists else None
@@ -169,17 +169,17 @@ def pair_http_stream(requests: DataFrame, responses: DataFrame, key: str, timeou
             out.append((*waiting, None, None))
             waiting = None
         else:
-            for _, _, i, kind, ms in sorted((r.ms, r.kind == "response", r.id, r.kind, r.ms) for frame in frames for r in frame.itertuples()):
+            for us, _, i, kind in sorted((r.us, r.kind == "response", r.id, r.kind) for frame in frames for r in frame.itertuples()):
                 if kind == "request":
                     out += [(*waiting, None, None)] if waiting else []
-                    waiting = (i, ms)
+                    waiting = (i, us)
                 elif waiting:
-                    good = ms - waiting[1] <= 1000 * timeout
-                    out.append((*waiting, i if good else None, ms if good else None))
+                    good = us // 1_000_000 - waiting[1] // 1_000_000 <= timeout
+                    out.append((*waiting, i if good else None, us if good else None))
                     waiting = None
         if waiting:
             state.update(waiting)
-            state.setTimeoutTimestamp(max(waiting[1] + 1000 * timeout, state.getCurrentWatermarkMs()) + 1)
+            state.setTimeoutTimestamp(max((waiting[1] // 1_000_000 + timeout + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         frame = pd.DataFrame(out, columns=["request_id", "asked", "response_id", "answered"]).astype("Int64")
@@ -188,7 +188,7 @@ def pair_http_stream(requests: DataFrame, responses: DataFrame, key: str, timeou
 
     schema = "key string, request_id long, asked long, response_id long, answered long"
     pairs = both.groupBy("key").applyInPandasWithState(step, schema, "id long, asked long", "append", GroupStateTimeout.EventTimeTimeout)
-    return pairs.select("key", "request_id", "response_id", F.timestamp_millis("asked").alias("asked"), F.timestamp_millis("answered").alias("answered"))
+    return pairs.select("key", "request_id", "response_id", F.timestamp_micros("asked").alias("asked"), F.timestamp_micros("answered").alias("answered"))
 
 
 def stream_histogram(sdf: DataFrame, unit: str, watermark: str = "1 hour") -> DataFrame:

@@ -165,6 +165,20 @@ def test_pairs_stream_closes_requests(spark, tmp_path):
     assert {r.request_id: r.response_id for r in spark.table("closed").collect()} == {1: None, 2: 3, 5: None}
 
 
+def test_pairs_stream_orders_inside_a_second(spark, tmp_path):
+    """Rows count by microseconds, the timeout by whole seconds, as in pair_http."""
+    rows = [(1, 100.2, "r"), (2, 100.7, "q"), (3, 105.0, "r"), (4, 200.1, "q"), (5, 210.9, "r"), (6, 300.0001, "r"), (7, 300.0004, "q"), (8, 300.0006, "q"), (9, 311.0, "r")]
+    df = spark.createDataFrame([(i, s, "k", kind) for i, s, kind in rows] + [(10, 5e5, "end", "r")], "id long, s double, key string, kind string").withColumn("ts", F.timestamp_micros(F.round(F.col("s") * 1_000_000).cast("long")))
+    df.write.parquet(str(tmp_path / "in"))
+    read = lambda k: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).where(F.col("kind") == k)
+    streams.pair_http_stream(read("q"), read("r"), "key").writeStream.format("memory").queryName("inside").trigger(availableNow=True).start().awaitTermination()
+    wanted = {2: 3, 4: 5, 7: None, 8: None}
+    assert {r.request_id: r.response_id for r in spark.table("inside").collect()} == wanted
+    kinds = df.withColumn("kind", F.when(F.col("kind") == "q", "request").otherwise("response"))
+    assert {r.request_id: r.response_id for r in streams.pair_http(kinds, "key", "kind").collect()} == wanted
+    assert {r.request_id: r.answered and r.answered.microsecond for r in spark.table("inside").collect()}[4] == 900_000
+
+
 def test_throttle_stream_orders_small_batches(spark, tmp_path):
     df = spark.createDataFrame([(1, t) for t in (50, 60, 0, 5, 100, 10)], "schedule long, at long")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
