@@ -134,14 +134,14 @@ def parse_syslog(lines: DataFrame, year: int | Column, tz: str = "UTC") -> DataF
 def read_syslog(spark: SparkSession, path: str, year: int | Column, tz: str = "UTC", skip: int = 0) -> DataFrame:
     """Lines of syslog files but the first `skip` of each, which must lie in the file's first split (128 MB by default).
 
-    Only lines of first splits get a number; the others are passed on as they are read.
+    A first split is read by one task, line after line, so a line's place in its file is its number less the split's least one.
+    Those, one for each file as the driver lists them, are broadcast; no line is shuffled or sorted.
     """
     lines = _lines(spark, path)
     if skip:
         placed = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
-        heads = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
-        first = placed.where("_split = 0").withColumn("_n", heads).where(F.col("_n") > skip)
-        lines = placed.where("_split > 0").select("value").unionAll(first.select("value"))
+        starts = placed.where("_split = 0").groupBy("_file").agg(F.min("_at").alias("_start"))
+        lines = placed.join(F.broadcast(starts), "_file").where((F.col("_split") > 0) | (F.col("_at") - F.col("_start") >= skip)).select("value")
     return parse_syslog(lines, year, tz)
 
 

@@ -375,6 +375,15 @@ def test_grep_chooses_columns(spark):
     assert "RLIKE" in search.search(df, all=[("id", ">", 0)]).where(transforms._hit(df, "y", "^host$", None))._jdf.queryExecution().toString()
 
 
+def test_syslog_lines_behind_heads_are_not_shuffled(spark, tmp_path):
+    """No line of a first split is sorted or sent to the task of its file."""
+    spark.range(100).select(F.concat(F.lit("Jan  1 00:00:00 h p: "), "id")).repartition(3).write.text(str(tmp_path / "in"))
+    df = readers.read_syslog(spark, str(tmp_path / "in"), 2024, skip=5)
+    assert df.count() == 85
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "strategy=broadcast" in plan
+
+
 def test_syslog_skips_heads_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in "ab":
