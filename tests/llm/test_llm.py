@@ -591,6 +591,19 @@ def test_secret_shapes_not_trained_on(spark):
     assert hits >= 0.9 * tries and tries > 200
 
 
+def test_secret_training_takes_every_window(spark):
+    """The threshold is the exact order statistic of all held-back findings of a table with more than 4000 windows."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    every = {(y, w) for r in docs.collect() if r.text for _, y, w in secrets._examples(r.text, 3)}
+    table = spark.createDataFrame([(y, bytearray(w)) for y, w in every], "label int, window binary").withColumn("held", F.pmod(F.xxhash64("window"), F.lit(5)) == 0)
+    rows = [(r.label, bytes(r.window)) for r in table.where("held").collect()]
+    assert len(every) > 4000
+    model = secrets.train(docs, epochs=1, least=1000)
+    x = np.frombuffer(b"".join(w for y, w in rows if y == 1), np.uint8).reshape(-1, secrets.WIDTH).astype(np.int64)
+    p = 1 / (1 + np.exp(-(secrets.logits(model, x) * model.calibration[0] + model.calibration[1])))
+    assert abs(np.sort(p)[int((1 - 0.98) * len(p))] - model.threshold) < 1e-5 and 0.98 <= model.recall
+
+
 def test_masked_findings():
     for text, wanted in (('a password="abcdef1" b', "abcdef1"), ("k AKIA" + "B1" * 8 + " x", "B1" * 10), ("f" * 24, None)):
         (s, k, e), *_ = secrets.base_findings(text)
